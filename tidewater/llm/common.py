@@ -91,3 +91,17 @@ def suspects(rows: DataFrame, key: str, words: DataFrame, bits: int, hashes: int
         seen = seen & hit
     drop = [f"_{x}{i}" for x in "wbs" for i in range(hashes)]
     return rows.withColumn(flag, seen).drop(*drop)
+
+
+def present_words(keys: DataFrame, key: str, bits: int, hashes: int = 2) -> DataFrame:
+    """The once-seen filter of keys[key], in the form of repeated_words."""
+    slot = keys.select(F.explode(F.array(*slots(F.col(key), bits, hashes))).alias("slot"))
+    return slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")
+    )
+
+
+def likely_in(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """rows whose key may be among ids[id_col]: all that are, and a few others. Nothing is shuffled but the filter."""
+    bits = filter_bits(ids.count())
+    return suspects(rows, key, present_words(ids, id_col, bits), bits, flag="_in").filter("_in").drop("_in")

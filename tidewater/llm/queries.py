@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.exact import exact_dedup
 from tidewater.llm.mixing import mix
+from tidewater.llm.near import near_dedup
 from tidewater.session import table
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -21,6 +26,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_near_dedup": op2_near_dedup,
         "op4_exact_dedup": op4_exact_dedup,
         "op7_mix_sources": op7_mix_sources,
     }
