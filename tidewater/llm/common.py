@@ -41,7 +41,7 @@ def without_spaces(text: Column) -> Column:
     return text
 
 
-def attach(members: DataFrame, groups: DataFrame, key: str, size: str, total: int, least: int = 256) -> DataFrame:
+def attach(members: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int, least: int = 256) -> DataFrame:
     """members inner-joined with groups (a written table, one row per key, its members counted in size).
 
     Groups above total / 4096 members are fewer than 4096, so that broadcasting them is bounded;
@@ -51,7 +51,7 @@ def attach(members: DataFrame, groups: DataFrame, key: str, size: str, total: in
     hot = groups.filter(F.col(size) > limit)
     cold = groups.filter(F.col(size) <= limit)
     return members.join(F.broadcast(hot), key).unionByName(
-        members.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+        members.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(cold, key)
     )
 
 
@@ -105,3 +105,20 @@ def likely_in(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFra
     """rows whose key may be among ids[id_col]: all that are, and a few others. Nothing is shuffled but the filter."""
     bits = filter_bits(ids.count())
     return suspects(rows, key, present_words(ids, id_col, bits), bits, flag="_in").filter("_in").drop("_in")
+
+
+def filter_array(words: DataFrame, bits: int):
+    """A filter of slots as a numpy array of bits / 64 words, for probes in Python workers (at most 32 MB, broadcast)."""
+    import numpy as np
+
+    array = np.zeros(bits // 64, np.uint64)
+    got = words.toArrow()
+    array[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return words.sparkSession.sparkContext.broadcast(array)
+
+
+def in_filter(array, slots):
+    """Of each slot (a numpy array), whether its bit is set."""
+    import numpy as np
+
+    return (array[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) != 0

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.exact import exact_dedup
+from tidewater.llm.lines import line_report
 from tidewater.llm.mixing import mix
 from tidewater.llm.near import near_dedup
+from tidewater.llm.passages import passage_report
 from tidewater.session import table
 
 
@@ -16,10 +18,18 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_report(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -27,7 +37,9 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_near_dedup": op2_near_dedup,
+        "op3_line_dedup": op3_line_dedup,
         "op4_exact_dedup": op4_exact_dedup,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_mix_sources": op7_mix_sources,
     }
 

@@ -117,13 +117,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, offsets, starts, ends, row, first)
 
 
-def rolling(hashes: np.ndarray, n: int, seed: int = 5) -> np.ndarray:
-    """Hashes of all runs of n hashes in a row, whatever rows they cross, in time that does not grow with n."""
-    if len(hashes) < n:
-        return np.zeros(0, np.uint64)
-    base = int(stream(1, seed)[0]) | 1
-    inverse = pow(base, -1, 1 << 64)
-    ones = lambda x, k: np.concatenate([[np.uint64(1)], np.cumprod(np.full(k - 1, x, np.uint64))]) if k > 1 else np.ones(k, np.uint64)
-    up, down = ones(np.uint64(base), len(hashes)), ones(np.uint64(inverse), len(hashes) - n + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up)])
-    return mix((total[n:] - total[:-n]) * down)
+def powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(0, n - 1), base, np.uint64))])
+
+
+class Runs:
+    """Hashes of any runs of words in constant time each: differences of a polynomial's prefix sums, modulo 2^64."""
+
+    def __init__(self, hashes: np.ndarray, seed: int = 5):
+        base = int(stream(1, seed)[0]) | 1
+        n = len(hashes)
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(base, n)[:n])])
+        self.down = powers(pow(base, -1, 1 << 64), n + 1)
+
+    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        size = np.asarray(length).astype(np.uint64)
+        return mix((self.total[start + length] - self.total[start]) * self.down[start] + size * ODD)
