@@ -11,6 +11,7 @@ from tidewater.llm.lines import line_report
 from tidewater.llm.mixing import mix
 from tidewater.llm.near import near_dedup
 from tidewater.llm.passages import passage_report
+from tidewater.llm.secrets import labelled_samples, secret_report, train
 from tidewater.session import table
 
 
@@ -34,6 +35,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"), train(labelled_samples(spark)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_near_dedup": op2_near_dedup,
@@ -41,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_mix_sources": op7_mix_sources,
+        "op8_secret_scan": op8_secret_scan,
     }
 
 
