@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.llm.ann import nearest
 from tidewater.llm.exact import exact_dedup
+from tidewater.llm.langid import identify_held_out
 from tidewater.llm.lines import line_report
 from tidewater.llm.mixing import mix
 from tidewater.llm.near import near_dedup
@@ -15,6 +17,10 @@ from tidewater.llm.secrets import labelled_samples, secret_report, train
 from tidewater.session import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_held_out(table(spark, sf_dir, "documents"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
@@ -27,6 +33,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_report(table(spark, sf_dir, "documents"))
 
@@ -41,9 +52,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_near_dedup": op2_near_dedup,
         "op3_line_dedup": op3_line_dedup,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_mix_sources": op7_mix_sources,
         "op8_secret_scan": op8_secret_scan,

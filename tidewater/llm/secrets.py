@@ -20,7 +20,7 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 #: Letters of the models; other characters are not in candidates.
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 #: Least log-likelihood ratio, in nats for each character, at which a candidate is a secret.
-LEAST_RATIO = 0.6
+LEAST_RATIO = 0.3
 
 #: Parts of ordinary identifiers, from which the labelled samples are composed.
 PARTS = (
