@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidewater.llm import pieces, quality
 from tidewater.llm.ann import nearest
 from tidewater.llm.exact import exact_dedup
 from tidewater.llm.langid import identify_held_out
@@ -50,6 +52,18 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"), train(labelled_samples(spark)))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on the labels whose crc32 of the id leaves a remainder by 5; the others can test it."""
+    docs, labels = table(spark, sf_dir, "documents"), quality.graded(table(spark, sf_dir, "labels"))
+    remainder = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+    return quality.grade(docs, quality.fit(labels.filter(remainder != 0), docs))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode(table(spark, sf_dir, "documents"), pieces.load(), check=True)
+    return coded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", "round_trip")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -60,6 +74,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_substring_dedup": op6_substring_dedup,
         "op7_mix_sources": op7_mix_sources,
         "op8_secret_scan": op8_secret_scan,
+        "op9_quality": op9_quality,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 

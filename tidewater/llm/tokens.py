@@ -101,8 +101,9 @@ def chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.n
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    inside = EXACT[data] != 0
+def words(data: np.ndarray, offsets: np.ndarray, values: np.ndarray = EXACT) -> Words:
+    """Words are runs of bytes that have a value."""
+    inside = values[data] != 0
     before = np.empty(len(data), bool)
     after = np.empty(len(data), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
