@@ -122,3 +122,17 @@ def in_filter(array, slots):
     import numpy as np
 
     return (array[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) != 0
+
+
+def split_by_ids(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among ids, the other rows). Nothing is shuffled but the filter."""
+    bits = filter_bits(ids.count())
+    marked = suspects(rows, key, present_words(ids, id_col, bits), bits, flag="_in")
+    return marked.filter("_in").drop("_in"), marked.filter("NOT _in").drop("_in")
+
+
+def without(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """rows whose key is none of ids; only rows that the filter doubts are shuffled."""
+    some, rest = split_by_ids(rows, key, ids, id_col)
+    gone = ids.select(F.col(id_col).alias("_gone")).distinct()
+    return rest.unionByName(some.join(gone, F.col(key) == F.col("_gone"), "left_anti"))

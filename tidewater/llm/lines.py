@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import SPACES, attach, filter_array, filter_bits, in_filter, likely_in, written
+from tidewater.llm.common import SPACES, attach, filter_array, filter_bits, in_filter, likely_in, split_by_ids, written
 
 STRIP = SPACES.encode()
 
@@ -139,6 +139,31 @@ def cut_lines(rows: DataFrame, drops: DataFrame, least_chars: int) -> DataFrame:
     return some.mapInArrow(_cut(least_chars), "doc_id long, n_lines long, n_dropped long, text string")
 
 
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40, least_docs: int = 5
+) -> DataFrame:
+    """docs, all rows and columns, with the texts that line_dedup leaves."""
+    _, drops = repeated_lines(docs, id_col, text_col, least_chars, least_docs)
+    drops = drops.select(F.col("doc_id").alias("_id"), F.col("drops").alias("_drops"))
+    some, rest = split_by_ids(docs, id_col, drops, "_id")
+    place = docs.columns.index(text_col)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for value, lost in zip(batch.column(place).to_pylist(), batch.column("_drops").to_pylist(), strict=True):
+                if lost:
+                    lines, keys = line_keys(value.encode(), least_chars)
+                    gone = set(lost)
+                    value = b"\n".join(x for x, k in zip(lines, keys, strict=True) if k is None or hashlib.sha256(k).digest() not in gone).decode()
+                texts.append(value)
+            columns = [pa.array(texts, c.type) if i == place else c for i, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    cut = some.join(drops, F.col(id_col) == F.col("_id"), "left").drop("_id").mapInArrow(step, docs.schema)
+    return rest.unionByName(cut)
+
+
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40, least_docs: int = 5) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_dropped and kept_sha256 of what line_dedup leaves."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))

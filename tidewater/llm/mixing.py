@@ -66,28 +66,69 @@ def mix(
     DataFrame operations only. A source with a third of all rows is 4096 window groups, and every task
     of its prefix sum holds one range. Reruns agree.
     """
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("_text")
-    ).select(
-        "doc_id",
-        "source",
-        F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")).alias("key"),
-        words_in(F.col("_text")).alias("size"),
-        F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("place"),
-        F.xxhash64("_text").alias("tie"),
+    placed = _placed(docs, id_col, text_col, source_col, seed)
+    return placed.select(
+        "doc_id", "source", "size", "source_size", "target", "full", (F.col("full") * F.col("size") + F.col("part")).alias("taken")
     )
-    rows = written(rows.withColumn("range", F.substring("place", 1, DIGITS)), "mix")
-    ranges = rows.groupBy("key", "range").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    """docs with the source's key, the size, and the columns of the random order."""
+    number = F.col(id_col).cast("long")
+    return docs.withColumns(
+        {
+            "_key": F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col))),
+            "_size": words_in(F.col(text_col)),
+            "_place": F.md5(F.concat(F.lit(seed), F.coalesce(number.cast("string"), F.lit("null")))),
+            "_number": F.coalesce(number, F.lit((1 << 63) - 1)),
+            "_tie": F.xxhash64(text_col),
+        }
+    )
+
+
+ORDER = ["_place", "_number", "_size", "_tie"]
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    """Of each row, its place in the order, its source's figures and part, the words beside full repeats."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("_text"))
+    rows = _keyed(rows, "doc_id", "_text", "source", seed).withColumn("_range", F.substring("_place", 1, DIGITS)).drop("_text")
+    rows = written(rows.withColumn("size", F.col("_size")), "mix")
+    ranges = rows.groupBy("_key", "_range").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
     ranges = written(ranges, "mix-ranges")
     goals = targets(
-        ranges.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
+        ranges.groupBy(F.col("_key").alias("key")).agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
     ).drop("source")
-    offset = F.sum("words").over(W.partitionBy("key").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
-    ranges = ranges.drop("source").withColumn("offset", F.coalesce(offset, F.lit(0).cast("long"))).join(goals, "key")
-    inside = W.partitionBy("key", "range").orderBy("place", F.col("doc_id").asc_nulls_last(), "size", "tie")
+    offset = F.sum("words").over(W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    ranges = ranges.select("_key", "_range", F.coalesce(offset, F.lit(0).cast("long")).alias("offset"))
+    ranges = ranges.join(goals.withColumnRenamed("key", "_key"), "_key")
+    inside = W.partitionBy("_key", "_range").orderBy(*ORDER)
     before = F.coalesce(F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    placed = rows.withColumn("before", before).join(ranges.drop("words"), ["key", "range"])
+    placed = rows.withColumn("before", before).join(ranges, ["_key", "_range"])
     part = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("rest") - F.col("offset") - F.col("before")))
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "target", "full", (F.col("full") * F.col("size") + part).alias("taken")
-    )
+    return placed.withColumn("part", part)
+
+
+def mixed(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    seed: str = "mix-1",
+) -> DataFrame:
+    """The mix itself: rows of docs, all columns, as often as mix() takes them; the document at a source's cut once
+    more with its first words, joined by spaces. Texts are not shuffled: a source's row of (full, last document
+    taken) decides all its documents."""
+    placed = _placed(docs, id_col, text_col, source_col, seed)
+    last = F.max(F.when(F.col("part") > 0, F.struct(*ORDER, "part"))).alias("_last")
+    cuts = written(placed.groupBy("_key").agg(F.first("full").alias("_full"), last), "mix-cuts")
+    # Sources are few, or the table of their cuts is joined like any other.
+    rows = _keyed(docs, id_col, text_col, source_col, seed).join(F.broadcast(cuts) if cuts.count() <= 100_000 else cuts, "_key")
+    here, end = F.struct(*ORDER), F.struct(*[F.col("_last")[c].alias(c) for c in ORDER])
+    words = F.when(F.col("_last").isNull() | (here > end), 0).when(here < end, F.col("_size")).otherwise(F.col("_last")["part"])
+    rows = rows.withColumn("_part", words.cast("long")).filter("_size > 0")
+    times = F.col("_full") + (F.col("_part") > 0).cast("long")
+    rows = rows.withColumn("_time", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<long>"))))
+    cut = (F.col("_time") > F.col("_full")) & (F.col("_part") < F.col("_size"))
+    short = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), 1, F.col("_part").cast("int")), " ")
+    return rows.withColumn(text_col, F.when(cut, short).otherwise(F.col(text_col))).select(*docs.columns)

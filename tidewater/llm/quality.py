@@ -207,6 +207,22 @@ def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return out.withColumn("kept", F.col("tail") >= least_tail)
 
 
+def good(docs: DataFrame, model: Model, text_col: str = "text", least_tail: float = LEAST_TAIL) -> DataFrame:
+    """The rows of docs, all columns, that grade() keeps."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [np.zeros(0, bool)]
+            for first, last, data, offsets in T.chunks(batch.column(text_col)):
+                ids, rows = features(data, offsets)
+                above = shared.value.above(np.bincount(rows, weights=shared.value.weights[ids], minlength=last - first))
+                keep.append(above[:, -1] >= least_tail if above.shape[1] else np.ones(last - first, bool))
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(step, docs.schema)
+
+
 def graded(labels: DataFrame) -> DataFrame:
     """doc_id, grade of the driver's labels: 0 toxic, 1 of low quality, 2 good; null if a label is missing."""
     return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when((F.col("toxic") == 0) & (F.col("quality") == 1), 2).alias("grade"))
