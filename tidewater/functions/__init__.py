@@ -1 +1 @@
-"""Part of tidewater."""
+"""Column builders."""
