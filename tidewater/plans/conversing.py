@@ -1 +1,198 @@
-"""Queries."""
+"""Queries of conversations, events by user, labels and streams."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from tidewater.operators import conversations as co
+from tidewater.plans.catalog import query, shown, told
+from tidewater.session import table
+from tidewater.streaming import state
+
+
+@query("SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC)::INT AS back FROM conversations QUALIFY back <= 8")
+def history_last(spark, sf):
+    return co.last_turns(table(spark, sf, "conversations"))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) = 2")
+def second_answer(spark, sf):
+    return co.nth_turn(table(spark, sf, "conversations"), "assistant", 2)
+
+
+@query(
+    r"""WITH u AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS b,
+  len(list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))::INT AS words FROM conversations WHERE role = 'user'),
+l AS (SELECT *, coalesce(b IS NOT NULL AND words <= 16 AND regexp_matches(text, '(?i)\b(it|that|this|those|they|same|also|and)\b'), false) AS leans FROM u)
+SELECT conv_id, turn, words, leans, CASE WHEN leans THEN b || ' ' || text ELSE text END AS resolved FROM l"""
+)
+def follow_ups(spark, sf):
+    return co.follow_ups(table(spark, sf, "conversations"))
+
+
+@query(
+    r"""WITH n AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS b FROM conversations),
+x AS (SELECT *, list_transform(regexp_extract_all(text, '\d+(?:[.,]\d+)?'), lambda v: replace(v, ',', '.')) AS c,
+  list_transform(regexp_extract_all(coalesce(b, ''), '\d+(?:[.,]\d+)?'), lambda v: replace(v, ',', '.')) AS p FROM n)
+SELECT conv_id, turn, len(list_filter(p, lambda v: NOT list_contains(c, v))) = 0 AND len(list_filter(c, lambda v: NOT list_contains(p, v) AND NOT list_contains(c, v))) = 0 AS kept FROM x"""
+)
+def numbers_preserved(spark, sf):
+    from pyspark.sql import Window as W
+
+    before = F.coalesce(F.lag("text").over(W.partitionBy("conv_id").orderBy("turn", "text")), F.lit(""))
+    rows = table(spark, sf, "conversations").withColumn("b", before)
+    return rows.select("conv_id", "turn", co.numbers_kept(F.col("b"), F.col("text"), F.concat_ws(" ", "b", "text")).alias("kept"))
+
+
+A = """WITH p AS (SELECT doc_id, text, substring(text, 1, 60) AS q, (doc_id % 7)::INT AS k FROM documents)"""
+
+
+@query(
+    A
+    + r""", c AS (SELECT *, CASE k WHEN 6 THEN substring(q, 1, 10) WHEN 5 THEN 'a quote that is in no text at all' ELSE q END AS quote FROM p)
+SELECT doc_id AS answer_id, CASE
+  WHEN k = 0 THEN 'abstained' WHEN k = 1 THEN 'claims' WHEN k = 2 THEN 'claim_text' WHEN k = 3 THEN 'evidence'
+  WHEN length(quote) NOT BETWEEN 20 AND 400 THEN 'quote_length' WHEN k = 4 THEN 'unknown_source' WHEN k = 5 THEN 'quote_absent' END AS failure
+FROM c"""
+)
+def answer_failures(spark, sf):
+    """Payloads are made from documents: one kind of failure for each remainder of the id by 7."""
+    k = F.col("doc_id") % 7
+    start = F.substring("text", 1, 60)
+    quote = F.when(k == 6, F.substring(start, 1, 10)).when(k == 5, "a quote that is in no text at all").otherwise(start)
+    proof = F.struct(F.when(k == 4, F.lit("none")).otherwise(F.col("doc_id").cast("string")).alias("id"), quote.alias("quote"))
+    claim = F.struct(
+        F.when(k == 2, F.lit("see http://x.org")).otherwise(F.lit("a claim")).alias("text"), F.when(k == 3, F.array()).otherwise(F.array(proof)).alias("evidence")
+    )
+    payload = F.to_json(F.struct((k == 0).alias("abstain"), F.when(k == 1, F.array()).otherwise(F.array(claim)).alias("claims")))
+    docs = table(spark, sf, "documents")
+    sources = docs.select(F.col("doc_id").cast("string").alias("id"), "text")
+    return co.checked_answers(docs.select(F.col("doc_id").alias("answer_id"), payload.alias("payload")), sources)
+
+
+@query(
+    """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1800 SECONDS THEN 0 ELSE 1 END AS n FROM events),
+s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM g)
+SELECT user_id, session::BIGINT AS session, CAST(min(ts) AS VARCHAR) AS start, CAST(max(ts) AS VARCHAR) AS "end", count(*) AS events FROM s GROUP BY ALL"""
+)
+def user_sessions(spark, sf):
+    out = co.sessions(table(spark, sf, "events"), "user_id", "ts")
+    return out.withColumns({c: F.col(c).cast("string") for c in ("start", "end")})
+
+
+RATE = """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+a AS (SELECT user_id, i, ts FROM e WHERE i = 1
+  UNION ALL SELECT user_id, i, ts FROM (SELECT e.user_id, e.i, e.ts, row_number() OVER (PARTITION BY e.user_id ORDER BY e.i) AS r
+    FROM e JOIN a ON e.user_id = a.user_id AND e.i > a.i AND e.ts >= a.ts + INTERVAL 21600 SECONDS) WHERE r = 1)
+SELECT e.user_id, e.event_id, a.i IS NOT NULL AS accepted FROM e LEFT JOIN a ON a.user_id = e.user_id AND a.i = e.i"""
+
+
+@query(RATE)
+def rate_limited(spark, sf):
+    return co.rate_limited(table(spark, sf, "events"), "user_id", "ts", "event_id", 21600)
+
+
+@query(
+    shown(
+        """WITH r AS (SELECT event_type AS reason, value AS elapsed, event_id % 10 = 0 AS technical, CASE WHEN event_id % 3 > 0 THEN (event_id % 5)::DOUBLE END AS cost FROM events)
+--
+SELECT reason, count(*) AS requests, count_if(technical) AS technical, median(elapsed) AS median, quantile_cont(elapsed, 0.95) AS p95, sum(cost) AS cost FROM r GROUP BY 1""",
+        "median p95 cost",
+    )
+)
+def runtime_summary(spark, sf):
+    e, i = table(spark, sf, "events"), F.col("event_id")
+    return told(
+        co.runtime_summary(
+            e.select(F.col("event_type").alias("reason"), F.col("value").alias("elapsed"), (i % 10 == 0).alias("technical"), F.when(i % 3 > 0, (i % 5).cast("double")).alias("cost"))
+        )
+    )
+
+
+@query(
+    shown(
+        """WITH c AS (SELECT user_id, event_id % 50 <> 0 AS observed, event_id % 11 AS completion, CASE WHEN event_id % 40 > 0 THEN event_id % 7 END AS hit, event_id % 13 AS miss FROM events)
+--
+SELECT user_id, count(*) AS calls, sum(completion)::BIGINT AS completion,
+  CASE WHEN count_if(NOT observed) = 0 AND count(hit) = count(*) THEN (sum(hit) * 1.0 + sum(miss) * 2.0 + sum(completion) * 3.0)::DOUBLE / 1e6 END AS cost FROM c GROUP BY 1""",
+        "cost",
+    )
+)
+def usage_cost(spark, sf):
+    i = F.col("event_id")
+    calls = table(spark, sf, "events").select(
+        "user_id", (i % 50 != 0).alias("observed"), (i % 11).alias("completion"), F.when(i % 40 > 0, i % 7).alias("cache_hit"), (i % 13).alias("cache_miss")
+    )
+    return told(co.usage_cost(calls, "user_id", 1.0, 2.0, 3.0))
+
+
+@query(
+    shown(
+        """WITH r AS (SELECT doc_id % 5 AS grp, quality, CASE WHEN quality = 0 THEN toxic END AS toxic FROM labels), l AS (UNPIVOT r ON quality, toxic INTO NAME flag VALUE value)
+--
+SELECT grp, flag, count(*) AS applicable, count_if(value = 1) AS positive, avg(value) AS share FROM l GROUP BY ALL""",
+        "share",
+    )
+)
+def rating_summary(spark, sf):
+    rows = table(spark, sf, "labels").select((F.col("doc_id") % 5).alias("grp"), "quality", F.when(F.col("quality") == 0, F.col("toxic")).alias("toxic"))
+    return told(co.rating_summary(rows, "grp", ["quality", "toxic"]))
+
+
+@query(
+    "SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY a, event_type)::INT AS place FROM (SELECT user_id, event_type, min(event_id) AS a FROM events GROUP BY ALL)"
+)
+def first_occurrences(spark, sf):
+    return co.first_occurrences(table(spark, sf, "events"), "user_id", "event_id", "event_type")
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0)
+SELECT 'union' AS op, count(*) AS n FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT 'intersect', count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)
+UNION ALL SELECT 'except', count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'union_all', (SELECT count(*) FROM a) + (SELECT count(*) FROM b)"""
+)
+def set_operations(spark, sf):
+    a = table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).distinct()
+    b = table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).filter("k % 2 = 0")
+    made = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.exceptAll(b), "union_all": a.union(b)}
+    parts = [d.agg(F.lit(n).alias("op"), F.count("*").alias("n")) for n, d in made.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query()
+def message_parts(spark, sf):
+    return co.split_messages(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def _stream(spark, sf):
+    """The events table as a stream of finished files."""
+    e = table(spark, sf, "events")
+    rows = spark.readStream.schema(e.schema).parquet(f"{sf}/events.parque[t]")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _folder(spark) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared or tempfile.mkdtemp(prefix='tidewater-')}/streams/{uuid.uuid4().hex}"
+
+
+@query(RATE)
+def stream_rate_limited(spark, sf):
+    """One batch here, so that all events of a user are in order of time."""
+    return state.collected(state.rate_limited(_stream(spark, sf), 21600), "rate", _folder(spark))
+
+
+@query()
+def stream_sessions(spark, sf):
+    return state.collected(state.sessions(_stream(spark, sf)), "sessions", _folder(spark))
+
+
+@query()
+def stream_request_metrics(spark, sf):
+    return state.collected(state.request_metrics(_stream(spark, sf)), "metrics", _folder(spark))

@@ -456,9 +456,9 @@ def return_autocorrelation(spark, sf):
         S
         + f""", l AS (SELECT *, ln(y) - ln({LAG.format(3)}) AS a, y - {LAG.format(3)} AS b FROM s), t AS (SELECT unnest([0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95])::DOUBLE AS tau),
 g AS (SELECT series_id, arg_max(y, date) AS last, list_sort(list(a) FILTER (a IS NOT NULL)) AS la, list_sort(list(b) FILTER (b IS NOT NULL)) AS lb FROM l GROUP BY 1),
-k AS (SELECT *, (len(la) - 1) * tau AS at, floor((len(la) - 1) * tau)::INT + 1 AS i, ceil((len(la) - 1) * tau)::INT + 1 AS j FROM g, t)
+k AS (SELECT *, (len(la) - 1) * tau AS pl, floor((len(la) - 1) * tau)::INT + 1 AS i, ceil((len(la) - 1) * tau)::INT + 1 AS j FROM g, t)
 --
-SELECT series_id, tau, last * exp(la[i] + (at - (i - 1)) * (la[j] - la[i])) AS by_return, last + lb[i] + (at - (i - 1)) * (lb[j] - lb[i]) AS by_difference FROM k""",
+SELECT series_id, tau, last * exp(la[i] + (pl - (i - 1)) * (la[j] - la[i])) AS by_return, last + lb[i] + (pl - (i - 1)) * (lb[j] - lb[i]) AS by_difference FROM k""",
         "tau by_return by_difference",
     )
 )
