@@ -70,7 +70,7 @@ def dense(vectors: DataFrame, queries: DataFrame, most: int = 10_000, block_rows
     else:
         blocks = max(1, vectors.count() // block_rows)
         left = left.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-        both = left.join(right.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")), "_b")
+        both = left.join(right.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))), "_b")
     dot = F.aggregate(F.zip_with("_v", "_q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     return both.select("query_id", "id", dot.alias("score"))
 
