@@ -229,3 +229,18 @@ def quantile_scores(rows: DataFrame, levels: list[float]) -> DataFrame:
         F.avg(crossed.cast("double")).alias("crossing_rate"),
     )
 
+
+
+def origin_evidence(sets: DataFrame) -> DataFrame:
+    """Of rows (series_id, name, horizon, origin): each name's origins, those that all names have, their ends, and
+    whether every name has the same."""
+    names = sets.groupBy(SERIES, "horizon").agg(F.countDistinct("name").alias("_all"))
+    at = sets.groupBy(SERIES, "horizon", "origin").agg(F.countDistinct("name").alias("_n")).join(names, [SERIES, "horizon"])
+    common = at.groupBy(SERIES, "horizon").agg(
+        F.count_if(F.col("_n") == F.col("_all")).alias("common"),
+        F.min(F.when(F.col("_n") == F.col("_all"), F.col("origin"))).alias("first_common"),
+        F.max(F.when(F.col("_n") == F.col("_all"), F.col("origin"))).alias("last_common"),
+        F.bool_and(F.col("_n") == F.col("_all")).alias("all_same"),
+    )
+    own = sets.groupBy(SERIES, "horizon", "name").agg(F.countDistinct("origin").alias("origins"))
+    return own.join(common, [SERIES, "horizon"])

@@ -129,3 +129,36 @@ def single_link(pages: DataFrame, pattern: str = r'href="([^"#]+)"') -> DataFram
     links = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))))
     rows = pages.select("page_id", links.alias("_l"))
     return rows.select("page_id", F.size("_l").alias("links"), F.when(F.size("_l") == 1, F.element_at("_l", 1)).alias("link"))
+
+
+def reranked(hits: DataFrame, scores: DataFrame, top: int = 6, pool: int = 24, **caps) -> DataFrame:
+    """The best `pool` hits of each query in the order of new scores (query_id, id, new_score), capped like diverse().
+
+    A query with a score that is missing, NaN or infinite for any hit of its pool keeps its own order.
+    """
+    w = W.partitionBy("query_id")
+    rows = hits.withColumn("_r", F.row_number().over(w.orderBy(F.desc("score"), "id"))).filter(F.col("_r") <= max(pool, top)).drop("_r")
+    rows = rows.join(scores, ["query_id", "id"], "left")
+    new = F.col("new_score")
+    bad = new.isNull() | F.isnan(new) | (F.abs(new) == float("inf"))
+    rows = rows.withColumn("fell_back", F.max(bad.cast("int")).over(w) == 1)
+    rows = rows.withColumns({"first_score": F.col("score"), "score": F.when(F.col("fell_back"), F.col("score")).otherwise(new)})
+    return diverse(rows.drop("new_score"), top, **caps)
+
+
+def page_parts(pages: DataFrame, id_col: str, text: Column, weak: int = 80, least: int = 30, size: int = 380, overlap: int = 60) -> DataFrame:
+    """page_id, is_weak and the parts of each page's text with white space collapsed; weak pages have fewer than
+    `weak` characters, and parts of fewer than `least` are left out."""
+    clean = F.trim(F.regexp_replace(text, r"\s+", " "))
+    rows = pages.select(F.col(id_col).alias("doc_id"), clean.alias("text"))
+    parts = chunks(rows, "doc_id", "text", size, overlap).filter(F.char_length("text") >= least)
+    flags = rows.select("doc_id", (F.char_length("text") < weak).alias("is_weak"))
+    return flags.join(parts, "doc_id", "left").withColumnRenamed("doc_id", "page_id")
+
+
+def require_strong(parts: DataFrame, most_weak: float = 0.35) -> DataFrame:
+    """parts, or ValueError if too many of the pages are weak."""
+    seen = parts.select("page_id", "is_weak").distinct().agg(F.avg(F.col("is_weak").cast("double"))).first()[0]
+    if seen is not None and seen > most_weak:
+        raise ValueError(f"{seen:.0%} of the pages are weak")
+    return parts

@@ -180,3 +180,43 @@ def autocorrelation(series: DataFrame, lags: int) -> DataFrame:
     sums = pairs.groupBy(SERIES).agg(F.sum(F.col("_d") * F.col("_d")).alias("_v"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(1, lags + 1)])
     long = sums.unpivot([SERIES, "_v"], [f"p{k}" for k in range(1, lags + 1)], "lag", "s")
     return long.select(SERIES, F.substring("lag", 2, 9).cast("int").alias("lag"), (F.col("s") / F.col("_v")).alias("acf"))
+
+
+#: Formats of dates in the order in which they are tried; day before month.
+DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "yyyyMMdd", "MM.yyyy", "yyyy-MM"]
+
+
+def parsed_date(text):
+    """The first format that reads a text gives its date; null if none does."""
+    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)).cast("date") for f in DATE_FORMATS])
+
+
+def windows(series: DataFrame, lookback: int = 12, horizon: int = 21) -> DataFrame:
+    """origin, x (log returns of the last `lookback` months) and y (log changes of the next `horizon` months) where both are whole."""
+    step = series.withColumn("_r", fr.log_return(F.col("y")))
+    ahead = fr.ordered().rowsBetween(1, horizon)
+    rows = step.withColumns(
+        {"x": F.collect_list("_r").over(fr.trailing(lookback)), "_later": F.collect_list(F.ln("y")).over(ahead)}
+    ).filter((F.size("x") == lookback) & (F.size("_later") == horizon))
+    return rows.select(SERIES, F.col("date").alias("origin"), "pos", "x", F.transform("_later", lambda v: v - F.ln("y")).alias("y"))
+
+
+def inner_split(origins: DataFrame, horizon: int, share: float = 0.8) -> DataFrame:
+    """origins (series_id, pos, ...) with part: train if the last target lies before the boundary at `share` of the
+    origins, validation from the boundary on; what is between is purged (null)."""
+    w = W.partitionBy(SERIES)
+    rows = origins.withColumns({"_i": F.row_number().over(w.orderBy("pos")) - 1, "_n": F.count("*").over(w)})
+    edge = F.min(F.when(F.col("_i") >= F.floor(F.col("_n") * share), F.col("pos"))).over(w)
+    part = F.when(F.col("pos") >= edge, "validation").when(F.col("pos") + horizon < edge, "train")
+    return rows.withColumn("part", part).drop("_i", "_n")
+
+
+def return_tests(series: DataFrame, lags: int = 12) -> DataFrame:
+    """Ljung-Box statistic of log returns up to so many lags, and Jarque-Bera with its p-value (chi-square, 2)."""
+    r = series.withColumn("_r", fr.log_return(F.col("y"))).filter("_r IS NOT NULL")
+    n = r.groupBy(SERIES).agg(F.count("*").alias("n"), F.skewness("_r").alias("_s"), F.kurtosis("_r").alias("_k"))
+    box = autocorrelation(series, lags).join(n, SERIES).groupBy(SERIES).agg(
+        F.sum(F.col("n") * (F.col("n") + 2) * F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag"))).alias("ljung_box")
+    )
+    jb = F.col("n") / 6 * (F.col("_s") * F.col("_s") + F.col("_k") * F.col("_k") / 4)
+    return n.join(box, SERIES).select(SERIES, "n", "ljung_box", jb.alias("jarque_bera"), F.exp(-jb / 2).alias("jarque_bera_p"))

@@ -606,3 +606,95 @@ def bootstrap_intervals(spark, sf):
     from tidewater.operators.models import bootstrap_intervals
 
     return told(bootstrap_intervals(bt.paired(errors(spark, sf), "mean_reversion", "naive")))
+
+
+@query(
+    shown(
+        R
+        + f""", f AS (SELECT *, {LAG.format(12)} IS NOT NULL AS a, {_full("stddev_samp", "r", 12)} IS NOT NULL AS b FROM r),
+x AS (SELECT f.*, h AS horizon FROM f, (SELECT unnest([1, 6]) AS h) JOIN s t ON t.series_id = f.series_id AND t.pos = f.pos + h),
+z AS (SELECT series_id, horizon, date AS origin, 'lags' AS name FROM x WHERE a UNION ALL SELECT series_id, horizon, date, 'volatility' FROM x WHERE b AND extract(month FROM date) <> 5),
+o AS (SELECT series_id, horizon, origin, count(*) AS n FROM z GROUP BY ALL),
+c AS (SELECT series_id, horizon, count_if(n = 2) AS common, min(origin) FILTER (n = 2) AS first_common, max(origin) FILTER (n = 2) AS last_common, bool_and(n = 2) AS all_same FROM o GROUP BY ALL)
+--
+SELECT z.series_id, z.horizon, name, count(*) AS origins, first(common) AS common, first(first_common) AS first_common, first(last_common) AS last_common, first(all_same) AS all_same
+FROM z JOIN c ON c.series_id = z.series_id AND c.horizon = z.horizon GROUP BY z.series_id, z.horizon, name""",
+        "",
+        "first_common last_common",
+    )
+)
+def origin_evidence(spark, sf):
+    s = series(spark, sf)
+    t = se.direct_targets(s, se.internal_features(s), [1, 6])
+    a = t.filter("y12 IS NOT NULL").withColumn("name", F.lit("lags"))
+    b = t.filter("vol12 IS NOT NULL AND month(origin) != 5").withColumn("name", F.lit("volatility"))
+    keys = ["series_id", "name", "horizon", "origin"]
+    return told(bt.origin_evidence(a.select(*keys).unionByName(b.select(*keys))))
+
+
+@query(
+    shown(
+        S
+        + """, n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM s),
+e AS (SELECT *, min(pos) FILTER (i >= floor(n * 0.8)) OVER (PARTITION BY series_id) AS edge FROM n)
+--
+SELECT series_id, date, pos, y, CASE WHEN pos >= edge THEN 'validation' WHEN pos + 6 < edge THEN 'train' END AS part FROM e""",
+        "y",
+        "date",
+    )
+)
+def purged_split(spark, sf):
+    return told(se.inner_split(series(spark, sf), 6))
+
+
+@query(
+    shown(
+        R
+        + """, w AS (SELECT *, list(r) OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS l,
+  list(ln(y)) OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS a FROM r)
+--
+SELECT series_id, date AS origin, pos, len(l)::INT AS n_x, len(a)::INT AS n_y, list_sum(l) AS sum_x, a[6] - ln(y) AS last_y
+FROM w WHERE len(a) = 6 AND len(list_filter(l, lambda v: v IS NOT NULL)) = 12""",
+        "sum_x last_y",
+        "origin",
+    )
+)
+def sequence_windows(spark, sf):
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    w = se.windows(series(spark, sf), 12, 6)
+    return told(w.select("series_id", "origin", "pos", F.size("x").alias("n_x"), F.size("y").alias("n_y"), total.alias("sum_x"), F.element_at("y", 6).alias("last_y")))
+
+
+@query(
+    shown(
+        R
+        + """, q AS (SELECT series_id, date, r, r - avg(r) OVER (PARTITION BY series_id) AS d, row_number() OVER (PARTITION BY series_id ORDER BY date) AS i FROM r WHERE r IS NOT NULL),
+v AS (SELECT series_id, count(*) AS n, sum(d * d) AS s2, sum(d ** 3) AS s3, sum(d ** 4) AS s4 FROM q GROUP BY 1),
+c AS (SELECT a.series_id, k, sum(a.d * b.d) AS g FROM q a, (SELECT unnest(range(1, 13)) AS k) JOIN q b ON b.series_id = a.series_id AND b.i = a.i - k GROUP BY ALL),
+l AS (SELECT c.series_id, sum(n * (n + 2) * (g / s2) ** 2 / (n - k)) AS ljung_box FROM c JOIN v ON v.series_id = c.series_id GROUP BY ALL),
+j AS (SELECT series_id, n, n / 6 * (((s3 / n) / (s2 / n) ** 1.5) ** 2 + ((s4 / n) / (s2 / n) ** 2 - 3) ** 2 / 4) AS jb FROM v)
+--
+SELECT j.series_id, n, ljung_box, jb AS jarque_bera, exp(-jb / 2) AS jarque_bera_p FROM j JOIN l ON l.series_id = j.series_id""",
+        "ljung_box jarque_bera jarque_bera_p",
+    )
+)
+def return_tests(spark, sf):
+    return told(se.return_tests(series(spark, sf)))
+
+
+@query(
+    shown(
+        """WITH t AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 2 THEN strftime(o_orderdate, '%m/%d/%Y')
+  WHEN 3 THEN strftime(o_orderdate, '%m.%Y') ELSE 'n/a' END AS d FROM orders)
+--
+SELECT o_orderkey, coalesce(try_strptime(d, '%Y-%m-%d'), try_strptime(d, '%d/%m/%Y'), try_strptime(d, '%m/%d/%Y'), try_strptime(d, '%m.%Y'))::DATE AS date FROM t""",
+        "",
+        "date",
+    )
+)
+def mixed_dates(spark, sf):
+    """Dates told in five ways; a month above 12 shows that a date has the month first."""
+    k, d = F.col("o_orderkey") % 5, F.col("o_orderdate")
+    text = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "dd/MM/yyyy")).when(k == 2, F.date_format(d, "MM/dd/yyyy"))
+    text = text.when(k == 3, F.date_format(d, "MM.yyyy")).otherwise("n/a")
+    return told(table(spark, sf, "orders").select("o_orderkey", se.parsed_date(text).alias("date")))

@@ -125,3 +125,33 @@ SELECT page_id, len(l)::INT AS links, CASE WHEN len(l) = 1 THEN l[1] END AS link
 )
 def single_page_link(spark, sf):
     return re_.single_link(table(spark, sf, "pages"))
+
+
+@query(
+    D
+    + """, pl AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 24),
+ns AS (SELECT *, CASE WHEN query_id % 4 = 0 AND id % 10 = 0 THEN NULL ELSE length(text)::DOUBLE END AS ns FROM pl),
+fb AS (SELECT *, count(*) OVER (PARTITION BY query_id) <> count(ns) OVER (PARTITION BY query_id) AS fell_back FROM ns),
+sc AS (SELECT query_id, id, source, page, fell_back, CASE WHEN fell_back THEN score ELSE ns END AS score FROM fb),
+s1 AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query_id, source, page ORDER BY score DESC, id) <= 2),
+s2 AS (SELECT * FROM s1 QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) <= 3)
+SELECT query_id, id, source, page, score, fell_back, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s2 QUALIFY rank <= 6"""
+)
+def reranked_hits(spark, sf):
+    """The new score is the text's length here, unknown for some hits of every fourth query."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", F.col("lang").alias("page"), "text")
+    pool = hybrid(spark, sf).join(d, "id")
+    new = F.when((F.col("query_id") % 4 == 0) & (F.col("id") % 10 == 0), F.lit(None)).otherwise(F.char_length("text").cast("double"))
+    out = re_.reranked(pool.drop("text"), pool.select("query_id", "id", new.alias("new_score")))
+    return out.select("query_id", "id", "source", "page", "score", "fell_back", "rank")
+
+
+@query(
+    r"""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM pages),
+w AS (SELECT *, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM p),
+c AS (SELECT page_id, w, unnest(range(CASE WHEN len(w) <= 40 THEN 1 ELSE ceil((len(w) - 40) / 30)::INT + 1 END)) AS i FROM w WHERE len(w) > 0),
+k AS (SELECT page_id, i::INT AS chunk, len(w[i * 30 + 1:i * 30 + 40])::INT AS n_words, array_to_string(w[i * 30 + 1:i * 30 + 40], ' ') AS text FROM c)
+SELECT p.page_id, length(p.text) < 80 AS is_weak, chunk, n_words, k.text FROM p LEFT JOIN k ON k.page_id = p.page_id AND length(k.text) >= 30"""
+)
+def page_parts(spark, sf):
+    return re_.page_parts(table(spark, sf, "pages"), "page_id", F.regexp_replace("html", "<[^>]*>", " "), size=40, overlap=10)
