@@ -21,7 +21,7 @@ GRID_ROW = (
 )
 
 
-def read_series(spark: SparkSession, path: str, columns: tuple[str, str] = ("date", "brent_usd_per_barrel"), name: str = "series") -> DataFrame:
+def read_series(spark: SparkSession, path: str, columns: tuple[str, str], name: str = "series") -> DataFrame:
     """A CSV file with exactly the two columns as a valid monthly series; ValueError says what is wrong."""
     head = spark.read.option("header", "true").csv(path)
     if tuple(head.columns) != columns:
