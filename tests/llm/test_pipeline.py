@@ -55,3 +55,22 @@ def test_query(spark, name, plain, columns):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").collect()]
     got = {r["doc_id"]: tuple(r[c] for c in columns) for r in queries.queries()[name](spark, SF).collect()}
     assert got == plain(rows)
+
+
+def test_stages_on_edges(spark):
+    """Null ids, texts and sources, blanks, repeated rows, a long text, and columns named like the operators' own."""
+    long = " ".join(f"word{i % 977} other{i % 31}" for i in range(40_000))
+    texts = [None, "", " \n\t", "A few plain words here.", long, long + " more", "A few plain words here."]
+    rows = [(None if i == 3 else i, t, "en", None if i % 2 else "s", len(t or ""), i, i, i) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[4], rows[0]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _key long, size long, kept long"
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        docs = docs.drop("_key")
+        before = docs.count()
+        for _, stage in corpus_pipeline.STAGES:
+            out = written(stage(spark, docs, SF), "test-edges")
+            if stage is not corpus_pipeline.STAGES[-1][1]:
+                assert out.columns == docs.columns
+            docs = out
+        assert docs.count() >= (1 if before else 0) and (before or docs.count() == 0)
+        assert docs.filter("NOT round_trip").count() == 0
