@@ -315,3 +315,21 @@ def test_word_hashes_see_every_byte():
         w = T.words(data, offsets)
         assert (first, last) == (0, 3) and len(set(w.hashes().tolist())) == len(words)
         assert len(set(w.hashes(T.FOLDED).tolist())) == len(words) - 1
+
+
+def test_release(spark):
+    from pathlib import Path
+
+    from tidewater.llm import common
+
+    table = common.written(spark.range(3).toDF("x"), "release")
+    folder = Path(common.own_folder(spark).removeprefix("file:"))
+    kept = folder.with_name("kept-by-test")
+    assert table.count() == 3 and folder.is_dir()
+    folder.rename(kept)
+    try:
+        common.written(spark.range(3).toDF("x"), "release")
+        common.release(spark)
+        assert not folder.exists()
+    finally:
+        kept.rename(folder)

@@ -26,14 +26,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tidewater-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors."""
+    """df as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors.
+
+    Results are read lazily from these tables, so they stay until release() or the owner of the folder removes them.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidewater/{what}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Removes all tables of this application; results that read them must be stored before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def without_spaces(text: Column) -> Column:
     """text without SPACES; replace() searches bytes, several times as fast as translate() or a regexp."""
     for c in SPACES:
