@@ -150,13 +150,14 @@ def first_occurrences(spark, sf):
 
 
 @query(
-    """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0)
+    """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT c_custkey AS k FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey > 0))
 SELECT 'union' AS op, count(*) AS n FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT 'intersect', count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)
 UNION ALL SELECT 'except', count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'union_all', (SELECT count(*) FROM a) + (SELECT count(*) FROM b)"""
 )
 def set_operations(spark, sf):
     a = table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).distinct()
-    b = table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).filter("k % 2 = 0")
+    b = table(spark, sf, "customer").join(table(spark, sf, "nation").filter("n_regionkey > 0"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
+    b = b.select(F.col("c_custkey").alias("k"))
     made = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.exceptAll(b), "union_all": a.union(b)}
     parts = [d.agg(F.lit(n).alias("op"), F.count("*").alias("n")) for n, d in made.items()]
     out = parts[0]

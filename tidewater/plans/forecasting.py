@@ -69,7 +69,7 @@ def monthly_series(spark, sf):
 
 @query(
     shown(
-        """WITH d AS (SELECT user_id % 3 AS series_id, ts::DATE AS date, value AS y, event_id FROM events WHERE user_id < 60),
+        """WITH d AS (SELECT user_id % 3 AS series_id, ts::DATE AS date, value AS y, event_id FROM events),
 g AS (SELECT *, lead(date) OVER (PARTITION BY series_id ORDER BY date, event_id) AS nxt FROM d)
 --
 SELECT series_id, rule, found FROM (
@@ -80,7 +80,7 @@ SELECT series_id, rule, found FROM (
     ).replace("\n--\n", "\n")
 )
 def series_violations(spark, sf):
-    e = table(spark, sf, "events").filter("user_id < 60")
+    e = table(spark, sf, "events")
     return se.violations(e.select((F.col("user_id") % 3).alias("series_id"), F.col("ts").cast("date").alias("date"), F.col("value").alias("y")))
 
 
