@@ -698,3 +698,12 @@ def mixed_dates(spark, sf):
     text = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "dd/MM/yyyy")).when(k == 2, F.date_format(d, "MM/dd/yyyy"))
     text = text.when(k == 3, F.date_format(d, "MM.yyyy")).otherwise("n/a")
     return told(table(spark, sf, "orders").select("o_orderkey", se.parsed_date(text).alias("date")))
+
+
+@query()
+def pooled_models(spark, sf):
+    from tidewater.operators.tracks import evaluate_track
+
+    s = series(spark, sf)
+    records = se.direct_targets(s, se.lagged_features(s), [1, 6])
+    return told(evaluate_track(records, ["y", "lag_1", "lag_12", "rolling_mean_3", "rolling_mean_12", "rolling_std_12", "momentum_6"]))
