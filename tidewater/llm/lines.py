@@ -135,7 +135,7 @@ def line_dedup(
 
 
 def cut_lines(rows: DataFrame, drops: DataFrame, least_chars: int) -> DataFrame:
-    some = likely_in(rows, "doc_id", drops, "doc_id").join(drops, "doc_id")
+    some = likely_in(rows, "doc_id", drops, "doc_id").join(drops.hint("shuffle_hash"), "doc_id")
     return some.mapInArrow(_cut(least_chars), "doc_id long, n_lines long, n_dropped long, text string")
 
 
@@ -160,7 +160,7 @@ def without_repeats(
             columns = [pa.array(texts, c.type) if i == place else c for i, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    cut = some.join(drops, F.col(id_col) == F.col("_id"), "left").drop("_id").mapInArrow(step, docs.schema)
+    cut = some.join(drops.hint("shuffle_hash"), F.col(id_col) == F.col("_id"), "left").drop("_id").mapInArrow(step, docs.schema)
     return rest.unionByName(cut)
 
 
