@@ -23,8 +23,8 @@ REGISTERS, BAND = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Pairs that the likelihood puts this far below the threshold, over five standard errors, are not verified.
 MARGIN = 0.2
-#: Members of one center, or of one block of a bucket, that a task compares at a time.
-BLOCK = 512
+#: Members of one center, and of one block of a bucket, that a task compares at a time.
+MEMBERS, BLOCK = 128, 512
 
 FACTORS = T.stream(REGISTERS, 11) | np.uint64(1)
 
@@ -94,7 +94,7 @@ def _beside_center(pairs: DataFrame, payload: DataFrame, step: Callable, what: s
     """
     total = pairs.count()
     centers = written(pairs.groupBy("a").agg(F.count("*").alias("members")), f"{what}-centers")
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    parts = F.ceil(F.col("members") / MEMBERS).cast("int")
     dealt = attach(pairs, centers, "a", "members", total).withColumn("part", F.pmod(F.xxhash64("b"), parts).cast("int"))
     members = dealt.select("a", "part", "b").join(payload.withColumnRenamed("doc_id", "b"), "b").withColumn("member", F.lit(1))
     own = centers.select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("a").alias("b"))
@@ -142,47 +142,64 @@ def _verified(threshold: int) -> Callable:
     return step
 
 
-def _across(least: float) -> Callable:
-    """Blocks of a bucket, rows sorted by block: pairs of an outsider and another member of another component."""
+def _across(least: float, threshold: int) -> Callable:
+    """Blocks of a bucket, rows sorted by block: links between an outsider and a member of another component.
 
-    def compare(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    A pair is compared in its first common band alone. Links that join nothing new within the block are not
+    told, so that a block tells fewer links than it has rows.
+    """
+
+    def compare(band: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
         rep, comp, out, n = (np.array([r[i] for r in rows]) for i in (0, 1, 2, 3))
         regs = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(len(rows), REGISTERS)
-        first, second = np.flatnonzero(out == 1), np.flatnonzero(out == 0)
-        us, vs = [], []
-        for x in first:
+        bands = regs.view(np.uint64)
+        sets = list(shingle_sets(pa.array([r[5] for r in rows], pa.string())))
+        parent: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while c in parent:
+                c = parent[c]
+            return c
+
+        inner = np.flatnonzero(out == 0)
+        for x in np.flatnonzero(out == 1):
             # No pair at the threshold has sizes further apart, or fewer than half of its registers equal (by eight errors).
-            near = (np.minimum(n, n[x]) >= least * np.maximum(n, n[x]))[second]
-            other = second[near & (comp[second] != comp[x]) & (rep[second] != rep[x])]
+            fits = (np.minimum(n, n[x]) >= threshold / 100 * np.maximum(n, n[x]))[inner]
+            other = inner[fits & (comp[inner] != comp[x]) & (rep[inner] != rep[x])]
             other = other[(regs[other] == regs[x]).sum(1) >= 0.4 * REGISTERS]
+            other = other[(bands[other] == bands[x]).argmax(1) == band]
             if not len(other):
                 continue
             j = likely_jaccard(
                 np.full(len(other), float(n[x])), n[other].astype(float), (regs[x] > regs[other]).sum(1), (regs[x] < regs[other]).sum(1)
             )
-            close = other[j >= least]
-            us.append(np.minimum(rep[x], rep[close]))
-            vs.append(np.maximum(rep[x], rep[close]))
-        empty = np.zeros(0, np.int64)
-        return np.concatenate([empty, *us]), np.concatenate([empty, *vs])
+            for y in other[np.argsort(-j)][: int((j >= least).sum())]:
+                a, b = find(comp[x]), find(comp[y])
+                if a == b:
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= threshold * (len(sets[x]) + len(sets[y]) - both):
+                    parent[max(a, b)] = min(a, b)
+                    yield min(rep[x], rep[y]), max(rep[x], rep[y])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
+
+        def told(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
+
         for batch in batches:
-            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            columns = [batch.column(x).to_pylist() for x in ("key", "i", "j", "rep", "comp", "out", "n_shingles", "sketch")]
-            for key, i, j, *row in zip(*columns, strict=True):
-                if at != (key, i, j):
+            links: list[tuple[int, int]] = []
+            columns = [batch.column(x).to_pylist() for x in ("key", "band", "i", "j", "rep", "comp", "out", "n_shingles", "sketch", "_text")]
+            for key, band, i, j, *row in zip(*columns, strict=True):
+                if at != (key, band, i, j):
                     if rows:
-                        u, v = compare(rows)
-                        us.append(u)
-                        vs.append(v)
-                    at, rows = (key, i, j), []
+                        links += compare(at[1], rows)
+                    at, rows = (key, band, i, j), []
                 rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+            yield told(links)
         if rows:
-            u, v = compare(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            yield told(list(compare(at[1], rows)))
 
     return step
 
@@ -197,8 +214,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Equal sets are one class, compared once. Bands of SetSketch registers put classes into buckets; every
     class is compared with its bucket's smallest id (linear in the bucket), which unites groups of copies.
     Members of a bucket that are still in another component than its smallest id are then compared with
-    all its other members, in blocks. A pair goes to the exact test of full sets only if the joint
-    likelihood of both sketches allows the threshold.
+    all its other members, in blocks, until they are in one component. A pair goes to the exact test of full
+    sets only if the joint likelihood of both sketches allows the threshold.
 
     Null or empty texts have an empty set, are linked with nothing and are kept. Rows that repeat an id count
     as parts of one document and share its component if their sets match one another's. Rows with a null
@@ -218,7 +235,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = groups.filter("rep IS NOT NULL").select(F.col("rep").alias("doc_id"), "n_shingles", "sketch")
     text = rows.filter("doc_id IS NOT NULL")
     cut = f"transform(sequence(0, {REGISTERS // BAND - 1}), j -> xxhash64(j, substring(sketch, j * {2 * BAND} + 1, {2 * BAND})))"
-    bands = reps.select(F.explode(F.expr(cut)).alias("key"), F.col("doc_id").alias("rep"))
+    bands = reps.select(F.posexplode(F.expr(cut)).alias("band", "key"), F.col("doc_id").alias("rep"))
     buckets = written(
         bands.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("n")).filter("n > 1"), "near-buckets"
     )
@@ -226,7 +243,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = written(attach(bands, buckets, "key", "n", total), "near-members")
     pairs = members.filter("rep != center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = written(pairs, "near-pairs")
-    links = _decide(pairs, reps, text, threshold, least)
+    likely = _beside_center(pairs, reps, _estimated(least), "near-estimate").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    links = _exact(written(likely, "near-likely"), text, threshold)
     found = written(components(links), "near-components")
 
     now = members.filter("n > 2").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -247,18 +265,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = attach(apart.drop("all", "main"), shape, "key", "all", total)
     i, j = F.pmod(F.xxhash64("rep"), "rows").cast("int"), F.pmod(F.xxhash64("rep"), "cols").cast("int")
     left = placed.filter("out").select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), j.alias("j"), "rep", "comp", F.lit(1).alias("out")
+        "key", "band", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), j.alias("j"), "rep", "comp", F.lit(1).alias("out")
     )
     right = placed.select(
-        "key", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), "rep", "comp", F.lit(0).alias("out")
+        "key", "band", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"), "rep", "comp", F.lit(0).alias("out")
     )
     blocks = left.unionByName(right).join(reps.withColumnRenamed("doc_id", "rep"), "rep")
-    blocks = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = blocks.mapInArrow(_across(least), "u long, v long").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "near-more")
+    some = likely_in(text, "doc_id", apart.select("rep").distinct(), "rep").withColumnRenamed("doc_id", "rep")
+    blocks = blocks.join(some, "rep").repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
+    more = written(blocks.mapInArrow(_across(least, threshold), "u long, v long").distinct(), "near-more")
     if not more.isEmpty():
-        exact = _exact(more, text, threshold)
-        found = written(components(links.unionByName(exact)), "near-components")
+        found = written(components(links.unionByName(more)), "near-components")
 
     classes = groups.select("set_key", "rep", "copies").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     classes = written(classes.select("set_key", F.coalesce("component", "rep").alias("component_id"), "copies"), "near-classes-now")
@@ -267,11 +284,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return linked.unionByName(lone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _decide(pairs: DataFrame, reps: DataFrame, text: DataFrame, threshold: int, least: float) -> DataFrame:
-    likely = _beside_center(pairs, reps, _estimated(least), "near-estimate")
-    return _exact(written(likely.select(F.col("u").alias("a"), F.col("v").alias("b")), "near-likely"), text, threshold)
-
-
 def _exact(pairs: DataFrame, text: DataFrame, threshold: int) -> DataFrame:
     """Links (u, v): the pairs (a, b) whose full sets meet the threshold. Only texts of pairs are shuffled."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
