@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 NAMES = [q for q in entry.queries() if not q.startswith("op") and q != "pipeline"]
 
 
