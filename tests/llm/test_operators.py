@@ -248,6 +248,23 @@ def test_nearest_recall(spark):
     assert hit >= 0.9 * 150 * 20
 
 
+@pytest.mark.parametrize("few", [24, 120])
+def test_nearest_recall_beside_long_vectors(spark, few):
+    r = np.random.default_rng(17)
+    x = r.normal(size=(60, 24))[r.integers(0, 60, 3000)] + 0.4 * r.normal(size=(3000, 24))
+    x[r.permutation(3000)[:few]] *= 10.0 ** r.integers(4, 9, (few, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in ann.nearest(df, df.filter("vec_id % 20 = 0")).collect():
+        got.setdefault(row["query_id"], set()).add(row["vec_id"])
+    hit = 0
+    for q in range(0, 3000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hit >= 0.9 * 150 * 20
+
+
 def test_quality_held_out(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -19,22 +20,49 @@ SHARD_ROWS, LEAST_SHARDS = 50_000, 12
 QUERY_ROWS = 20_000
 #: Nodes of the beam that are expanded at a time.
 WIDTH = 4
+#: Longest to shortest norm of the vectors that share a graph: with long and short ones in one, the long ones fill
+#: every beam and the edges between the short ones are not reached.
+NORM_RATIO = 2.0
 
 
-def lifted(x: np.ndarray) -> np.ndarray:
-    """x with one more component that gives all rows one length, so that the nearest has the largest inner product."""
-    square = (x.astype(np.float64) ** 2).sum(1)
-    return np.concatenate([x, np.sqrt(np.maximum(0, square.max() - square))[:, None]], axis=1).astype(np.float32)
+class Points(NamedTuple):
+    """Vectors in doubles, scaled so that the largest component is 1, their squared lengths, and the one more
+    component (lift) that gives all rows one length, so that the nearest has the largest inner product.
 
+    Distances are sums over the vectors' own lengths and the difference of lifts, never differences of products
+    of lifted rows, in which one long vector would cancel the distances of all others."""
 
-def beam_search(points: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int, visited: bool = False):
-    """Greedy searches for all queries at once: beams (node, product), best first, and what each search expanded."""
-    n, q = len(points), len(queries)
+    x: np.ndarray
+    square: np.ndarray
+    lift: np.ndarray
+
+    def closeness(self, nodes: np.ndarray, vectors: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+        """Of each node, the product with its vector; with own, whose rows the vectors are, the negative squared
+        distance of the lifted rows plus the row's squared length."""
+        product = np.einsum("ij,ij->i", self.x[nodes], vectors)
+        return product if own is None else 2 * product - self.square[nodes] - self.gap(own, nodes) ** 2
+
+    def gap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The difference of the lifts of rows a and b, from their squared lengths."""
+        total = self.lift[a] + self.lift[b]
+        return np.divide(self.square[b] - self.square[a], total, out=np.zeros(total.shape), where=total > 0)
+
+
+def lifted(x: np.ndarray) -> Points:
+    x = x / np.abs(x).max()
+    square = np.einsum("ij,ij->i", x, x)
+    return Points(x, square, np.sqrt(square.max() - square))
+
+
+def beam_search(points: Points, graph: np.ndarray, start: int, queries: np.ndarray, beam: int, own: np.ndarray | None = None):
+    """Greedy searches for all queries at once: beams (node, closeness), best first, and, for queries that are
+    points themselves (own: their rows), what each search expanded."""
+    n, q = len(points.x), len(queries)
     beam = min(beam, n)
     nodes = np.full((q, beam), -1, np.int64)
-    value = np.full((q, beam), -np.inf, np.float32)
+    value = np.full((q, beam), -np.inf)
     done = np.ones((q, beam), bool)
-    nodes[:, 0], value[:, 0], done[:, 0] = start, queries @ points[start], False
+    nodes[:, 0], value[:, 0], done[:, 0] = start, points.closeness(np.full(q, start), queries, own), False
     seen = np.zeros((q, n), bool)
     seen[:, start] = True
     trail: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -45,7 +73,7 @@ def beam_search(points: np.ndarray, graph: np.ndarray, start: int, queries: np.n
         good = np.take_along_axis(rank, take, 1) > -np.inf
         at = np.where(good, nodes[active[:, None], take], -1)
         done[active[:, None], take] = True
-        if visited:
+        if own is not None:
             trail.append((active, at, value[active[:, None], take]))
         near = np.where((at >= 0)[:, :, None], graph[at], -1).reshape(len(active), -1)
         fresh = (near >= 0) & ~seen[active[:, None], near]
@@ -56,9 +84,9 @@ def beam_search(points: np.ndarray, graph: np.ndarray, start: int, queries: np.n
         fresh = near >= 0
         r, c = np.nonzero(fresh)
         seen[active[r], near[r, c]] = True
-        product = np.full(near.shape, -np.inf, np.float32)
-        product[r, c] = np.einsum("ij,ij->i", points[near[r, c]], queries[active[r]])
-        every = np.concatenate([value[active], product], axis=1)
+        close = np.full(near.shape, -np.inf)
+        close[r, c] = points.closeness(near[r, c], queries[active[r]], None if own is None else own[active[r]])
+        every = np.concatenate([value[active], close], axis=1)
         best = np.argpartition(-every, beam - 1, axis=1)[:, :beam] if every.shape[1] > beam else np.tile(np.arange(beam), (len(active), 1))
         value[active] = np.take_along_axis(every, best, 1)
         nodes[active] = np.take_along_axis(np.concatenate([nodes[active], near], axis=1), best, 1)
@@ -68,13 +96,16 @@ def beam_search(points: np.ndarray, graph: np.ndarray, start: int, queries: np.n
     return np.take_along_axis(nodes, order, 1), np.take_along_axis(value, order, 1), trail
 
 
-def robust_prune(points: np.ndarray, own: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+def robust_prune(points: Points, own: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """Of each own point's candidates (-1: none), up to `degree`: the nearest, then the nearest that no chosen
     one is alpha times nearer to than the point itself, and so on."""
-    top = float((points[0].astype(np.float64) ** 2).sum())
     safe = np.maximum(candidates, 0)
-    vectors = points[safe]
-    away = 2 * top - 2 * np.einsum("bcd,bd->bc", vectors, points[own])
+    vectors, square = points.x[safe], points.square[safe]
+
+    def distance(rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return square + points.square[rows][:, None] - 2 * np.einsum("bcd,bd->bc", vectors, x) + points.gap(rows[:, None], safe) ** 2
+
+    away = distance(own, points.x[own])
     alive = (candidates >= 0) & (candidates != own[:, None])
     away = np.where(alive, np.maximum(away, 0), np.inf)
     out = np.full((len(own), degree), -1, np.int64)
@@ -85,26 +116,26 @@ def robust_prune(points: np.ndarray, own: np.ndarray, candidates: np.ndarray, de
         if not live.any():
             break
         out[live, k] = candidates[line, pick][live]
-        between = np.maximum(0, 2 * top - 2 * np.einsum("bcd,bd->bc", vectors, vectors[line, pick]))
+        between = np.maximum(0, distance(safe[line, pick], vectors[line, pick]))
         alive &= (alpha * alpha * between > away) & live[:, None]
         alive[line, pick] = False
         alive &= candidates != candidates[line, pick][:, None]
     return out
 
 
-def build(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 7) -> tuple[np.ndarray, int]:
+def build(points: Points, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 7) -> tuple[np.ndarray, int]:
     """The graph over points of one length, neighbours by row (-1: none), and its entry: points enter in random
     order and growing batches; each is searched for, and what its search expanded is pruned to its edges."""
-    n = len(points)
+    n = len(points.x)
     graph = np.full((n, 2 * degree), -1, np.int64)
-    start = int((points @ points.mean(0)).argmax())
+    start = int((points.square - 2 * points.x @ points.x.mean(0) + (points.lift - points.lift.mean()) ** 2).argmin())
     order = np.random.default_rng(seed).permutation(n)
     order = order[order != start]
     at, size = 0, 1
     while at < len(order):
         batch = order[at : at + size]
         at, size = at + len(batch), min(512, max(1, (at + len(batch)) // 2))
-        nodes, _, trail = beam_search(points, graph, start, points[batch], beam, visited=True)
+        nodes, _, trail = beam_search(points, graph, start, points.x[batch], beam, own=batch)
         steps = [nodes]
         for rows, expanded, _ in trail:
             part = np.full((len(batch), expanded.shape[1]), -1, np.int64)
@@ -129,7 +160,7 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: flo
     return graph[:, :degree], start
 
 
-def _back(points: np.ndarray, graph: np.ndarray, to: np.ndarray, source: np.ndarray, degree: int, alpha: float) -> None:
+def _back(points: Points, graph: np.ndarray, to: np.ndarray, source: np.ndarray, degree: int, alpha: float) -> None:
     """Adds the edges to -> source; a row that overflows is pruned."""
     order = np.argsort(to, kind="stable")
     to, source = to[order], source[order]
@@ -140,7 +171,7 @@ def _back(points: np.ndarray, graph: np.ndarray, to: np.ndarray, source: np.ndar
     for row, f, c in zip(rows[fits], first[fits], count[fits], strict=True):
         line = graph[row]
         line[np.flatnonzero(line < 0)[:c]] = source[f : f + c]
-    for width in (2 * room, 8 * room, len(points)):
+    for width in (2 * room, 8 * room, len(points.x)):
         some = ~fits & (have + count <= width)
         fits |= some
         picked = np.flatnonzero(some)
@@ -162,12 +193,29 @@ def _stacked(column: pd.Series, kind: type = np.float64) -> np.ndarray:
     return np.array([np.asarray(v, kind) for v in column], kind)
 
 
+def bands(x: np.ndarray) -> np.ndarray:
+    """The band of each vector: within one, norms differ by NORM_RATIO at most; 0 holds the longest."""
+    most = np.abs(x).max(1, keepdims=True)
+    norm = np.log(most[:, 0]) + np.log(((x / most) ** 2).sum(1)) / 2
+    order = np.argsort(-norm, kind="stable")
+    fall, band = -norm[order], np.empty(len(x), np.int64)
+    at = k = 0
+    while at < len(order):
+        end = int(np.searchsorted(fall, fall[at] + np.log(NORM_RATIO), "right"))
+        band[order[at:end]] = k
+        at, k = end, k + 1
+    return band
+
+
 def _graph(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("cid", ignore_index=True)
-    graph, start = build(lifted(_stacked(pdf["v"])))
-    pdf["start"] = np.arange(len(pdf)) == start
-    pdf["near"] = [list(r[r >= 0]) for r in graph]
-    return pdf
+    pdf["band"] = bands(_stacked(pdf["v"]))
+    pdf = pdf.sort_values(["band", "cid"], ignore_index=True)
+    starts, edges = [], []
+    for _, part in pdf.groupby("band"):
+        graph, start = build(lifted(_stacked(part["v"])))
+        starts.append(np.arange(len(part)) == start)
+        edges += [list(r[r >= 0]) for r in graph]
+    return pdf.assign(start=np.concatenate(starts), near=edges)
 
 
 def _search(top: int, beam: int) -> Callable:
@@ -175,24 +223,28 @@ def _search(top: int, beam: int) -> Callable:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "cid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(queries) or not len(nodes):
             return empty
-        nodes = nodes.sort_values("cid", ignore_index=True)
-        exact, wanted = _stacked(nodes["v"]), _stacked(queries["v"])
-        points = lifted(exact)
-        graph = np.full((len(nodes), DEGREE), -1, np.int64)
-        for i, near in enumerate(nodes["near"]):
-            graph[i, : len(near)] = near
-        start, cids, ids = int(nodes["start"].to_numpy().argmax()), nodes["cid"].to_numpy(), queries["query_id"].to_numpy()
+        wanted, ids = _stacked(queries["v"]), queries["query_id"].to_numpy()
+        unit = wanted / np.abs(wanted).max(1, keepdims=True)
+        first = lambda rows: rows.sort_values(["query_id", "score", "cid"], ascending=[True, False, True]).groupby("query_id").head(top)
         parts = []
-        block = max(1, min(512, (1 << 25) // len(nodes)))
-        for i in range(0, len(ids), block):
-            q = wanted[i : i + block]
-            flat = np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32)
-            found, value, _ = beam_search(points, graph, start, flat, beam)
-            r, c = np.nonzero((value > -np.inf)[:, : 2 * top])
-            score = (exact[found[r, c]] * q[r]).sum(1)
-            got = pd.DataFrame({"query_id": ids[i + r], "cid": cids[found[r, c]], "score": score})
-            parts.append(got.sort_values(["query_id", "score", "cid"], ascending=[True, False, True]).groupby("query_id").head(top))
-        return pd.concat(parts) if parts else empty
+        for _, part in nodes.sort_values(["band", "cid"], ignore_index=True).groupby("band"):
+            exact, cids = _stacked(part["v"]), part["cid"].to_numpy()
+            points, start = lifted(exact), int(part["start"].to_numpy().argmax())
+            graph = np.full((len(part), DEGREE), -1, np.int64)
+            for i, near in enumerate(part["near"]):
+                graph[i, : len(near)] = near
+            block = max(1, min(512, (1 << 25) // len(part)))
+            for i in range(0, len(ids), block):
+                q = wanted[i : i + block]
+                if len(part) <= beam:
+                    found = np.tile(np.arange(len(part)), (len(q), 1))
+                    r, c = np.nonzero(found >= 0)
+                else:
+                    found, value, _ = beam_search(points, graph, start, unit[i : i + block], beam)
+                    r, c = np.nonzero((value > -np.inf)[:, : 2 * top])
+                score = (exact[found[r, c]] * q[r]).sum(1)
+                parts.append(first(pd.DataFrame({"query_id": ids[i + r], "cid": cids[found[r, c]], "score": score})))
+        return first(pd.concat(parts))
 
     return step
 
@@ -206,14 +258,15 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
 
 def index(vectors: DataFrame, top: int) -> tuple[DataFrame, DataFrame, int]:
     """(classes, nodes, shards): equal vectors as a class with its smallest ids, top + 1 at most (more can't be
-    among the top of any query); and the shards' graphs over all classes, rows with their neighbours."""
+    among the top of any query); and the shards' graphs over all classes, rows with their neighbours, which are
+    places in the order of cid within shard and band."""
     w = W.partitionBy("v").orderBy("vec_id")
     few = vectors.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top + 1)
     classes = few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("dim").alias("dim"))
     classes = written(classes.withColumn("cid", F.element_at("ids", 1)), "ann-classes")
     shards = max(LEAST_SHARDS, -(-classes.count() // SHARD_ROWS))
     rows = classes.select("dim", F.pmod(F.xxhash64("cid"), F.lit(shards)).cast("int").alias("shard"), "cid", "v")
-    schema = "dim int, shard int, cid long, v array<double>, start boolean, near array<int>"
+    schema = "dim int, shard int, cid long, v array<double>, band int, start boolean, near array<int>"
     return classes, written(rows.groupBy("dim", "shard").applyInPandas(_graph, schema), "ann-graphs"), shards
 
 
@@ -221,8 +274,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, id_col: str =
     """query_id, rank, vec_id, score: of each row of queries the `top` rows of vectors with the largest inner
     product found, largest first, ties to the smaller id. The row with the query's own id is no candidate.
 
-    Every vector is indexed: equal vectors as one class, classes hashed to shards, a graph for each shard. Every
-    query searches every shard with a beam; scores are exact, in doubles, on the original vectors.
+    Every vector is indexed: equal vectors as one class, classes hashed to shards, a graph for each band of norms of
+    a shard. Every query searches every graph with a beam; scores are exact, in doubles, on the original vectors.
 
     Vectors (and queries) that are null, zero, or hold a null or non-finite component take no part, nor do
     rows with a null id; vectors meet only those of their own length. Rows that repeat an id with another
