@@ -27,9 +27,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
-    found = written(near.near_dedup(docs), "pipeline-near")
-    return without(docs, "doc_id", found.filter("NOT kept").select("doc_id"), "doc_id")
+    """One document of each group of near copies, the one with the smallest id. Rows with a null id are documents of
+    their own, after all others; their numbers go on from the largest id, and fail if that leaves them no room."""
+    if docs.filter("doc_id IS NULL").isEmpty():
+        found = written(near.near_dedup(docs), "pipeline-near")
+        return without(docs, "doc_id", found.filter("NOT kept").select("doc_id"), "doc_id")
+    after = F.lit(docs.agg(F.coalesce(F.max("doc_id"), F.lit(-1))).first()[0]).cast("long") + 1
+    numbered = docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("long"), after + F.monotonically_increasing_id()))
+    numbered = written(numbered, "pipeline-numbered")
+    found = written(near.near_dedup(numbered, "_row"), "pipeline-near")
+    return without(numbered, "_row", found.filter("NOT kept").select("doc_id"), "doc_id").drop("_row")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,3 +74,13 @@ def test_stages_on_edges(spark):
             docs = out
         assert docs.count() >= (1 if before else 0) and (before or docs.count() == 0)
         assert docs.filter("NOT round_trip").count() == 0
+
+
+def test_drop_copies_with_null_ids(spark):
+    """Of each group one row stays: the smallest id, or one of the null ids where there are no others."""
+    copied, alone, single = ("\n".join(f"{w}{i} and {w}{i * 7 % 50}" for i in range(60)) for w in ("a", "b", "c"))
+    rows = [(9, copied), (None, copied), (4, copied), (None, copied + " more"), (None, alone), (None, alone), (None, alone), (None, single), (7, single + " more"), (None, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], (r["text"] or "")[:1]) for r in corpus_pipeline.drop_copies(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(4, "a"), (None, "b"), (7, "c"), (None, ""), (2, "")], key=str)
+    assert corpus_pipeline.drop_copies(spark, docs.filter("doc_id IS NULL"), SF).count() == 4
