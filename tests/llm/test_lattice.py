@@ -1,6 +1,9 @@
 import random
 
+import pytest
+
 from tidewater.llm import lattice, pieces
+from tidewater.session import table
 
 
 def test_relational_fold(spark):
@@ -14,3 +17,21 @@ def test_relational_fold(spark):
     for w, ids in got.items():
         assert [model.unknown if i < 0 else i for i in ids] == pieces.best_path(w, model)
     assert lattice.encode_words(spark.createDataFrame([], "word string"), model).count() == 0
+
+
+def test_relational_fold_of_merges(spark, docs_words):
+    """The relations give the ids of the library's words."""
+    model = pieces.load()
+    got = {r["word"]: [model.unknown if i < 0 else i for i in r["ids"]] for r in lattice.encode_words(docs_words, model).collect()}
+    assert len(got) > 300
+    for w, ids in got.items():
+        want = pieces.merged(w, model)
+        assert [i for i in ids if i != model.unknown] == [i for i in want if model.kinds[i] != pieces.BYTE], w
+
+
+@pytest.fixture(scope="module")
+def docs_words(spark):
+    from pyspark.sql import functions as F
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents").limit(20)
+    return docs.select(F.explode(lattice.words_of(F.col("text"))).alias("word")).filter("xxhash64(word) % 3 = 0")

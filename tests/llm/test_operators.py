@@ -303,10 +303,40 @@ def test_pieces_equal_the_library(docs, rows):
     back = {r["doc_id"]: r["text"] for r in pieces.decode(coded, model).collect()}
     assert back == dict(rows)
     rng = random.Random(0)
-    memory = pieces.Memory(model)
-    for _ in range(500):
-        t = "".join(rng.choice("abcdefgh ths  \n\t.,éß中😀▁<0x>") for _ in range(rng.randrange(90)))
-        assert pieces.encode_text(t, memory) == library.encode(t)
+    encoder = pieces.Encoder(pieces.lattice_of(model))
+    made = ["".join(rng.choice("abcdefgh ths  \n\t.,éß中😀▁<0x>") for _ in range(rng.randrange(90))) for _ in range(500)]
+    made += [" " * 700 + "a" * 700 + " " * 3, "▁▁ ▁x▁", " ".join(["the" * k for k in range(300)]), ("word  " * 60_000 + "é") * 2]
+    for t in made:
+        assert pieces.encode_texts([t.encode()], encoder)[0].tolist() == library.encode(t)
+    ids, counts = pieces.encode_texts([t.encode() for t in made[:100]], encoder)
+    assert counts.tolist() == [len(library.encode(t)) for t in made[:100]] and len(ids) == counts.sum()
+
+
+def test_pieces_of_scores():
+    """The columns' fold of a model of scores against the plain one."""
+    rng = random.Random(3)
+    names = ["<unk>", *"abc▁", *{"".join(rng.choice("abc") for _ in range(rng.randrange(2, 5))) for _ in range(40)}, "▁a", "▁ab"]
+    model = pieces.Pieces(tuple(names), tuple([0.0, *[-rng.uniform(1, 9) for _ in names[1:]]]), (pieces.UNKNOWN, *[pieces.NORMAL] * (len(names) - 1)), False, True)
+    encoder = pieces.Encoder(pieces.lattice_of(model))
+    for _ in range(100):
+        text = "".join(rng.choice("abcx  ") for _ in range(rng.randrange(40)))
+        want = [i for u in pieces._units((" " + text).replace(" ", pieces.MARK)) for i in pieces.best_path(u, model)] if text else []
+        assert pieces.encode_texts([text.encode()], encoder)[0].tolist() == want
+
+
+def test_pairs_that_stay():
+    """A small model whose merges compete: every pair and word as merging by itself says, whatever the memories hold."""
+    rng = random.Random(8)
+    names = ["<unk>", *"ab▁"]
+    while len(names) < 40:
+        new = rng.choice(names[1:]) + rng.choice(names[1:])
+        if new not in names and pieces.MARK not in new and len(new) < 9:
+            names.append(new)
+    model = pieces.Pieces(tuple(names), tuple([0.0, *[-float(i) for i in range(1, len(names))]]), (pieces.UNKNOWN, *[pieces.NORMAL] * (len(names) - 1)), True, True)
+    encoder = pieces.Encoder(pieces.lattice_of(model))
+    for _ in range(300):
+        word = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 30)))
+        assert encoder.words([word])[0].tolist() == pieces.merged(word, model), word
 
 
 def test_best_path():
