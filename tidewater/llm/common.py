@@ -15,12 +15,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset, and driver and executors
+    are one process, a folder of this machine is made and set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return str(known.get())
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tidewater-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -54,98 +58,98 @@ def without_spaces(text: Column) -> Column:
     return text
 
 
-def attach(members: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int, least: int = 256) -> DataFrame:
-    """members inner-joined with groups (a written table, one row per key, its members counted in size).
+def attach(members: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int, how: str = "inner", least: int = 256) -> DataFrame:
+    """members joined with groups (a written table, one row per key, its members counted in size).
 
     Groups above total / 4096 members are fewer than 4096, so that broadcasting them is bounded;
-    no key of the remaining, shuffled join has more than a 4096th of the rows (or `least`).
+    no key of the remaining, shuffled join has more than a 4096th of the rows (or `least`). how: inner or left.
     """
     limit = max(least, total // 4096)
     hot = groups.filter(F.col(size) > limit)
     cold = groups.filter(F.col(size) <= limit)
     return members.join(F.broadcast(hot), key).unionByName(
-        members.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(cold, key)
+        members.join(F.broadcast(hot.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(cold, key, how)
     )
 
 
-def filter_bits(rows: int, per_row: int = 32, least: int = 1 << 16, most: int = 1 << 28) -> int:
-    """Bits of a Bloom filter for so many rows, a power of two; `most` bounds what is broadcast (32 MB of bits).
+def fresh(columns: list[str], name: str) -> str:
+    """name, or a longer one if the columns have it (Spark does not tell capitals apart)."""
+    known = {c.lower() for c in columns}
+    while name.lower() in known:
+        name += "_"
+    return name
 
-    Beyond that size the filter only passes more false suspects, which the exact step clears.
-    """
-    return min(most, max(least, 1 << max(0, rows * per_row - 1).bit_length()))
-
-
-def slots(key: Column, bits: int, hashes: int = 2) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(hashes)]
 
+#: Non-empty 64-bit words of a Bloom filter that are broadcast (some 50 MB as a hashed relation); larger filters stay distributed.
+FILTER_WORDS = 1 << 20
+#: Bits of a filter for each key.
+FILTER_BITS = 32
 
-def repeated_words(keys: DataFrame, key: str, bits: int, hashes: int = 2) -> DataFrame:
-    """The twice-seen filter of keys[key] as its non-empty 64-bit words: (word long, bits long).
-
-    A slot is seen twice if two rows set it. Slots are counted map-side first, so that a key of a
-    third of all rows costs a row per task.
-    """
-    slot = keys.select(F.explode(F.array(*slots(F.col(key), bits, hashes))).alias("slot"))
-    twice = slot.groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1")
-    return twice.groupBy(F.shiftright("slot", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")
-    )
 
+def filter_bits(rows: int) -> int:
+    """Bits of a Bloom filter for so many keys, a power of two. They grow with the rows without an end: a filter is a table of
+    its non-empty words, whose size depends on the keys alone."""
+    return 1 << min(62, max(16, (rows * FILTER_BITS - 1).bit_length()))
 
-def suspects(rows: DataFrame, key: str, words: DataFrame, bits: int, hashes: int = 2, flag: str = "suspect") -> DataFrame:
-    """rows with a boolean column: every slot of the key is in the twice-seen filter (at most bits / 64 rows, broadcast)."""
-    seen = F.lit(True)
-    for i, s in enumerate(slots(F.col(key), bits, hashes)):
-        part = words.select(F.col("word").alias(f"_w{i}"), F.col("bits").alias(f"_b{i}"))
-        rows = rows.withColumn(f"_s{i}", s)
-        rows = rows.join(F.broadcast(part), F.shiftright(f"_s{i}", 6) == F.col(f"_w{i}"), "left")
-        hit = F.expr(f"coalesce(_b{i} & shiftleft(1L, cast(_s{i} & 63 as int)), 0L) != 0")
-        seen = seen & hit
-    drop = [f"_{x}{i}" for x in "wbs" for i in range(hashes)]
-    return rows.withColumn(flag, seen).drop(*drop)
-
-
-def present_words(keys: DataFrame, key: str, bits: int, hashes: int = 2) -> DataFrame:
-    """The once-seen filter of keys[key], in the form of repeated_words."""
-    slot = keys.select(F.explode(F.array(*slots(F.col(key), bits, hashes))).alias("slot"))
-    return slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")
-    )
 
+def _bit(slot: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
 
-def likely_in(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
-    """rows whose key may be among ids[id_col]: all that are, and a few others. Nothing is shuffled but the filter."""
-    bits = filter_bits(ids.count())
-    return suspects(rows, key, present_words(ids, id_col, bits), bits, flag="_in").filter("_in").drop("_in")
 
+def twice_seen(rows: DataFrame, key: str, bits: int) -> DataFrame:
+    """The twice-seen filter of rows[key], 64-bit hashes, as its non-empty words: (word, bits, n rows). A slot seen once goes no
+    further. Slots are counted map-side first, so that a key of a third of all rows costs a row per task."""
+    slot = F.col(key).bitwiseAND(F.lit(bits - 1)).alias("slot")
+    seen = rows.select(slot).groupBy("slot").agg(F.count("*").alias("n")).filter("n > 1")
+    return seen.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(_bit(F.col("slot"))).alias("bits"), F.sum("n").alias("n"))
 
-def filter_array(words: DataFrame, bits: int):
-    """A filter of slots as a numpy array of bits / 64 words, for probes in Python workers (at most 32 MB, broadcast)."""
-    import numpy as np
 
-    array = np.zeros(bits // 64, np.uint64)
-    got = words.toArrow()
-    array[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    return words.sparkSession.sparkContext.broadcast(array)
+def suspects(rows: DataFrame, key: str, total: int, what: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose hash in key may be that of another row too, the other rows; nulls are among these).
 
+    Of hashes that no other row has, at most one in FILTER_BITS is suspected, at any number of rows. A filter of up to
+    FILTER_WORDS words is broadcast, and no row moves. A larger one stays distributed by ranges of slots, and the
+    rows, which should be hashes and ids, are sent to it (hot words by attach).
+    """
+    names = rows.columns
+    word, mask = fresh(names, "_word"), fresh(names, "_bits")
+    bits = filter_bits(total)
+    words = written(twice_seen(rows.filter(F.col(key).isNotNull()), key, bits), f"{what}-filter")
+    words = words.select(F.col("word").alias(word), F.col("bits").alias(mask), F.col("n").alias("n_" + word))
+    slot = F.col(key).bitwiseAND(F.lit(bits - 1))
+    hit = F.coalesce(F.col(mask).bitwiseAND(_bit(slot)) != 0, F.lit(False))
+    marked = rows.withColumn(word, F.shiftright(slot, 6))
+    if words.count() <= FILTER_WORDS:
+        marked = marked.join(F.broadcast(words), word, "left")
+        return marked.filter(hit).select(*names), marked.filter(~hit).select(*names)
+    found = written(attach(marked, words, word, "n_" + word, total, "left").withColumn(word, hit).select(*names, word), f"{what}-marked")
+    return found.filter(word).select(*names), found.filter(~F.col(word)).select(*names)
 
-def in_filter(array, slots):
-    """Of each slot (a numpy array), whether its bit is set."""
-    import numpy as np
 
-    return (array[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) != 0
+def split_by_ids(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among ids, the other rows): a filter of up to FILTER_WORDS ids is broadcast, and nothing is shuffled.
+    Of more ids there is no filter, and all rows may be among them."""
+    total = ids.count()
+    if total > FILTER_WORDS:
+        return rows, rows.filter(F.lit(False))
+    names = rows.columns
+    word, mask = fresh(names, "_word"), fresh(names, "_bits")
+    bits = filter_bits(total)
+    slot_of = lambda c: F.xxhash64(F.col(c).cast("long")).bitwiseAND(F.lit(bits - 1))
+    held = ids.select(slot_of(id_col).alias("slot")).groupBy(F.shiftright("slot", 6).alias(word)).agg(F.bit_or(_bit(F.col("slot"))).alias(mask))
+    marked = rows.withColumn(word, F.shiftright(slot_of(key), 6)).join(F.broadcast(held), word, "left")
+    hit = F.coalesce(F.col(mask).bitwiseAND(_bit(slot_of(key))) != 0, F.lit(False))
+    return marked.filter(hit).select(*names), marked.filter(~hit).select(*names)
 
 
-def split_by_ids(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key may be among ids, the other rows). Nothing is shuffled but the filter."""
-    bits = filter_bits(ids.count())
-    marked = suspects(rows, key, present_words(ids, id_col, bits), bits, flag="_in")
-    return marked.filter("_in").drop("_in"), marked.filter("NOT _in").drop("_in")
+def likely_in(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """rows whose key may be among ids[id_col]: all that are, and a few others."""
+    return split_by_ids(rows, key, ids, id_col)[0]
 
 
 def without(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
-    """rows whose key is none of ids; only rows that the filter doubts are shuffled."""
+    """rows whose key is none of ids; only rows that the filter doubts are shuffled. Null keys are none of them."""
     some, rest = split_by_ids(rows, key, ids, id_col)
-    gone = ids.select(F.col(id_col).alias("_gone")).distinct()
-    return rest.unionByName(some.join(gone, F.col(key) == F.col("_gone"), "left_anti"))
+    gone = fresh(rows.columns, "_gone")
+    known = ids.select(F.col(id_col).alias(gone)).distinct()
+    return rest.unionByName(some.join(known, F.col(key) == F.col(gone), "left_anti"))

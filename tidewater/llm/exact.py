@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import attach, filter_bits, repeated_words, suspects, without_spaces, written
+from tidewater.llm.common import attach, suspects, without_spaces, written
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -14,8 +14,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts are equal when identical after deleting white space; a null text counts as empty. Of equal
     texts the longest original stays (code points), then the smallest id. DataFrame operations only.
 
-    The first pass counts the Bloom slots of the digests; the second sends only rows whose slots
-    were all seen twice to the exact grouping by SHA-256. All other rows pass through unshuffled.
+    The first pass counts the Bloom slots of the digests: once-seen or twice-seen. Only rows with a twice-seen slot
+    go to the exact grouping by SHA-256, one in 32 of the others at most; all other rows pass through unshuffled.
 
     Empty tables give no rows. Rows that repeat an id with its text are all of the group, and all of
     those with the kept id are kept. A null id is kept only if its whole group has null ids or it is
@@ -29,15 +29,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "exact",
     )
     total = digest.count()
-    bits = filter_bits(total)
-    marked = suspects(digest, "sha", repeated_words(digest, "sha", bits), bits)
-    alone = marked.filter(~F.col("suspect")).select(
+    doubted, rest = suspects(digest.withColumn("slot", F.xxhash64("sha")), "slot", total, "exact")
+    alone = rest.select(
         "doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
     )
-    doubted = written(marked.filter("suspect").drop("suspect"), "exact-suspects")
+    doubted = written(doubted.drop("slot"), "exact-suspects")
     groups = written(
         doubted.groupBy("sha").agg(
-            F.max(F.struct(F.col("chars"), (-F.col("doc_id")).alias("low"))).alias("best"), F.count("*").alias("group_size")
+            # The longest, then the smallest id, null last.
+            F.min(F.struct((-F.col("chars")).alias("fewer"), F.col("doc_id").isNull().alias("unknown"), "doc_id")).alias("best"),
+            F.count("*").alias("group_size"),
         ),
         "exact-groups",
     )
@@ -45,9 +46,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     matched = attach(doubted, groups, "sha", "group_size", total).select(
         "doc_id",
         "sha",
-        (-F.col("best.low")).alias("keep_id"),
+        F.col("best.doc_id").alias("keep_id"),
         "group_size",
-        ((F.col("chars") == F.col("best.chars")) & F.col("doc_id").eqNullSafe(-F.col("best.low"))).alias("kept"),
+        ((-F.col("chars") == F.col("best.fewer")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))).alias("kept"),
     )
     return alone.unionByName(matched).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256")

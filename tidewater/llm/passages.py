@@ -1,4 +1,4 @@
-"""Substring dedup: relative Lempel-Ziv factors of documents against the blocks of smaller documents."""
+"""Substring dedup: relative Lempel-Ziv factors of documents against the indexed blocks of smaller documents."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import tokens as T
-from tidewater.llm.common import attach, filter_array, filter_bits, in_filter, likely_in, written
+from tidewater.llm.common import attach, likely_in, suspects, written
 
 #: Low bits of an ordered value that hold a word's place; a chunk has fewer words.
 PLACE = np.uint64((1 << 28) - 1)
@@ -31,7 +31,6 @@ class Blocks:
     start: np.ndarray  # first word of the first window, in the chunk
     windows: np.ndarray
     base: np.ndarray  # first word of the row, in the chunk
-    runs: tuple[T.Runs, T.Runs] | None
 
 
 def blocks_of(w: T.Words, window: int) -> Blocks:
@@ -39,19 +38,19 @@ def blocks_of(w: T.Words, window: int) -> Blocks:
     n = len(w.starts) - window + 1
     none = np.zeros(0, np.uint64)
     if n <= 0:
-        return Blocks(none.astype(np.int64), none, none, none, none.astype(np.int64), none.astype(np.int64), none.astype(np.int64), None)
+        return Blocks(none.astype(np.int64), none, none, none, none.astype(np.int64), none.astype(np.int64), none.astype(np.int64))
     runs = (T.Runs(w.hashes(T.EXACT, 0), 5), T.Runs(w.hashes(T.EXACT, 1), 6))
     parts = runs[0].of(np.arange(len(w.starts) - half + 1), half)
     place = least_of(((parts & ~PLACE) | np.arange(len(parts), dtype=np.uint64)), window - half + 1) & PLACE
     inside = np.flatnonzero(w.row[:n] == w.row[window - 1 :])
     if not len(inside):
-        return Blocks(none.astype(np.int64), none, none, none, inside, inside, inside, runs)
+        return Blocks(none.astype(np.int64), none, none, none, inside, inside, inside)
     row, place = w.row[inside], place[inside].astype(np.int64)
     new = np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1])])
     at = np.flatnonzero(new)
     start, count = inside[at], np.diff(np.append(at, len(inside)))
     size = count + window - 1
-    return Blocks(row[at], parts[place[at]], runs[0].of(start, size), runs[1].of(start, size), start, count, w.first[row[at]], runs)
+    return Blocks(row[at], parts[place[at]], runs[0].of(start, size), runs[1].of(start, size), start, count, w.first[row[at]])
 
 
 def least_of(x: np.ndarray, n: int) -> np.ndarray:
@@ -65,171 +64,185 @@ def least_of(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(right[:count], left[n - 1 : n - 1 + count])
 
 
-def _slots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(bits - 1)
-    return hashes & mask, (hashes >> np.uint64(32)) & mask
+def _parsed(window: int) -> Callable:
+    """Each document's whole result, and its blocks."""
 
-
-def _anchors(window: int) -> Callable:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in T.chunks(batch.column("_text")):
-                yield pa.RecordBatch.from_arrays([pa.array(blocks_of(T.words(data, offsets), window).anchor.view(np.int64))], ["anchor"])
+            ids, twins = batch.column("doc_id"), batch.column("twin")
+            for first, last, data, offsets in T.chunks(batch.column("_text")):
+                w = T.words(data, offsets)
+                found = blocks_of(w, window)
+                cut = pa.array(np.searchsorted(found.row, np.arange(last - first + 1)), pa.int32())
+                raw = data.tobytes()
+                shas = [hashlib.sha256(b" ".join(raw[offsets[i] : offsets[i + 1]].split())).hexdigest() for i in range(last - first)]
+                longs = [pa.ListArray.from_arrays(cut, pa.array(x.view(np.int64))) for x in (found.anchor, found.one, found.two)]
+                places = [pa.ListArray.from_arrays(cut, pa.array(x.astype(np.int32))) for x in (found.start - found.base, found.windows)]
+                n = last - first
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(first, n), twins.slice(first, n), pa.array(np.diff(w.first), pa.int64()), pa.array(shas), *longs, *places],
+                    ["doc_id", "twin", "n_words", "kept_sha256", "anchor", "one", "two", "at", "windows"],
+                )
 
     return step
 
 
-def _parsed(window: int, bits: int, twice) -> Callable:
-    """Each document's whole result, and its blocks whose anchor is in the twice-seen filter."""
+def _windows(window: int) -> Callable:
+    """All windows of the open blocks of texts: their places and 128 bits of their words."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = twice.value
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, twins = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("doc_id", "twin"))
+            lists = batch.column("open")
+            edge, flat = lists.offsets.to_numpy(), lists.flatten()
+            at, windows = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            edge = edge - edge[0]
             for first, last, data, offsets in T.chunks(batch.column("_text")):
                 w = T.words(data, offsets)
-                found = blocks_of(w, window)
-                a, b = _slots(found.anchor, bits)
-                hit = np.flatnonzero(in_filter(array, a) & in_filter(array, b))
-                cut = pa.array(np.searchsorted(found.row[hit], np.arange(last - first + 1)), pa.int32())
-                raw = data.tobytes()
-                shas = [hashlib.sha256(b" ".join(raw[offsets[i] : offsets[i + 1]].split())).hexdigest() for i in range(last - first)]
-                lists = [
-                    pa.ListArray.from_arrays(cut, pa.array(x[hit].view(np.int64), pa.int64()))
-                    for x in (found.anchor, found.one, found.two, found.start - found.base, found.windows)
-                ]
+                runs = [T.Runs(w.hashes(T.EXACT, k), 5 + k) for k in (0, 1)]
+                some = slice(edge[first], edge[last])
+                row = np.repeat(np.arange(first, last), np.diff(edge[first : last + 1]))
+                count, place = windows[some], at[some]
+                inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                row, place = np.repeat(row, count), np.repeat(place, count) + inside
+                one, two = (r.of(w.first[row - first] + place, window) for r in runs)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, last - first), pa.array(np.diff(w.first), pa.int64()), pa.array(shas), *lists],
-                    ["doc_id", "n_words", "kept_sha256", "anchor", "one", "two", "at", "windows"],
+                    [pa.array(ids[row]), pa.array(twins[row]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(place, pa.int32())],
+                    ["doc_id", "twin", "one", "two", "at"],
                 )
 
     return step
 
 
-def _owner_key(one: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return T.mix(one ^ T.mix(ids.view(np.uint64) + T.ODD))
+def factors(matches: list[dict], window: int) -> list[tuple[int, int, int, int]]:
+    """The parse of a document from its matches (at, windows, ref_id, ref_at): factors (at, to, ref_id, ref_at), words at..to that
+    are the reference's from ref_at on.
 
+    Greedily from left to right: at a place where an indexed block or window begins, the factor goes on while the
+    words that follow are those that follow in the same reference, and jumps to its end. The windows across that end are looked at
+    next; those that another reference has begin a factor there, which overlaps the last one by less than a window.
+    """
+    out: list[tuple[int, int, int, int]] = []
+    start = end = ref = ref_at = None
+    for m in sorted(matches, key=lambda m: m["at"]):
+        if m["at"] == end and m["ref_id"] == ref and m["ref_at"] == ref_at + end - start:
+            end += m["windows"]
+            continue
+        if start is not None:
+            out.append((start, end + window - 1, ref, ref_at))
+        start, end, ref, ref_at = m["at"], m["at"] + m["windows"], m["ref_id"], m["ref_at"]
+    return [*out, (start, end + window - 1, ref, ref_at)] if start is not None else out
+
+
+def _cut(window: int) -> Callable:
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, removed, texts = [], [], []
+            for value, matches in zip(batch.column("_text").cast(pa.binary()), batch.column("matches").to_pylist(), strict=True):
+                every = (value.as_py() or b"").split()
+                spans = factors(matches, window)
+                edges = np.zeros(len(every) + 1, np.int64)
+                np.add.at(edges, [s[0] for s in spans], 1)
+                np.add.at(edges, [s[1] for s in spans], -1)
+                gone = np.cumsum(edges[:-1]) > 0
+                counts.append(len(every))
+                removed.append(int(gone.sum()))
+                texts.append(b" ".join(x for x, g in zip(every, gone.tolist(), strict=True) if not g))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())],
+                ["doc_id", "n_words", "n_removed", "text"],
+            )
 
-def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        one, ids = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("one", "doc_id"))
-        yield pa.RecordBatch.from_arrays([pa.array(_owner_key(one.view(np.uint64), ids).view(np.int64))], ["hash"])
+    return step
 
 
-def _windows(window: int, bits: int, owned) -> Callable:
-    """All windows of the blocks that their document owns, if the filter of open blocks has them."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, _text and twin, a hash of the text, which tells rows with one id apart."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    return rows.withColumn("twin", F.xxhash64("_text"))
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = owned.value
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for first, _, data, offsets in T.chunks(batch.column("_text")):
-                found = blocks_of(T.words(data, offsets), window)
-                doc = ids[first + found.row]
-                a, b = _slots(_owner_key(found.one, doc), bits)
-                hit = np.flatnonzero(in_filter(array, a) & in_filter(array, b))
-                count = found.windows[hit]
-                inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                start = np.repeat(found.start[hit], count) + inside
-                one, two = (r.of(start, window) for r in found.runs) if found.runs else (found.one, found.two)
-                at = start - np.repeat(found.base[hit], count)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(doc[hit], count), pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(at, pa.int64())],
-                    ["doc_id", "one", "two", "at"],
-                )
 
-    return step
+KEY = ["doc_id", "twin"]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts, removed, texts = [], [], []
-        for value, spans in zip(batch.column("_text").cast(pa.binary()), batch.column("spans").to_pylist(), strict=True):
-            every = (value.as_py() or b"").split()
-            edges = np.zeros(len(every) + 1, np.int64)
-            np.add.at(edges, [s["at"] for s in spans], 1)
-            np.add.at(edges, [s["to"] for s in spans], -1)
-            gone = np.cumsum(edges[:-1]) > 0
-            counts.append(len(every))
-            removed.append(int(gone.sum()))
-            texts.append(b" ".join(x for x, g in zip(every, gone.tolist(), strict=True) if not g))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())],
-            ["doc_id", "n_words", "n_removed", "text"],
-        )
-
-
-def _filter(hashes: DataFrame, bits: int, twice: bool):
-    mask = F.lit(bits - 1)
-    slot = F.explode(F.array(F.col("hash").bitwiseAND(mask), F.shiftrightunsigned("hash", 32).bitwiseAND(mask)))
-    counted = hashes.select(slot.alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
-    if twice:
-        counted = counted.filter("n > 1")
-    words = counted.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-    return filter_array(words, bits)
-
-
-def duplicate_spans(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """(parsed, spans): doc_id, n_words and SHA-256 of every document's words; and doc_id, spans, the word
-    ranges at..to that go, for the documents that have any."""
-    anchors = written(rows.select("_text").mapInArrow(_anchors(window), "anchor long"), "passages-anchors")
-    bits = filter_bits(anchors.count(), per_row=16)
-    twice = _filter(anchors.withColumnRenamed("anchor", "hash"), bits, True)
-    lists = ", ".join(f"{x} array<long>" for x in ("anchor", "one", "two", "at", "windows"))
-    parsed = written(rows.mapInArrow(_parsed(window, bits, twice), f"doc_id long, n_words long, kept_sha256 string, {lists}"), "passages-parsed")
-    blocks = parsed.filter("doc_id IS NOT NULL").select("doc_id", F.inline(F.arrays_zip("anchor", "one", "two", "at", "windows")))
-    index = blocks.groupBy("one", "two").agg(F.min("doc_id").alias("owner"), F.first("anchor").alias("anchor"), F.count("*").alias("n"))
+def matched(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(parsed, matches) of _rows: doc_id, twin, n_words and SHA-256 of every document's words; and doc_id, twin, matches, the
+    blocks and windows that the index has under a smaller id, for the documents with any."""
+    lists = ", ".join(f"{x} array<long>" for x in ("anchor", "one", "two")) + ", at array<int>, windows array<int>"
+    parsed = written(rows.mapInArrow(_parsed(window), f"doc_id long, twin long, n_words long, kept_sha256 string, {lists}"), "passages-parsed")
+    every = parsed.filter("doc_id IS NOT NULL").select(*KEY, F.inline(F.arrays_zip("anchor", "one", "two", "at", "windows")))
+    total = every.count()
+    blocks = written(suspects(every, "anchor", total, "passages")[0], "passages-blocks")
+    first = F.min(F.struct("doc_id", "at"))
+    index = blocks.groupBy("one", "two").agg(first.alias("ref"), F.first("anchor").alias("anchor"), F.count("*").alias("n"))
     index = written(index, "passages-index")
-    total = blocks.count()
-    # Whole blocks: factors that go on beyond the block, or end with it.
-    inner = attach(blocks, index.filter("n > 1").drop("anchor"), ["one", "two"], "n", total).filter("owner < doc_id")
-    inner = inner.select("doc_id", "at", (F.col("at") + F.col("windows") + window - 1).alias("to"))
-    # Factors end inside blocks whose anchor has several continuations: there every window is looked up.
-    several = index.groupBy("anchor").agg(F.count("*").alias("blocks")).filter("blocks > 1")
-    several = written(several, "passages-several")
-    open_blocks = attach(index.select("one", "anchor", F.col("owner").alias("doc_id")), several, "anchor", "blocks", total)
-    open_blocks = written(open_blocks.select("one", "doc_id"), "passages-open")
-    open_bits = filter_bits(open_blocks.count())
-    owned = _filter(open_blocks.mapInArrow(_owned, "hash long"), open_bits, False)
-    owners = likely_in(rows.filter("doc_id IS NOT NULL"), "doc_id", open_blocks.select("doc_id").distinct(), "doc_id")
-    windows = written(owners.mapInArrow(_windows(window, open_bits, owned), "doc_id long, one long, two long, at long"), "passages-windows")
-    first = windows.groupBy("one", "two").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
-    first = written(first.filter("owner < last").drop("last"), "passages-first")
-    edge = attach(windows, first, ["one", "two"], "n", windows.count()).filter("owner < doc_id")
-    edge = edge.select("doc_id", "at", (F.col("at") + window).alias("to"))
-    spans = inner.unionByName(edge).groupBy("doc_id").agg(F.collect_list(F.struct("at", "to")).alias("spans"))
-    return parsed.select("doc_id", "n_words", "kept_sha256"), written(spans, "passages-spans")
-
-
-def cut_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    return likely_in(rows, "doc_id", spans, "doc_id").join(spans, "doc_id").mapInArrow(
-        _cut, "doc_id long, n_words long, n_removed long, text string"
+    several = index.groupBy("anchor").agg(F.count("*").alias("versions")).filter("versions > 1")
+    index = index.select("one", "two", F.col("ref.doc_id").alias("ref_id"), F.col("ref.at").alias("ref_at"), "n")
+    # Whole blocks that a smaller document has. Equal rows have equal matches; sets keep them once.
+    looked = attach(blocks, index, ["one", "two"], "n", total).select(*KEY, "anchor", "at", "windows", "ref_id", "ref_at")
+    looked = written(looked, "passages-looked")
+    whole = looked.filter("ref_id < doc_id").select(*KEY, "at", "windows", "ref_id", "ref_at")
+    # A block that no smaller document has, but whose anchor has other blocks too, is where factors end: there every window counts.
+    own = looked.filter("ref_id = doc_id").select(*KEY, "anchor", "at", "windows")
+    open_blocks = attach(own, written(several, "passages-several"), "anchor", "versions", total)
+    open_blocks = open_blocks.groupBy(*KEY).agg(F.collect_set(F.struct("at", "windows")).alias("open"))
+    open_blocks = written(open_blocks, "passages-open")
+    owners = likely_in(rows, "doc_id", open_blocks, "doc_id").join(open_blocks, KEY)
+    schema = "doc_id long, twin long, one long, two long, at int"
+    windows = written(owners.mapInArrow(_windows(window), schema), "passages-windows")
+    seen = windows.groupBy("one", "two").agg(first.alias("ref"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    seen = seen.filter("ref.doc_id < last").select("one", "two", F.col("ref.doc_id").alias("ref_id"), F.col("ref.at").alias("ref_at"), "n")
+    across = attach(windows, written(seen, "passages-seen"), ["one", "two"], "n", windows.count()).filter("ref_id < doc_id")
+    across = across.select(*KEY, "at", F.lit(1).alias("windows"), "ref_id", "ref_at")
+    matches = whole.unionByName(across).groupBy(*KEY).agg(F.collect_set(F.struct("at", "windows", "ref_id", "ref_at")).alias("matches"))
+    return parsed.select(*KEY, "n_words", "kept_sha256"), written(matches, "passages-matches")
+
+
+def cut_factors(rows: DataFrame, matches: DataFrame, window: int) -> DataFrame:
+    return likely_in(rows, "doc_id", matches, "doc_id").join(matches, KEY).mapInArrow(
+        _cut(window), "doc_id long, n_words long, n_removed long, text string"
     )
 
 
+def duplicate_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+    """doc_id, twin, at, to, ref_id, ref_at: the factors of every document, words at..to (exclusive) that are also words
+    ref_at.. of a smaller document. twin is a hash of the row's text; equal rows have their factors once."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = zip(batch.column("doc_id").to_pylist(), batch.column("twin").to_pylist(), batch.column("matches").to_pylist(), strict=True)
+            found = [(i, t, *f) for i, t, m in every for f in factors(m, window)]
+            names = ["doc_id", "twin", "at", "to", "ref_id", "ref_at"]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(6)], names)
+
+    matches = matched(_rows(docs, id_col, text_col), window)[1]
+    return matches.mapInArrow(step, "doc_id long, twin long, at long, to long, ref_id long, ref_at long")
+
+
 def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """One row per row of docs that loses words: doc_id, n_words, n_removed, text (kept words joined by a space).
 
     Every word goes that is in a window of so many consecutive words which also starts in a document with a
     smaller id, judged on the input. Words are runs without white space, unchanged.
 
-    The index holds the blocks of all documents whose anchor was seen twice (see Blocks); each has the smallest
-    document with it as owner. A document is parsed against it block by block: a whole block that is
-    indexed under a smaller id continues a factor. Where a factor ends inside a block, the block's owner is the
-    document itself and its anchor has other blocks too; there the window hashes of owners, 128 bits
-    each, say where the factor ends exactly. So a hot passage costs a row per block and task, not a pair.
+    The index has every block (see Blocks) whose anchor was seen twice once, under its first place in the smallest document that has it. A
+    document is parsed against it from left to right into factors, copies of one reference as long as that goes on (see
+    factors). Where no whole block goes on but its anchor has other blocks, a factor ends inside: there the windows across the
+    end are looked up by 128 bits each. A factor has a window's words or more, and all factors are duplicate spans. So a hot
+    passage costs a row per block and task, not a pair.
 
-    Null, empty and shorter texts lose nothing. Repeated rows with one id are one document: they keep all
-    that no smaller id has. Rows with a null id lose nothing and are nobody's reference. Empty tables give no rows.
+    Null, empty and shorter texts lose nothing. Repeated rows with one id are one document, whatever their texts: each
+    row keeps what no smaller id has. Rows with a null id lose nothing and are nobody's reference. A word has its first place on a
+    tie. Other columns are not read. Empty tables give no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    return cut_spans(rows, duplicate_spans(rows, window)[1])
+    rows = _rows(docs, id_col, text_col)
+    return cut_factors(rows, matched(rows, window)[1], window)
 
 
 def passage_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed and kept_sha256 of the words passage_dedup leaves."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    parsed, spans = duplicate_spans(rows, window)
-    cut = cut_spans(rows, spans).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
-    whole = parsed.join(spans.select("doc_id"), "doc_id", "left_anti")
+    rows = _rows(docs, id_col, text_col)
+    parsed, matches = matched(rows, window)
+    cut = cut_factors(rows, matches, window).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    whole = parsed.join(matches.select(*KEY), KEY, "left_anti")
     return whole.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256").unionByName(cut)

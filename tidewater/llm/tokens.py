@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are held as arrays at a time; a single longer text is one chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: A byte's value in a word's hash; 0 marks the six white space bytes.
 EXACT = np.arange(1, 257, dtype=np.uint64)
 EXACT[[32, 9, 10, 11, 12, 13]] = 0
