@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +103,21 @@ def test_share_of_suspects_at_scale():
         slots = np.random.default_rng(n).integers(0, 1 << 62, n) & (common.filter_bits(n) - 1)
         _, count = np.unique(slots, return_counts=True)
         assert count[count > 1].sum() <= n / common.FILTER_BITS * 1.02
+
+
+def test_secrets_in_a_long_text(spark):
+    """Many matches in one text take seconds; spans are those of the plain version."""
+    rng = random.Random(3)
+    from tidewater.llm import secrets
+
+    hexes = " ".join("%016x" % rng.getrandbits(64) for _ in range(64_000))
+    mixed = "\n".join(f"token = {'%020x' % rng.getrandbits(80)} é AKIA{'A1B2C3D4E5F6G7H8'[: 8 + i % 9]} plain_{i}" for i in range(3000))
+    dump = "".join(rng.choice(secrets.LETTERS) for _ in range(300_000))
+    rows = [(1, hexes), (2, mixed), (2, mixed), (None, dump), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("spans", "runs", "_text", "line", "base")})
+    began = time.time()
+    got = secrets.secret_report(df, secrets.train(secrets.labelled_samples(spark))).collect()
+    assert time.time() - began < 60 and len(got) == len(rows)
+    assert {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in got} == brute.secrets(rows)
+    spans = [x.split(":") for r in got if r["doc_id"] is None for x in r["spans"].split(",")]
+    assert ("markov", "0", "300000") in {tuple(x) for x in spans} or any(x[0] in ("hex", "assign") for x in spans)

@@ -15,8 +15,8 @@ HEX = r"[0-9a-f]{16,}"
 LEAST_VALUE = 12
 KEYWORDS = ["password", "passwd", "secret", "token", "api_key", "apikey"]
 
-#: A candidate of the Markov models.
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+#: A candidate of the Markov models; as long as the shortest base match without a keyword.
+CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
 #: Letters of the models; other characters are not in candidates.
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 #: Least log-likelihood ratio, in nats for each character, at which a candidate is a secret.
@@ -87,33 +87,41 @@ def train(samples: DataFrame) -> list[float]:
     return (chance[1] - chance[0]).ravel().tolist()
 
 
-def _spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match>> of the leftmost matches that do not overlap, in code points, end exclusive.
+SPAN = "array<struct<start:int,end:int,match:string>>"
 
-    Matches are put between U+0001 and U+0002, which the text has as U+0003, and the pieces' lengths are summed.
-    """
-    marked = F.regexp_replace(text, pattern, "\x01$0\x02")
-    pieces = F.split(marked, "[\x01\x02]", -1)
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    whole = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), empty.alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.char_length(p)).alias("at"),
-            (~acc["inside"]).alias("inside"),
-            F.when(
-                acc["inside"],
-                F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.char_length(p)).alias("end"), p.alias("match")))),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
+
+def _scan(values: Column, step, kind: str) -> Column:
+    """Of each value the fold of those before it, from 0. Values are folded in blocks of about the square root of their number, so
+    that appending to a fold's result costs that root and not the number."""
+    root = F.ceil(F.sqrt(F.size(values))).cast("int")
+    blocks = F.transform(
+        F.when(F.size(values) > 0, F.sequence(F.lit(0), F.ceil(F.size(values) / root).cast("int") - 1)).otherwise(F.array().cast("array<int>")),
+        lambda k: F.slice(values, k * root + 1, root),
     )
-    return whole["out"]
+    empty = F.struct(F.lit(0).cast(kind).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def fold(array: Column, value) -> Column:
+        return F.aggregate(array, empty, lambda acc, x: F.struct(step(acc["at"], value(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    inner = F.transform(blocks, lambda b: fold(b, lambda x: x))
+    outer = fold(inner, lambda x: x["at"])["out"]
+    return F.flatten(F.zip_with(inner, outer, lambda x, before: F.transform(x["out"], lambda v: step(before, v))))
+
+
+def _pieces(condition: Column, text: Column, pattern: str) -> Column:
+    """The text cut around the leftmost matches that do not overlap: matches are put between U+0001 and U+0002, which the text
+    has as U+0003. Every second piece is a match; without the condition there is none."""
+    return F.when(condition, F.split(F.regexp_replace(text, pattern, "\x01$0\x02"), "[\x01\x02]", -1)).otherwise(F.array().cast("array<string>"))
+
 
+def _lengths(pieces: Column) -> Column:
+    return F.transform(pieces, lambda p: F.char_length(p))
 
-def _found(condition: Column, text: Column, pattern: str) -> Column:
-    return F.when(condition, _spans(text, pattern)).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+
+def _spans(pieces: Column, places: Column) -> Column:
+    """array<struct<start, end, match>> of the matches among pieces that begin at places, in code points, end exclusive."""
+    every = F.zip_with(pieces, places, lambda p, at: F.struct(at.alias("start"), (at + F.char_length(p)).alias("end"), p.alias("match")))
+    return F.filter(every, lambda _, i: i % 2 == 1).cast(SPAN)
 
 
 def _told(spans: Column) -> Column:
@@ -124,13 +132,13 @@ def secret_scan(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", te
     """One row per row of docs: doc_id and spans, an array of struct<start, rank, kind, end> in order of start, then kind.
 
     Kinds assign, access and hex are the fixed patterns over the whole text, leftmost and not overlapping within
-    a kind. Kind markov adds the longest runs of 20 or more characters [A-Za-z0-9+/_-] with a letter and a digit
-    that overlap no span of the fixed kinds and whose character pairs have a mean log-likelihood ratio,
-    random strings against ordinary identifiers, of least_ratio or more. Positions are code points, ends exclusive.
+    a kind. Kind markov adds the longest runs of 16 or more characters [A-Za-z0-9+/_-] that overlap no span of the fixed
+    kinds and whose character pairs have a mean log-likelihood ratio, random strings against ordinary identifiers,
+    of least_ratio or more. Positions are code points, ends exclusive. Equal starts are in the order of kinds.
 
     Null and empty texts have no spans; null ids and repeated rows stay as they are. The characters U+0001
-    and U+0002 in a text count as others that no pattern matches. Other columns are not read. DataFrame
-    operations only, row by row: no shuffle.
+    and U+0002 in a text count as others that no pattern matches. Other columns are not read. Empty tables give no
+    rows. DataFrame operations only, row by row: no shuffle. A text of n matches takes about n ** 1.5 steps.
     """
     raw = F.coalesce(F.col("_text"), F.lit(""))
     text = F.replace(F.replace(raw, F.lit("\x01"), F.lit("\x03")), F.lit("\x02"), F.lit("\x03"))
@@ -140,28 +148,40 @@ def secret_scan(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", te
     keyed = F.lit(False)
     for k in KEYWORDS:
         keyed = keyed | F.contains(folded, F.lit(k))
-    rows = rows.select(
-        "doc_id",
-        _found(keyed, F.col("_text"), ASSIGN).alias("assign"),
-        _found(F.contains("_text", F.lit("AKIA")), F.col("_text"), ACCESS).alias("access"),
-        _found(F.col("_text").rlike(CANDIDATE), F.col("_text"), CANDIDATE).alias("runs"),
-        _found(F.col("_text").rlike(HEX), F.col("_text"), HEX).alias("hex"),
-    )
+    tests = {
+        "assign": (keyed, ASSIGN),
+        "access": (F.contains("_text", F.lit("AKIA")), ACCESS),
+        "hex": (F.col("_text").rlike(HEX), HEX),
+        "runs": (F.col("_text").rlike(CANDIDATE), CANDIDATE),
+    }
+    rows = rows.select("doc_id", *[_pieces(when, F.col("_text"), pattern).alias(k) for k, (when, pattern) in tests.items()])
+    rows = rows.withColumns({f"{k}_n": _lengths(F.col(k)) for k in tests})
+    rows = rows.withColumns({f"{k}_at": _scan(F.col(f"{k}_n"), lambda a, b: a + b, "int") for k in tests})
+    rows = rows.select("doc_id", *[_spans(F.col(k), F.col(f"{k}_at")).alias(k) for k in tests])
     kept = F.filter("assign", lambda s: F.char_length(F.regexp_extract(s["match"], ASSIGN, 1)) >= LEAST_VALUE)
     kind = lambda spans, rank, name: F.transform(
         spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(name).alias("kind"), s["end"].alias("end"))
     )
     rows = rows.withColumn("base", F.concat(kind(kept, 0, "assign"), kind(F.col("access"), 1, "access"), kind(F.col("hex"), 2, "hex")))
-    rows = rows.withColumn(
-        "runs", F.filter("runs", lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]"))
+    # Runs by their end among base spans by their start: a run is free if no base span before it ends beyond its start.
+    line = F.concat(
+        F.transform("base", lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("base"), s["end"].alias("end"), F.lit(None).cast("string").alias("match"))),
+        F.transform("runs", lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("base"), s["start"].alias("end"), s["match"].alias("match"))),
     )
-    free = F.filter("runs", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    table, size = F.array(*map(F.lit, ratios)), len(LETTERS)
-    score = lambda m: F.aggregate(
-        F.sequence(F.lit(1), F.char_length(m) - 1),
-        F.lit(0.0),
-        lambda acc, i: acc + F.get(table, (_coded(m, i) * size + _coded(m, i + 1)).cast("int")),
+    rows = rows.withColumn("line", F.when(F.size("runs") > 0, F.array_sort(line)).otherwise(F.slice(line, 1, 0)))
+    rows = rows.withColumn("ends", F.transform("line", lambda u: F.when(u["base"] == 1, u["end"]).otherwise(0)))
+    rows = rows.withColumn("reach", _scan(F.col("ends"), F.greatest, "int"))
+    free = F.filter(
+        F.zip_with("line", "reach", lambda u, r: F.struct(u["end"].alias("start"), u["at"].alias("end"), u["match"].alias("match"), ((u["base"] == 0) & (r <= u["end"])).alias("free"))),
+        lambda u: u["free"],
     )
+    table, size = F.array(*map(F.lit, ratios)), len(LETTERS)
+
+    def score(match: Column) -> Column:
+        codes = F.transform(F.split(match, ""), lambda c: F.instr(F.lit(LETTERS), c) - 1)
+        pairs = F.zip_with(codes, F.concat(F.slice(codes, 2, F.size(codes)), F.array(F.lit(None).cast("int"))), lambda a, b: a * size + b)
+        return F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + F.when(i.isNull(), 0.0).otherwise(F.get(table, i)))
+
     random = F.filter(free, lambda s: score(s["match"]) >= least_ratio * (F.char_length(s["match"]) - 1))
     rows = rows.withColumn("markov", F.when(F.size("runs") > 0, kind(random, 3, "markov")).otherwise(F.slice("base", 1, 0)))
     return rows.select("doc_id", F.array_sort(F.concat("base", "markov")).alias("spans"))
