@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidewater.llm import common, exact, lines, passages
+from tidewater.llm import common, exact, lines, near, passages
 
 SMALLEST = -(1 << 63)
 
@@ -121,3 +121,52 @@ def test_secrets_in_a_long_text(spark):
     assert {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in got} == brute.secrets(rows)
     spans = [x.split(":") for r in got if r["doc_id"] is None for x in r["spans"].split(",")]
     assert ("markov", "0", "300000") in {tuple(x) for x in spans} or any(x[0] in ("hex", "assign") for x in spans)
+
+
+def near_components(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near.near_dedup(df).collect()), key=str)
+
+
+def test_near_of_repeated_ids(spark):
+    """Each row is a document: two texts of one id link with their own copies."""
+    rng = random.Random(4)
+    a, b = say(rng, 200), say(rng, 200)
+    other = lambda t: t.replace(t.split()[100], "other", 1)
+    got = near_components(spark, [(1, a), (1, b), (2, other(a)), (3, other(b)), (SMALLEST, None), (8, a), (8, a)])
+    assert {(i, c) for i, _, c, _ in got} == {(1, 1), (2, 1), (3, 1), (8, 1), (SMALLEST, SMALLEST)}
+    assert sum(k for *_, k in got) == 3 and len(got) == 7
+
+
+def test_near_in_buckets_of_many(spark, monkeypatch):
+    """Families that share a bucket, compared in many small blocks: links between texts that are far from every center."""
+    monkeypatch.setattr(near, "SKETCHES", 16)
+    monkeypatch.setattr(near, "TEXTS", 8)
+    rng = random.Random(5)
+    rows = []
+    for f in range(12):
+        base = (say(rng, 150) + " " if f % 3 == 0 else rows[0][1][:200] + " ") + say(rng, 150)
+        words = base.split()
+        for _ in range(14):
+            some = list(words)
+            for k in rng.sample(range(len(some)), rng.randrange(1, 9)):
+                some[k] = f"x{rng.randrange(999)}"
+            rows.append((len(rows), " ".join(some)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_dedup(df).collect()} == brute.near(rows)
+
+
+def test_near_links_found(spark):
+    """Pairs from just above the threshold on: the bands and the likelihood lose none of 150 links."""
+    rng = random.Random(6)
+    rows, links = [], 0
+    for i in range(150):
+        words = say(rng, 400).split()
+        some = list(words)
+        for k in rng.sample(range(400), 1 + i % 12):
+            some[k] = "y"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(some))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.near(rows)
+    links = sum(want[2 * i + 1][1] == 2 * i for i in range(150))
+    assert links > 100 and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_dedup(df).collect()} == want
