@@ -90,3 +90,22 @@ def secrets(rows):
         told = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(spans))
         out[i] = (*counts, hashlib.sha256(told.encode()).hexdigest())
     return out
+
+
+def language_vectors(texts, letter):
+    """Of each text the bundle of its trigrams' vectors; letter gives a code point's vector of +1 and -1 (0: a gap)."""
+    import numpy as np
+
+    out = []
+    for text in texts:
+        codes = [0]
+        for c in text:
+            codes.append(ord(c.lower()[0]) if c.isalpha() else 0)
+        codes.append(0)
+        codes = [c for i, c in enumerate(codes) if c or not i or codes[i - 1]]
+        total = 0
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            if b:
+                total = total + np.roll(letter(a), 128) * np.roll(letter(b), 64) * letter(c)
+        out.append(total)
+    return out

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,30 @@ def test_language_held_out(spark):
     assert langid.identify_held_out(df.filter("doc_id < 0")).count() == 0
 
 
+def test_language_against_plain_vectors(spark):
+    """Predictions equal those of bundles built one by one; the score differs by the length's estimate alone."""
+    rng = random.Random(7)
+    alphabets = {"a": "abcdefgh", "b": "fghijklé", "c": "абвгдежз", "d": "漢字仮名交文書語"}
+    rows = [(i, "".join(rng.choice(alphabets[k] + " ") for _ in range(rng.randrange(40, 400))), k) for i in range(40) for k in [rng.choice("abcd")]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, prototypes = langid.fit(df, "doc_id", "text", "lang")
+    letter = lambda c: np.unpackbits(langid.letter_vectors(np.array([c])).view(np.uint8)).astype(int) * 2 - 1
+    vectors = brute.language_vectors([t for _, t, _ in rows], letter)
+    for lang, prototype in zip(langs, prototypes, strict=True):
+        # The plain prototype: bundles at the unit length of their counts.
+        total = 0
+        for (_, t, k), v in zip(rows, vectors, strict=True):
+            if k == lang:
+                counts = next(langid.counted(*T.rows_of(pa.array([t]))))[3][0]
+                total = total + v / np.sqrt((counts.astype(float) ** 2).sum())
+        assert np.allclose(prototype, total / np.linalg.norm(total), atol=1e-5)
+    got = {r["doc_id"]: r for r in langid.identify(df, (langs, prototypes)).collect()}
+    for (i, _, _), v in zip(rows, vectors, strict=True):
+        cosine = prototypes @ v / np.linalg.norm(v)
+        assert got[i]["lang_pred"] == langs[cosine.argmax()]
+        assert abs(got[i]["score"] - min(1, cosine.max())) < 0.05
+
+
 def brute_nearest(rows, top):
     fine = [(i, np.array(v, float)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}

@@ -104,8 +104,9 @@ def twice_seen(rows: DataFrame, key: str, bits: int) -> DataFrame:
     return seen.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(_bit(F.col("slot"))).alias("bits"), F.sum("n").alias("n"))
 
 
-def suspects(rows: DataFrame, key: str, total: int, what: str) -> tuple[DataFrame, DataFrame]:
-    """(rows whose hash in key may be that of another row too, the other rows; nulls are among these).
+def suspects(rows: DataFrame, key: str, total: int, what: str, alone: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose hash in key may be that of another row too, the other rows; nulls are among these). Without `alone` the others
+    are not made.
 
     Of hashes that no other row has, at most one in FILTER_BITS is suspected, at any number of rows. A filter of up to
     FILTER_WORDS words is broadcast, and no row moves. A larger one stays distributed by ranges of slots, and the
@@ -122,6 +123,8 @@ def suspects(rows: DataFrame, key: str, total: int, what: str) -> tuple[DataFram
     if words.count() <= FILTER_WORDS:
         marked = marked.join(F.broadcast(words), word, "left")
         return marked.filter(hit).select(*names), marked.filter(~hit).select(*names)
+    if not alone:
+        return attach(marked, words, word, "n_" + word, total).filter(hit).select(*names), None
     found = written(attach(marked, words, word, "n_" + word, total, "left").withColumn(word, hit).select(*names, word), f"{what}-marked")
     return found.filter(word).select(*names), found.filter(~F.col(word)).select(*names)
 

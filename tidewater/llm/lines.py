@@ -90,7 +90,7 @@ def repeated_lines(rows: DataFrame, least_chars: int, least_docs: int) -> tuple[
     parsed = written(rows.mapInArrow(_parsed(least_chars), schema), "lines-parsed")
     held = parsed.select("doc_id", "twin", F.inline(F.arrays_zip("one", "two")))
     total = held.count()
-    doubted, _ = suspects(held, "one", total, "lines")
+    doubted, _ = suspects(held, "one", total, "lines", alone=False)
     doubted = written(doubted, "lines-suspects")
     # Rows with one id are one holder each; the largest id that holds a line keeps it.
     groups = doubted.groupBy("one", "two").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= least_docs)

@@ -172,7 +172,7 @@ def matched(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     parsed = written(rows.mapInArrow(_parsed(window), f"doc_id long, twin long, n_words long, kept_sha256 string, {lists}"), "passages-parsed")
     every = parsed.filter("doc_id IS NOT NULL").select(*KEY, F.inline(F.arrays_zip("anchor", "one", "two", "at", "windows")))
     total = every.count()
-    blocks = written(suspects(every, "anchor", total, "passages")[0], "passages-blocks")
+    blocks = written(suspects(every, "anchor", total, "passages", alone=False)[0], "passages-blocks")
     first = F.min(F.struct("doc_id", "at"))
     index = blocks.groupBy("one", "two").agg(first.alias("ref"), F.first("anchor").alias("anchor"), F.count("*").alias("n"))
     index = written(index, "passages-index")
