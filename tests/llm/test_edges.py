@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidewater.llm import common, exact, lines, near, passages
+from tidewater.llm import common, exact, lines, mixing, near, passages
 
 SMALLEST = -(1 << 63)
 
@@ -170,3 +170,23 @@ def test_near_links_found(spark):
     want = brute.near(rows)
     links = sum(want[2 * i + 1][1] == 2 * i for i in range(150))
     assert links > 100 and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_dedup(df).collect()} == want
+
+
+def test_mix_beside_any_columns(spark):
+    """Columns with the operator's own names keep their values; rows that repeat an id, or have none, are spread by their texts."""
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 2, None, i]), say(rng, rng.randrange(1, 40)), rng.choice("ab")) for i in range(300)]
+    own = ["_key", "_size", "_place", "_number", "_tie", "_part", "_time", "_p", "key", "order", "size", "row", "words", "full", "last", "time", "part"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(i) for i, c in enumerate(own)})
+    plain = mixing.mixed(df.select("doc_id", "text", "source"))
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    assert {tuple(r)[3:] for r in out.collect()} == {tuple(range(len(own)))}
+    told = lambda d: sorted(((r["doc_id"], r["text"], r["source"]) for r in d.collect()), key=str)
+    assert told(out) == told(plain)
+    got = mixing.mix(df).collect()
+    for source in "ab":
+        part = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in part) - part[0]["target"]) <= 0.5 + 1e-9
+        words = sum(len(t.split()) for _, t, s in told(out) if s == source)
+        assert words == sum(r["taken"] for r in part)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import WORD, written
 
-#: Hexadecimal digits of the key that name a bucket: 4096 buckets in each source.
-DIGITS = 3
+#: Rows of a key range, about; ranges of a source are 16 to the power of the digits of the key that name them.
+RANGE_ROWS = 50_000
+LEAST_DIGITS, MOST_DIGITS = 3, 6
 MOST_EPOCHS = 3
 
 
@@ -17,25 +18,36 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def running(rows: DataFrame, order: list[Column], sums: list[str], what: str) -> DataFrame:
+    """rows with before_<name>: the sum of each named column over all rows that come earlier. Rows are sorted into ranges,
+    whose sums give each range its offset (a row for each range), and a running sum goes through each range."""
+    placed = written(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), what)
+    so_far = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = placed.groupBy("_p").agg(*[F.sum(c).alias(c) for c in sums]).select("_p", *[F.sum(c).over(so_far).alias(f"_{c}") for c in sums])
+    inside = W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    placed = placed.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(inside), zero) for c in sums}).join(F.broadcast(offsets), "_p")
+    return placed.withColumns({f"before_{c}": F.col(f"before_{c}") + F.coalesce(f"_{c}", zero) for c in sums}).drop("_p", *[f"_{c}" for c in sums])
+
+
 def targets(sizes: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
     """sizes (key, source, source_size): with weight, target and the words to take beside full epochs.
 
     Sources by code point, null last, weigh 1, 2, 3, repeating. They share the sum of all sizes; no
     target exceeds `most` times its source's size, and the excess goes to the others by weight. That
     is the level x with sum(min(most * size, x * weight)) = sum(size): with the sources in the order of
-    most * size / weight, the first prefix that stays under its caps gives x. One row per source.
+    most * size / weight, the first prefix that stays under its caps gives x. One row per source; any number of sources.
     """
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    order = W.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    weighed = sizes.withColumn("weight", F.pmod(F.row_number().over(by_name) - 1, F.lit(3)) + 1)
+    numbered = running(sizes.withColumn("one", F.lit(1).cast("long")), [F.col("source").asc_nulls_last()], ["one"], "mix-names")
+    weighed = numbered.withColumn("weight", F.pmod(F.col("before_one"), F.lit(3)) + 1).drop("one", "before_one")
     capped = weighed.withColumn("cap", F.col("source_size") * most).withColumn("ratio", F.col("cap") / F.col("weight"))
-    level = (
-        F.sum("source_size").over(W.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    ) / (F.sum("weight").over(W.partitionBy()) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    leveled = capped.withColumn("level", level)
+    ordered = running(capped, [F.col("ratio").asc(), F.col("source").asc_nulls_last()], ["cap", "weight"], "mix-ratios")
+    whole = sizes.agg(F.sum("source_size").alias("total")).first()["total"] or 0
+    weights = weighed.agg(F.sum("weight").alias("total")).first()["total"] or 0
+    leveled = ordered.withColumn("level", (F.lit(whole) - F.col("before_cap")) / (F.lit(weights) - F.col("before_weight")))
     # The first level that its own source's cap does not cut is the common one.
-    x = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(W.partitionBy())["level"]
+    x = leveled.filter("level <= ratio").agg(F.min(F.struct("ratio", "level")).alias("first")).first()["first"]
+    x = F.lit(x["level"] if x else None).cast("double")
     target = F.when(F.col("ratio") < x, F.col("cap").cast("double")).otherwise(x * F.col("weight"))
     out = leveled.withColumn("target", F.coalesce(target, F.col("cap").cast("double")))
     out = out.withColumn("budget", F.round("target").cast("long"))
@@ -53,18 +65,17 @@ def mix(
 ) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, full, taken.
 
-    Documents get a random key by MD5 of seed and id. Each source is sorted by key over its 4096 key
-    ranges; the ranges' sums give every range its offset, and a running sum inside the range gives
-    every document its place. A source is taken `full` times whole, and then the documents in key order
+    Documents get a random key by MD5 of seed, id and text. Each source is sorted by key over its key ranges, 4096 or more,
+    so that a source of all rows has about RANGE_ROWS in each; the ranges' sums give every range its offset, and a running sum inside
+    the range gives every document its place. A source is taken `full` times whole, and then the documents in key order
     until its budget is spent: the document at the cut gives just its first words. taken counts words,
     repeats included, at most three times the size; full is the number of whole repeats. Budgets
     are targets rounded to whole words, so a source's taken words differ from its target by less than one.
 
     Null or empty texts have size 0 and are taken 0 times; a null source is a source of its own, last in
-    order; sources without words have target 0. Rows with one id tie on the key and are ordered
-    by size and then by text; rows equal in these too are exchangeable. Empty tables give no rows.
-    DataFrame operations only. A source with a third of all rows is 4096 window groups, and every task
-    of its prefix sum holds one range. Reruns agree.
+    order; sources without words have target 0. Rows with one id and text tie on the key and are exchangeable.
+    Other columns are not read. Empty tables give no rows. DataFrame operations only. A source with a third of all rows is 4096 window
+    groups or more, and every task of its prefix sum holds one range. Reruns agree.
     """
     placed = _placed(docs, id_col, text_col, source_col, seed)
     return placed.select(
@@ -72,39 +83,37 @@ def mix(
     )
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
-    """docs with the source's key, the size, and the columns of the random order."""
-    number = F.col(id_col).cast("long")
-    return docs.withColumns(
-        {
-            "_key": F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col))),
-            "_size": words_in(F.col(text_col)),
-            "_place": F.md5(F.concat(F.lit(seed), F.coalesce(number.cast("string"), F.lit("null")))),
-            "_number": F.coalesce(number, F.lit((1 << 63) - 1)),
-            "_tie": F.xxhash64(text_col),
-        }
-    )
+def _digits(rows: int) -> int:
+    digits = LEAST_DIGITS
+    while digits < MOST_DIGITS and rows > RANGE_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
+def _key(source: Column) -> Column:
+    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
 
 
-ORDER = ["_place", "_number", "_size", "_tie"]
+def _order(number: Column, text: Column, size: Column, seed: str) -> Column:
+    """A document's place in its source's random order; no names but those of the struct."""
+    place = F.md5(F.concat(F.lit(seed + " "), F.coalesce(number.cast("string"), F.lit("null")), F.lit(" "), F.md5(F.coalesce(text, F.lit("")))))
+    return F.struct(place.alias("place"), size.alias("size"))
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
     """Of each row, its place in the order, its source's figures and part, the words beside full repeats."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("_text"))
-    rows = _keyed(rows, "doc_id", "_text", "source", seed).withColumn("_range", F.substring("_place", 1, DIGITS)).drop("_text")
-    rows = written(rows.withColumn("size", F.col("_size")), "mix")
-    ranges = rows.groupBy("_key", "_range").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
+    rows = rows.select("doc_id", "source", _key(F.col("source")).alias("key"), _order(F.col("doc_id"), F.col("_text"), words_in(F.col("_text")), seed).alias("order"))
+    rows = written(rows.withColumn("size", F.col("order.size")), "mix")
+    rows = rows.withColumn("range", F.substring("order.place", 1, _digits(rows.count())))
+    ranges = rows.groupBy("key", "range").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
     ranges = written(ranges, "mix-ranges")
-    goals = targets(
-        ranges.groupBy(F.col("_key").alias("key")).agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
-    ).drop("source")
-    offset = F.sum("words").over(W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
-    ranges = ranges.select("_key", "_range", F.coalesce(offset, F.lit(0).cast("long")).alias("offset"))
-    ranges = ranges.join(goals.withColumnRenamed("key", "_key"), "_key")
-    inside = W.partitionBy("_key", "_range").orderBy(*ORDER)
+    goals = targets(ranges.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))).drop("source")
+    offset = F.sum("words").over(W.partitionBy("key").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    ranges = ranges.select("key", "range", F.coalesce(offset, F.lit(0).cast("long")).alias("offset")).join(goals, "key")
+    inside = W.partitionBy("key", "range").orderBy("order")
     before = F.coalesce(F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    placed = rows.withColumn("before", before).join(ranges, ["_key", "_range"])
+    placed = rows.withColumn("before", before).join(ranges, ["key", "range"])
     part = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("rest") - F.col("offset") - F.col("before")))
     return placed.withColumn("part", part)
 
@@ -118,17 +127,23 @@ def mixed(
 ) -> DataFrame:
     """The mix itself: rows of docs, all columns, as often as mix() takes them; the document at a source's cut once
     more with its first words, joined by spaces. Texts are not shuffled: a source's row of (full, last document
-    taken) decides all its documents."""
+    taken) decides all its documents. Its cases are those of mix(); documents without words are not taken, rows equal to the
+    one at the cut are cut like it, and columns may have any names."""
     placed = _placed(docs, id_col, text_col, source_col, seed)
-    last = F.max(F.when(F.col("part") > 0, F.struct(*ORDER, "part"))).alias("_last")
-    cuts = written(placed.groupBy("_key").agg(F.first("full").alias("_full"), last), "mix-cuts")
-    # Sources are few, or the table of their cuts is joined like any other.
-    rows = _keyed(docs, id_col, text_col, source_col, seed).join(F.broadcast(cuts) if cuts.count() <= 100_000 else cuts, "_key")
-    here, end = F.struct(*ORDER), F.struct(*[F.col("_last")[c].alias(c) for c in ORDER])
-    words = F.when(F.col("_last").isNull() | (here > end), 0).when(here < end, F.col("_size")).otherwise(F.col("_last")["part"])
-    rows = rows.withColumn("_part", words.cast("long")).filter("_size > 0")
-    times = F.col("_full") + (F.col("_part") > 0).cast("long")
-    rows = rows.withColumn("_time", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<long>"))))
-    cut = (F.col("_time") > F.col("_full")) & (F.col("_part") < F.col("_size"))
-    short = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), 1, F.col("_part").cast("int")), " ")
-    return rows.withColumn(text_col, F.when(cut, short).otherwise(F.col(text_col))).select(*docs.columns)
+    last = F.max(F.when(F.col("part") > 0, F.struct("order", "part"))).alias("last")
+    cuts = written(placed.groupBy("key").agg(F.first("full").alias("full"), last), "mix-cuts")
+    # The documents are one struct column beside the operator's own names. Sources are few, or their cuts are joined like any other.
+    row, text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col(f"`{text_col}`")
+    rows = docs.select(
+        row.alias("row"), text.alias("words"), _key(F.col(f"`{source_col}`")).alias("key"),
+        _order(F.col(f"`{id_col}`").cast("long"), text, words_in(text), seed).alias("order"),
+    ).filter("order.size > 0")
+    rows = rows.join(F.broadcast(cuts) if cuts.count() <= 100_000 else cuts, "key")
+    part = F.when(F.col("last").isNull() | (F.col("order") > F.col("last.order")), 0).when(F.col("order") < F.col("last.order"), F.col("order.size"))
+    rows = rows.withColumn("part", part.otherwise(F.col("last.part")).cast("long"))
+    times = F.col("full") + (F.col("part") > 0).cast("long")
+    rows = rows.withColumn("time", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)).otherwise(F.array().cast("array<long>"))))
+    cut = (F.col("time") > F.col("full")) & (F.col("part") < F.col("order.size"))
+    short = F.array_join(F.slice(F.regexp_extract_all("words", F.lit(WORD), F.lit(0)), 1, F.col("part").cast("int")), " ")
+    rows = rows.withColumn("words", F.when(cut, short).otherwise(F.col("words")))
+    return rows.select(*[F.col("words").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -94,7 +94,7 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('mix-1' || coalesce(doc_id::VARCHAR, 'null')) AS place
+         md5('mix-1 ' || coalesce(doc_id::VARCHAR, 'null') || ' ' || md5(coalesce(text, ''))) AS place
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -113,7 +113,7 @@ b AS (
 r AS (
   SELECT d.doc_id, d.size, b.source_size, b.target, b.full_times,
          round(b.target)::BIGINT - b.full_times * b.source_size AS rest,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id NULLS LAST, d.size
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target,
