@@ -314,6 +314,43 @@ def test_quality_held_out(spark):
     assert quality.grade(df, empty).filter("NOT kept").count() == 0
 
 
+def test_quality_against_a_plain_fit(spark):
+    """The same penalised likelihood, by a plain descent with numerical gradients of each weight and threshold."""
+    rng = np.random.default_rng(5)
+    n, width, steps = 240, 6, 2
+    x = rng.random((n, width)) < 0.4
+    y = np.clip(np.round(1 + x[:, 0] - x[:, 1] + 0.8 * x[:, 2] + rng.normal(size=n) * 0.7), 0, 2).astype(int)
+    balance = (n / (3 * np.bincount(y, minlength=3)))[y]
+
+    def loss(p):
+        low = np.concatenate([[-np.inf], np.sort(p[width:]), [np.inf]])
+        score = x @ p[:width]
+        chance = lambda t: 1 / (1 + np.exp(np.clip(score - t, -500, 500)))
+        return -(balance * np.log(np.maximum(chance(low[y + 1]) - chance(low[y]), 1e-12))).mean() + quality.SHRINK * np.abs(p[:width]).sum()
+
+    p = np.concatenate([np.zeros(width), [-0.5, 0.5]])
+    for t in range(3000):
+        g = np.array([(loss(p + h) - loss(p - h)) / 2e-5 for h in 1e-5 * np.eye(width + steps)])
+        p -= 0.5 * g
+    rows, ids = np.nonzero(x)
+    model = quality.fit_arrays(ids, rows, y, [0, 1, 2])
+    mine = np.concatenate([model.weights[:width].astype(float), model.thresholds])
+    assert loss(mine) <= loss(p) + 2e-3
+    score = x @ p[:width]
+    plain = 1 / (1 + np.exp(p[width + 1] - score))
+    assert np.abs(model.above(x @ model.weights[:width].astype(float))[:, 1] - plain).max() < 0.05
+
+
+def test_quality_of_repeated_ids(spark):
+    """Of several grades the lowest counts and of several texts one is read, so that fits repeat."""
+    docs = [(i % 50, f"text {i} " + ("bad " if i % 2 else "fine ") * 5, "x") for i in range(200)] + [(None, None, None)] * 3 + [(7, "long " * 50_000, "y")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, grade string")
+    rated = spark.createDataFrame([(i, g) for i in range(50) for g in {i % 2, 1}] + [(None, 1), (3, None)], "doc_id long, grade int")
+    one, two = quality.fit(rated, df), quality.fit(rated.repartition(7), df.repartition(5))
+    assert (one.weights == two.weights).all() and one.grades == [0, 1]
+    assert quality.grade(df, one).count() == quality.grade(df, one).filter("kept IS NOT NULL").count() == 204
+
+
 def test_pieces_equal_the_library(docs, rows):
     import public_tokenizers
     import sentencepiece

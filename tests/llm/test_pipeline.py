@@ -61,16 +61,16 @@ def test_stages_on_edges(spark):
     """Null ids, texts and sources, blanks, repeated rows, a long text, and columns named like the operators' own."""
     long = " ".join(f"word{i % 977} other{i % 31}" for i in range(40_000))
     texts = [None, "", " \n\t", "A few plain words here.", long, long + " more", "A few plain words here."]
-    rows = [(None if i == 3 else i, t, "en", None if i % 2 else "s", len(t or ""), i, i, i) for i, t in enumerate(texts)]
+    rows = [(None if i == 3 else i, t, "en", None if i % 2 else "s", len(t or ""), 7, 8, 9) for i, t in enumerate(texts)]
     rows += [rows[3], rows[4], rows[0]]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, _key long, size long, kept long"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _key long, _word long, _row long"
     for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
-        docs = docs.drop("_key")
         before = docs.count()
         for _, stage in corpus_pipeline.STAGES:
             out = written(stage(spark, docs, SF), "test-edges")
             if stage is not corpus_pipeline.STAGES[-1][1]:
                 assert out.columns == docs.columns
+                assert {tuple(r)[5:] for r in out.collect()} <= {(7, 8, 9)}
             docs = out
         assert docs.count() >= (1 if before else 0) and (before or docs.count() == 0)
         assert docs.filter("NOT round_trip").count() == 0
@@ -84,3 +84,11 @@ def test_drop_copies_with_null_ids(spark):
     got = [(r["doc_id"], (r["text"] or "")[:1]) for r in corpus_pipeline.drop_copies(spark, docs, SF).collect()]
     assert sorted(got, key=str) == sorted([(4, "a"), (None, "b"), (7, "c"), (None, ""), (2, "")], key=str)
     assert corpus_pipeline.drop_copies(spark, docs.filter("doc_id IS NULL"), SF).count() == 4
+
+
+def test_drop_copies_of_repeated_ids(spark):
+    """Rows of one id are documents of their own: what is not a copy stays."""
+    a, b, c = ("\n".join(f"{w}{i} and {w}{i * 7 % 50}" for i in range(60)) for w in ("a", "b", "c"))
+    rows = [(5, a), (5, b), (5, b), (3, a + " more"), (9, c), (9, c + " more"), (9, "x"), (9, None)]
+    got = [(r["doc_id"], (r["text"] or "")[:1]) for r in corpus_pipeline.drop_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()]
+    assert sorted(got) == [(3, "a"), (5, "b"), (9, ""), (9, "c"), (9, "x")]

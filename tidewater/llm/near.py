@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import tokens as T
-from tidewater.llm.common import attach, likely_in, written
+from tidewater.llm.common import attach, fresh, likely_in, without, written
 from tidewater.llm.graph import components
 
 SHINGLE = 5
@@ -335,3 +335,24 @@ def _exact(pairs: DataFrame, reps: DataFrame, text: DataFrame, threshold: int) -
     keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
     texts = written(_some_texts(keys, reps, text), "near-texts")
     return written(_beside_center(pairs.toDF("a", "b"), texts, _verified(threshold), "near-verify"), "near-links")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75) -> DataFrame:
+    """docs, all columns, with one row of each group that near_dedup links: the one with the smallest id, null ids last, and any one of
+    rows that share that id.
+
+    Every row is a document of its own here, whatever its id: repeated rows are copies. Rows without words
+    all stay. Columns may have any names; empty tables give no rows. If an id is null or repeated, docs are written once with a number
+    for each row; else the ids are the numbers.
+    """
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"))
+    if ids.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 OR id IS NULL").isEmpty():
+        lost = written(near_dedup(docs, id_col, text_col, threshold).filter("NOT kept").select("doc_id"), "near-lost")
+        return without(docs, id_col, lost, "doc_id")
+    row = fresh(docs.columns, "_row")
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-numbered")
+    found = written(near_dedup(docs, row, text_col, threshold).select(F.col("doc_id").alias("row"), "component_id"), "near-found")
+    numbered = found.join(docs.select(F.col(row).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id")), "row")
+    best = numbered.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("best"))
+    lost = written(found.join(best.select(F.col("best.row").alias("row")), "row", "left_anti").select("row"), "near-lost")
+    return without(docs, row, lost, "row").drop(row)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import tokens as T
+from tidewater.llm.common import written
 
 #: Hashed features; the last SHARES * BINS are shares of a document in bins.
 FEATURES = 1 << 18
@@ -156,12 +157,18 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(rated: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS) -> Model:
     """The model from rated (id, grade int) and the texts of docs. Features of about fit_docs rated documents,
-    chosen by a hash of the id, reach the driver."""
+    chosen by a hash of the id, reach the driver.
+
+    An id with several grades has the lowest; of an id with several texts the one with the least hash is read. Null
+    ids and grades teach nothing, a null text is an empty one. Without rated documents the model has the one grade 0.
+    """
     rated = rated.select(F.col(id_col).cast("long").alias("_id"), F.col("grade").cast("int").alias("grade")).filter("_id IS NOT NULL AND grade IS NOT NULL")
+    rated = written(rated.groupBy("_id").agg(F.min("grade").alias("grade")), "quality-rated")
     share = min(1.0, fit_docs / max(1, rated.count()))
-    few = rated.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).dropDuplicates(["_id"])
-    text = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    got = text.join(F.broadcast(few), "_id").orderBy("_id", F.xxhash64("_text")).select("_text", "grade")
+    few = rated.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    text = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id")
+    got = text.groupBy("_id", "grade").agg(F.min(F.struct(F.xxhash64("_text").alias("hash"), "_text")).alias("best"))
+    got = got.orderBy("_id").select(F.col("best._text").alias("_text"), "grade")
     got = got.mapInArrow(_featured, "grade int, ids array<long>").toArrow()
     grade = got.column("grade").to_numpy()
     lists = got.column("ids").combine_chunks()
@@ -198,8 +205,9 @@ def _scored(shared) -> Callable:
 def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least_tail: float = LEAST_TAIL) -> DataFrame:
     """One row per row of docs: doc_id, expected_grade, tail = P(highest grade), the likeliest grade, kept = tail >= least_tail.
 
-    Whole texts are read. Null and empty texts have only the features of shares 0. Null ids and repeated rows
-    keep their places; without rated documents every text gets the one grade 0 and tail 1. No shuffle.
+    Whole texts of any length are read. Null and empty texts have only the features of shares 0. Null ids and repeated rows
+    keep their places; of equally likely grades the lowest is told; without rated documents every text gets the one grade 0 and
+    tail 1. Other columns are not read. Empty tables give no rows. No shuffle.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -208,7 +216,8 @@ def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def good(docs: DataFrame, model: Model, text_col: str = "text", least_tail: float = LEAST_TAIL) -> DataFrame:
-    """The rows of docs, all columns, that grade() keeps."""
+    """The rows of docs, all columns, that grade() keeps: tails of just least_tail stay. Null and empty texts are judged as texts
+    without words, repeated rows alike; null ids and any column names are left as they are. Empty tables give no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,5 +233,5 @@ def good(docs: DataFrame, model: Model, text_col: str = "text", least_tail: floa
 
 
 def graded(labels: DataFrame) -> DataFrame:
-    """doc_id, grade of the driver's labels: 0 toxic, 1 of low quality, 2 good; null if a label is missing."""
+    """doc_id, grade of labels (quality, toxic): 0 toxic, 1 of low quality, 2 good; null if a label is missing."""
     return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when((F.col("toxic") == 0) & (F.col("quality") == 1), 2).alias("grade"))
