@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import lines, mixing, near, pieces, quality
-from tidewater.llm.common import without, written
+from tidewater.llm.common import written
 from tidewater.session import table
 
 
@@ -16,36 +16,44 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal classifier does not reject; it is fitted on the rated documents of the input."""
+    """Documents that the ordinal classifier does not reject; it is fitted on the rated documents of the input.
+
+    Rows are judged by their texts alone, repeated ones alike; null and empty texts as texts without words; of any length. Null
+    ids and other columns stay as they are. Without labels every document stays; empty tables give no rows."""
     rated = quality.graded(table(spark, sf_dir, "labels"))
     return quality.good(docs, quality.fit(rated, docs))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that five or more of them share but in the last one."""
+    """All documents, without lines that five or more of them share but in the last one.
+
+    Null and empty texts stay as they are, as do the lines of rows with a null id, which count as documents. Rows that repeat the
+    largest id all keep a line. Texts of any length are split whole; empty tables give no rows."""
     return _measured(lines.without_repeats(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id. Rows with a null id are documents of
-    their own, after all others; their numbers go on from the largest id, and fail if that leaves them no room."""
-    if docs.filter("doc_id IS NULL").isEmpty():
-        found = written(near.near_dedup(docs), "pipeline-near")
-        return without(docs, "doc_id", found.filter("NOT kept").select("doc_id"), "doc_id")
-    after = F.lit(docs.agg(F.coalesce(F.max("doc_id"), F.lit(-1))).first()[0]).cast("long") + 1
-    numbered = docs.withColumn("_row", F.coalesce(F.col("doc_id").cast("long"), after + F.monotonically_increasing_id()))
-    numbered = written(numbered, "pipeline-numbered")
-    found = written(near.near_dedup(numbered, "_row"), "pipeline-near")
-    return without(numbered, "_row", found.filter("NOT kept").select("doc_id"), "doc_id").drop("_row")
+    """One document of each group of near copies, the one with the smallest id; rows with a null id come after all others, and of
+    rows that share an id any one stays.
+
+    Every row is a document of its own. Null and empty texts have no copies and stay; texts of any length are compared whole;
+    empty tables give no rows."""
+    return near.without_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target weight asks for; a repeat is a row."""
+    """Documents as often as their source's target weight asks for; a repeat is a row.
+
+    Null and empty texts have no words and are not taken. A null source is a source of its own. Rows equal in id and text tie and
+    are exchangeable, null ids too; the document at a source's cut gives its first words once. Empty tables give no rows."""
     return _measured(mixing.mixed(docs))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces and ids of every row, and whether decoding them gives the text again."""
+    """doc_id, n_pieces and ids of every row, and whether decoding them gives the text again.
+
+    A null text has null ids and round_trip and 0 pieces, an empty one no ids. Null ids and repeated rows keep their places;
+    texts of any length are encoded whole; other columns go. Empty tables give no rows."""
     coded = pieces.encode(docs, pieces.load(), check=True)
     return coded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", "round_trip")
 
