@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import scores as sc
 from tidewater.operators import backtest as bt
 from tidewater.operators import conversations as co
+from tidewater.operators import dialogue as di
 from tidewater.operators import grid as gr
 from tidewater.operators import models as mo
 from tidewater.operators import retrieval as re_
@@ -154,20 +155,71 @@ def test_chunks_overlap(spark):
 
 def test_answer_checks(spark):
     quote = "the price rose in two of three years"
-    good = {"abstain": False, "claims": [{"text": "It rose.", "evidence": [{"id": "s", "quote": quote}]}]}
+    proof = {"id": "s", "quote": quote}
+    good = {"abstain": False, "claims": [{"text": " It rose.", "evidence": [proof, proof]}, {"text": "More.", "evidence": [{"id": "t", "quote": "eﬃciency of the second text"}, proof]}]}
+    one = lambda text, *evidence: json.dumps({"abstain": False, "claims": [{"text": text, "evidence": list(evidence)}]})
     cases = {
-        1: (json.dumps(good), None),
-        2: ("not json", "invalid_json"),
-        3: (json.dumps({"abstain": True, "claims": []}), "abstained"),
-        4: (json.dumps({"abstain": False, "claims": []}), "claims"),
-        5: (json.dumps({**good, "claims": [{"text": "see [1]", "evidence": []}]}), "claim_text"),
-        6: (json.dumps({**good, "claims": [{"text": "x", "evidence": [{"id": "s", "quote": "short"}]}]}), "quote_length"),
-        7: (json.dumps({**good, "claims": [{"text": "x", "evidence": [{"id": "t", "quote": quote}]}]}), "unknown_source"),
-        8: (json.dumps({**good, "claims": [{"text": "x", "evidence": [{"id": "s", "quote": quote + "!"}]}]}), "quote_absent"),
+        1: (json.dumps(good), "ok"),
+        2: ("not json", "schema_error"),
+        3: (json.dumps({"abstain": True, "claims": []}), "abstain"),
+        4: (json.dumps({"abstain": False, "claims": []}), "schema_error"),
+        5: (one("see [1]"), "schema_error"),
+        6: (one("x", {"id": "s", "quote": "short"}), "schema_error"),
+        7: (one("x", {"id": "u", "quote": "short"}), "unknown_citation"),
+        8: (one("x", {"id": "s", "quote": quote + "!"}), "quote_mismatch"),
+        9: (json.dumps({**good, "abstain": None}), "schema_error"),
+        10: (one("x", {"id": "s", "quote": quote.upper()}), "quote_mismatch"),
+        11: (one("x", {"id": "s", "quote": "rose" + " " * 30}), "quote_mismatch"),
     }
     answers = spark.createDataFrame([(i, p) for i, (p, _) in cases.items()], "answer_id long, payload string")
-    sources = spark.createDataFrame([("s", "Indeed the PRICE  rose in two\nof three ye-\nars.")], "id string, text string")
+    texts = [("s", "Indeed the\u00a0price  rose in two\nof three ye-\nars."), ("t", "The efficiency of the second text, soft\u00adly.")]
+    sources = spark.createDataFrame([(i, t, f"T{i}", 3, f"https://x/{i}#old") for i, t in texts], "id string, text string, title string, page int, url string")
     assert {r[0]: r[1] for r in co.checked_answers(answers, sources).collect()} == {i: f for i, (_, f) in cases.items()}
+    told = co.rendered_answers(answers, sources).collect()
+    assert [r["answer_id"] for r in told] == [1] and told[0]["cited"] == ["s", "t"]
+    want = "Краткий вывод\nIt rose. [1]\n\nПодробности\nMore. [2] [1]\n\nИсточники\n[1] Ts, PDF стр. 3\nhttps://x/s#page=3\n\n[2] Tt, PDF стр. 3\nhttps://x/t#page=3"
+    assert told[0]["text"] == want
+
+
+def test_normal_texts(spark):
+    pairs = {"ﬁrst\u00a0 line": "first line", "electri-\n  city": "electricity", "1-\n2": "1- 2", "a \u2013 b \u2212 c": "a - b - c", "so\u00adft": "soft", "Case": "Case"}
+    df = spark.createDataFrame([(k,) for k in pairs], "t string")
+    assert {r["t"]: r["n"] for r in df.select("t", co.normal(F.col("t")).alias("n")).collect()} == pairs
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+def test_dialogue_rules(spark):
+    aliases = {"plan_2024": ["plan 2024", "план"], "review": ["review"]}
+    rows = [(1, 1, "План 2024: спрос в 2022 и 2024"), (1, 2, "А почему это в 2023?"), (1, 3, "Сколько электростанций построено"), (2, 1, "а почему это?"), (3, 1, "Review 2021"), (3, 2, "почему так")]
+    got = {(r["conv_id"], r["turn"]): r for r in di.resolved_questions(spark.createDataFrame(rows, "conv_id long, turn long, question string"), aliases).collect()}
+    assert got[1, 2]["resolved"] == "План 2024: спрос в и 2024\nУточнение: А почему это в 2023?\nИсточники: plan_2024"
+    assert not got[1, 3]["leans"] and not got[2, 1]["leans"] and got[3, 2]["resolved"] == "Review 2021\nУточнение: почему так\nИсточники: review"
+    assert one(spark, di.neutral(F.lit("Почему вырос спрос, а цена снизилась?"))) == "изменение спрос, а цена изменение"
+    assert one(spark, di.neutral(F.lit("Как вырос спрос?"))) == "Как вырос спрос?"
+    assert one(spark, di.hints(F.lit("Мировой спрос на электроэнергию вырос на 4,3% в ЕС"))) == "global electricity demand change Europe 4.3%"
+    none = F.array().cast("array<string>")
+    asks = lambda t: one(spark, di.asks_about_citations(F.lit(t), none))
+    assert asks("Какие источники у первого ответа?") and asks("откуда это") and asks("ссылки?") and not asks("Какой спрос на электроэнергию в Китае в 2024 году был")
+    assert not one(spark, di.asks_about_citations(F.lit("ссылка на план"), F.array(F.lit("plan"))))
+    assert one(spark, di.key_shaped(F.lit(" sk-0123456789abcdef "))) and not one(spark, di.key_shaped(F.lit("short")))
+    assert [one(spark, di.question_allowed(F.lit(t))) for t in (" ", "x", "x" * 2001)] == [False, True, False]
+
+
+def test_citation_answers(spark):
+    source = "sources array<struct<title:string,page:int,url:string>>"
+    turns = spark.createDataFrame([(1, 1, [("A", 3, "https://a#b"), ("B", None, "")]), (1, 2, [])], f"conv_id long, turn int, {source}")
+    asked = [(1, 1, "источники первого ответа"), (2, 1, "откуда это?"), (3, 1, "источники третьего ответа"), (4, 1, "какой спрос")]
+    got = {r["question_id"]: (r["outcome"], r["text"]) for r in di.citation_answers(spark.createDataFrame(asked, "question_id long, conv_id long, text string"), turns, {}).collect()}
+    assert got == {1: ("sources", "[1] A, PDF стр. 3\nhttps://a#page=3\n\n[2] B"), 2: ("no_sources", None), 3: ("no_answer", None)}
+
+
+def test_entrance():
+    door = di.Entrance(capacity=2, ttl_seconds=300)
+    assert door.admit("a", 0) and door.admit("b", 1) and not door.admit("c", 300) and door.admit("a", 300)
+    assert door.admit("c", 301.5) and not door.holds("b", 301.5) and door.holds("a", 600)
 
 
 def test_sessions_end_at_the_limit(spark):
@@ -184,4 +236,7 @@ def test_only_accepted_requests_move_the_clock(spark):
 def test_split_message():
     parts = co.split_message("word " * 1000, 100)
     assert all(0 < len(p) <= 100 for p in parts) and " ".join(parts).split() == ["word"] * 1000
-    assert co.split_message("x" * 250, 100) == ["x" * 100, "x" * 100, "x" * 50] and co.split_message("", 100) == []
+    assert co.split_message("x" * 250, 100) == ["x" * 100, "x" * 100, "x" * 50] and co.split_message("", 100) == [""]
+    assert [len(p) for p in co.split_message("Hi\n" + "x" * 2500, 1800)] == [1800, 703]
+    assert co.split_message("  a\n" + "b" * 99, 100)[0] == "a\n" + "b" * 98 and co.split_message(" a ", 100) == [" a "]
+    assert co.split_message("a" * 60 + "\n" + "b " * 40, 100) == ["a" * 60, "b " * 39 + "b "]

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 NUMBER = r"\d+(?:[.,]\d+)?"
-FOLLOW_UP = r"(?i)\b(it|that|this|those|they|same|also|and)\b"
+# The shape of an answer, its limits, the pattern of texts that must not be in a claim, reasons and headings.
 ANSWER = "struct<abstain:boolean,claims:array<struct<text:string,evidence:array<struct<id:string,quote:string>>>>>"
 MOST_CLAIMS, MOST_TEXT, MOST_EVIDENCE, QUOTE = 6, 1200, 4, (20, 400)
+LINK = r"https?://|\[\d+\]"
+HEADINGS = ("Краткий вывод", "Подробности", "Источники")
+PAGE = "PDF стр."
 
 
 def last_turns(turns: DataFrame, keep: int = 8) -> DataFrame:
@@ -27,17 +32,6 @@ def nth_turn(turns: DataFrame, role: str, n: int) -> DataFrame:
     return turns.filter(F.col("role") == role).withColumn("_n", place).filter(F.col("_n") == n).drop("_n")
 
 
-def follow_ups(turns: DataFrame, most_words: int = 16) -> DataFrame:
-    """User turns with the user's turn before, whether they lean on it (few words, a pointing word), and the
-    resolved question: both texts, or the turn's own."""
-    asked = turns.filter("role = 'user'")
-    before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn", "text"))
-    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    leans = before.isNotNull() & (words <= most_words) & F.col("text").rlike(FOLLOW_UP)
-    rows = asked.withColumns({"_before": before, "words": words}).withColumn("leans", F.coalesce(leans, F.lit(False)))
-    return rows.select("conv_id", "turn", "words", "leans", F.when(F.col("leans"), F.concat_ws(" ", "_before", "text")).otherwise(F.col("text")).alias("resolved"))
-
-
 def numbers(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit("."))))
 
@@ -47,43 +41,78 @@ def numbers_kept(current: Column, produced: Column, allowed: Column) -> Column:
     return (F.size(F.array_except(numbers(current), numbers(produced))) == 0) & (F.size(F.array_except(numbers(produced), numbers(allowed))) == 0)
 
 
+@F.pandas_udf(StringType())
+def _compatible(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
 def normal(text: Column) -> Column:
-    """Text for quote matching: soft hyphens go, hyphenated line breaks join, dashes and spaces are one kind, lower case."""
-    joined = F.regexp_replace(F.replace(text, F.lit("­"), F.lit("")), r"(\p{L})-\s*\n\s*(\p{L})", "$1$2")
-    return F.trim(F.lower(F.regexp_replace(F.translate(joined, "‐‑‒–—−", "------"), r"[\s ]+", " ")))
+    """Text for quote matching: compatibility forms, no soft hyphens, words joined that a hyphen breaks at a line's end, one kind of
+    dash and of space. Only texts beyond ASCII go to Python."""
+    wide = text.rlike(r"[^\x00-\x7F]")
+    plain = F.when(wide, _compatible(F.when(wide, text))).otherwise(text)
+    joined = F.regexp_replace(F.replace(plain, F.lit("\u00ad"), F.lit("")), r"(?<=\p{L})[-\u2010]\s*\n\s*(?=\p{L})", "")
+    return F.trim(F.regexp_replace(F.translate(joined, "\u2010\u2011\u2013\u2014\u2212", "-----"), r"(?U)\s+", " "))
 
 
 def checked_answers(answers: DataFrame, sources: DataFrame) -> DataFrame:
-    """answers (answer_id, payload JSON) with their first failure by claim, evidence and check, or null.
+    """answers (answer_id, payload JSON) with reason, the first that applies by claim, evidence and check, else ok.
 
-    Checks: invalid_json; abstained; claims (1 to 6); claim_text (1 to 1200 characters, no link or [n]); evidence (1 to 4);
-    quote_length (20 to 400); unknown_source; quote_absent (the quote is in its source after normalisation).
+    schema_error: no object, abstain neither true nor false, claims not 1 to 6, a claim's text not 1 to 1200 characters or with a
+    link or [n], evidence not 1 to 4, a quote not 20 to 400 characters; abstain; unknown_citation: an id that is no
+    source, which is looked at before the quote; quote_mismatch: after normalisation the quote is shorter than 20 or not in its source.
     """
     parsed = answers.withColumn("_a", F.from_json("payload", ANSWER))
     whole = (
-        F.when(F.col("_a").isNull() | (F.col("_a.abstain").isNull() & F.col("_a.claims").isNull()), "invalid_json")
-        .when(F.col("_a.abstain"), "abstained")
-        .when(F.coalesce(~F.size("_a.claims").between(1, MOST_CLAIMS), F.lit(True)), "claims")
+        F.when(F.col("_a.abstain"), "abstain")
+        .when(F.col("_a.abstain").isNull(), "schema_error")
+        .when(F.coalesce(~F.size("_a.claims").between(1, MOST_CLAIMS), F.lit(True)), "schema_error")
     )
     parsed = parsed.withColumn("_whole", whole)
     claims = parsed.filter("_whole IS NULL").select("answer_id", F.posexplode("_a.claims").alias("_c", "_claim"))
     text, size = F.col("_claim.text"), F.size("_claim.evidence")
-    bad_text = text.isNull() | ~F.char_length(text).between(1, MOST_TEXT) | text.rlike(r"https?://|\[\d+\]")
-    of_claim = F.when(bad_text, "claim_text").when(F.coalesce(~size.between(1, MOST_EVIDENCE), F.lit(True)), "evidence")
-    claims = claims.withColumn("_f", of_claim)
-    first = claims.filter("_f IS NOT NULL").select("answer_id", "_c", F.lit(-1).alias("_e"), F.col("_f").alias("failure"))
-    proof = claims.filter("_f IS NULL").select("answer_id", "_c", F.posexplode("_claim.evidence").alias("_e", "_x"))
+    bad = text.isNull() | ~F.char_length(text).between(1, MOST_TEXT) | text.rlike(LINK) | F.coalesce(~size.between(1, MOST_EVIDENCE), F.lit(True))
+    claims = claims.withColumn("_bad", bad)
+    first = claims.filter("_bad").select("answer_id", "_c", F.lit(-1).alias("_e"), F.lit("schema_error").alias("reason"))
+    proof = claims.filter("NOT _bad").select("answer_id", "_c", F.posexplode("_claim.evidence").alias("_e", "_x"))
     proof = proof.select("answer_id", "_c", "_e", F.col("_x.id").alias("id"), F.col("_x.quote").alias("quote"))
-    known = sources.select(F.col("id"), F.col("text").alias("_text"))
-    proof = proof.join(known, "id", "left")
+    known = sources.select("id", normal(F.col("text")).alias("_text"), F.lit(True).alias("_known"))
+    proof = proof.join(known, "id", "left").withColumn("_quote", normal(F.col("quote")))
     failed = (
-        F.when(F.coalesce(~F.char_length("quote").between(*QUOTE), F.lit(True)), "quote_length")
-        .when(F.col("_text").isNull(), "unknown_source")
-        .when(~F.contains(normal(F.col("_text")), normal(F.col("quote"))), "quote_absent")
+        F.when(F.col("_known").isNull(), "unknown_citation")
+        .when(F.coalesce(~F.char_length("quote").between(*QUOTE), F.lit(True)), "schema_error")
+        .when((F.char_length("_quote") < QUOTE[0]) | ~F.coalesce(F.contains("_text", "_quote"), F.lit(False)), "quote_mismatch")
+    )
+    second = proof.withColumn("reason", failed).filter("reason IS NOT NULL").select("answer_id", "_c", "_e", "reason")
+    found = first.unionByName(second).groupBy("answer_id").agg(F.min_by("reason", F.struct("_c", "_e")).alias("reason"))
+    return parsed.join(found, "answer_id", "left").select("answer_id", F.coalesce("_whole", "reason", F.lit("ok")).alias("reason"))
+
+
+def page_link(url: Column, page: Column) -> Column:
+    """A URL without its fragment, and the page as its anchor."""
+    return F.concat(F.substring_index(url, "#", 1), F.lit("#page="), page.cast("string"))
+
+
+def rendered_answers(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """answer_id, text, cited of the answers (answer_id, payload) that checked_answers finds ok: the first claim, the others, and the
+    sources (id, title, page, url) by number; ids are numbered as they first occur, and a claim tells each of its numbers once."""
+    a = F.from_json("payload", ANSWER)
+    rows = answers.select("answer_id", a["claims"].alias("_claims"))
+    ids = F.flatten(F.transform("_claims", lambda c: F.transform(c["evidence"], lambda e: e["id"])))
+    rows = rows.withColumn("cited", F.array_distinct(ids))
+    number = lambda e: F.concat(F.lit("["), F.array_position("cited", e["id"]).cast("string"), F.lit("]"))
+    told = F.transform(
+        "_claims", lambda c: F.concat(F.trim(c["text"]), F.lit(" "), F.array_join(F.array_distinct(F.transform(c["evidence"], number)), " "))
     )
-    second = proof.withColumn("failure", failed).filter("failure IS NOT NULL").select("answer_id", "_c", "_e", "failure")
-    found = first.unionByName(second).groupBy("answer_id").agg(F.min_by("failure", F.struct("_c", "_e")).alias("failure"))
-    return parsed.join(found, "answer_id", "left").select("answer_id", F.coalesce("_whole", "failure").alias("failure"))
+    rows = rows.withColumn("_told", told)
+    line = F.concat(F.lit("["), (F.col("_n") + 1).cast("string"), F.lit("] "), "title", F.lit(f", {PAGE} "), F.col("page").cast("string"), F.lit("\n"), page_link(F.col("url"), F.col("page")))
+    lines = rows.select("answer_id", F.posexplode("cited").alias("_n", "id")).join(sources, "id").select("answer_id", "_n", line.alias("_line"))
+    lines = lines.groupBy("answer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_line"))), lambda x: x["_line"]).alias("_lines"))
+    first, more, below = HEADINGS
+    rest = F.when(F.size("_told") > 1, F.concat(F.lit(f"\n\n{more}\n"), F.array_join(F.slice("_told", 2, MOST_CLAIMS), "\n\n"))).otherwise("")
+    text = F.concat(F.lit(f"{first}\n"), F.element_at("_told", 1), rest, F.lit(f"\n\n{below}\n"), F.array_join("_lines", "\n\n"))
+    ok = checked_answers(answers, sources).filter("reason = 'ok'").select("answer_id")
+    return rows.join(ok, "answer_id").join(lines, "answer_id").select("answer_id", text.alias("text"), "cited")
 
 
 def sessions(events: DataFrame, user: str, time: str, ttl_seconds: int = 1800) -> DataFrame:
@@ -149,15 +178,17 @@ def first_occurrences(rows: DataFrame, key: str, order: str, value: str) -> Data
 
 
 def split_message(text: str, most: int = 1800) -> list[str]:
-    """Parts of at most so many characters, cut at the last newline or space before the limit, else at the limit."""
-    parts, rest = [], text.strip()
+    """Parts of at most so many characters, one at least. A part ends at the last newline if that is in the second half of what fits,
+    else at the last space, else where it is full; newlines and spaces between parts go, and leading ones of the text stay."""
+    if most < 1:
+        raise ValueError("a part has a character at least")
+    parts, rest = [], text
     while len(rest) > most:
-        at = max(rest.rfind("\n", 1, most + 1), -1)
-        at = at if at > 0 else rest.rfind(" ", 1, most + 1)
-        at = at if at > 0 else most
-        parts.append(rest[:at].rstrip())
-        rest = rest[at:].lstrip()
-    return [*parts, rest] if rest else parts
+        fits = rest[: most + 1]
+        ends = [i for i, least in ((fits.rfind("\n"), max(1, most // 2)), (fits.rfind(" "), 1)) if i >= least]
+        head, rest = rest[: ends[0] if ends else most].rstrip(), rest[ends[0] if ends else most :].lstrip("\n ")
+        parts += [head] * bool(head)
+    return parts + [rest] * bool(rest or not parts)
 
 
 def split_messages(rows: DataFrame, key: str, text: str, most: int = 1800) -> DataFrame:

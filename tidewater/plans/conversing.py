@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidewater.operators import conversations as co
+from tidewater.operators import dialogue as di
 from tidewater.plans.catalog import query, shown, told
 from tidewater.session import table
 from tidewater.streaming import state
@@ -23,54 +24,135 @@ def second_answer(spark, sf):
     return co.nth_turn(table(spark, sf, "conversations"), "assistant", 2)
 
 
+#: Rules in the words of the tables: aliases of sources with years, pointing words, hints.
+ALIASES = {"plan_2024": ["schst", "plan 2024"], "review": ["tion", "ment"]}
+POINTS, BEGINS = r"(?i)(?U)\b(et|und|the|los)\b", r"(?i)(?U)^(a|e|i)"
+HINT_TABLE = [("keit|heit", "abstract"), ("tion", "action"), ("ing", "going"), ("ción", "accion")]
+
+U = r"""
+WITH u0 AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN text || ' 2023 2024' ELSE text END AS question FROM conversations WHERE role = 'user'),
+u AS (SELECT *, lag(question) OVER (PARTITION BY conv_id ORDER BY turn, question) AS b, trim(question) AS q,
+  len(list_filter(string_split_regex(trim(question), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS words FROM u0),
+sc AS (SELECT *,
+  list_filter([CASE WHEN contains(lower(question), 'schst') OR contains(lower(question), 'plan 2024') THEN 'plan_2024' END,
+    CASE WHEN contains(lower(question), 'tion') OR contains(lower(question), 'ment') THEN 'review' END], lambda x: x IS NOT NULL) AS s,
+  list_filter([CASE WHEN contains(lower(b), 'schst') OR contains(lower(b), 'plan 2024') THEN 'plan_2024' END,
+    CASE WHEN contains(lower(b), 'tion') OR contains(lower(b), 'ment') THEN 'review' END], lambda x: x IS NOT NULL) AS bs FROM u),
+l AS (SELECT *, coalesce(b IS NOT NULL AND len(s) = 0 AND words <= 16 AND
+    (regexp_matches(q, '(?i)(^|[^\pL\pN_])(et|und|the|los)($|[^\pL\pN_])') OR regexp_matches(q, '(?i)^(a|e|i)')), false) AS leans FROM sc),
+p AS (SELECT *, CASE WHEN NOT regexp_matches(question, '\b(19|20)\d{2}\b') THEN b
+    WHEN list_contains(bs, 'plan_2024') THEN trim(regexp_replace(replace(replace(b, '2023', ''), '2022', ''), '\s{2,}', ' ', 'g'))
+    ELSE trim(regexp_replace(regexp_replace(b, '\b(19|20)\d{2}\b', '', 'g'), '\s{2,}', ' ', 'g')) END AS previous FROM l)
+"""
+
+
 @query(
-    r"""WITH u AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS b,
-  len(list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))::INT AS words FROM conversations WHERE role = 'user'),
-l AS (SELECT *, coalesce(b IS NOT NULL AND words <= 16 AND regexp_matches(text, '(?i)\b(it|that|this|those|they|same|also|and)\b'), false) AS leans FROM u)
-SELECT conv_id, turn, words, leans, CASE WHEN leans THEN b || ' ' || text ELSE text END AS resolved FROM l"""
+    U
+    + """SELECT conv_id, turn, leans,
+  CASE WHEN leans THEN right(substring(previous, 1, 1800) || chr(10) || 'Уточнение: ' || q || chr(10) || 'Источники: ' || array_to_string(bs, ' '), 4000) ELSE q END AS resolved FROM p"""
 )
 def follow_ups(spark, sf):
-    return co.follow_ups(table(spark, sf, "conversations"))
+    asked = table(spark, sf, "conversations").filter("role = 'user'")
+    text = F.when(F.col("conv_id") % 3 == 0, F.concat("text", F.lit(" 2023 2024"))).otherwise(F.col("text"))
+    out = di.resolved_questions(asked.select("conv_id", "turn", text.alias("question")), ALIASES, POINTS, BEGINS)
+    return out.select("conv_id", "turn", "leans", "resolved")
+
+
+@query(
+    r"""SELECT conv_id, turn, array_to_string(list_filter([
+  CASE WHEN regexp_matches(text, '(?i)keit|heit') THEN 'abstract' END, CASE WHEN regexp_matches(text, '(?i)tion') THEN 'action' END,
+  CASE WHEN regexp_matches(text, '(?i)ing') THEN 'going' END, CASE WHEN regexp_matches(text, '(?i)ción') THEN 'accion' END,
+  conv_id::VARCHAR || '.5%'], lambda x: x IS NOT NULL), ' ') AS hints FROM (SELECT conv_id, turn, regexp_replace(text, '[0-9]', '', 'g') AS text FROM conversations)"""
+)
+def search_hints(spark, sf):
+    text = F.concat(F.regexp_replace("text", "[0-9]", ""), F.lit(" "), F.col("conv_id").cast("string"), F.lit(",5%"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", di.hints(text, HINT_TABLE).alias("hints"))
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN ' ' || repeat('k', 10 + turn::INT * 5) || ' ' WHEN 1 THEN repeat(text, 3) ELSE text END AS text,
+  [200, 401, 402, 429, 500][turn % 5 + 1] AS status, CASE WHEN conv_id % 2 = 0 THEN 'timeout' END AS reason FROM conversations)
+SELECT conv_id, turn, regexp_matches(trim(text), '^[A-Za-z0-9_-]{16,256}$') AS key_shaped, length(trim(text)) BETWEEN 1 AND 2000 AS allowed,
+  CASE WHEN status = 401 THEN 'Провайдер отклонил доступ. Отправь /start и проверь ключ.' WHEN status = 402 THEN 'Провайдер не выполнил запрос: проверь баланс и доступ к модели.'
+    WHEN status = 429 THEN 'Сейчас достигнут лимит запросов провайдера. Попробуй чуть позже.' WHEN reason = 'timeout' THEN 'Провайдер не успел ответить. Попробуй повторить вопрос чуть позже.'
+    ELSE 'Не получилось получить ответ от API. Попробуй чуть позже; это не означает, что сведений нет в документах.' END AS message FROM c"""
+)
+def question_gates(spark, sf):
+    c, k = table(spark, sf, "conversations"), F.col("conv_id") % 4
+    key = F.concat(F.lit(" "), F.repeat(F.lit("k"), (10 + F.col("turn") * 5).cast("int")), F.lit(" "))
+    c = c.withColumn("text", F.when(k == 0, key).when(k == 1, F.repeat("text", 3)).otherwise(F.col("text")))
+    status = F.get(F.array(*map(F.lit, (200, 401, 402, 429, 500))), (F.col("turn") % 5).cast("int"))
+    reason = F.when(F.col("conv_id") % 2 == 0, "timeout")
+    return c.select("conv_id", "turn", di.key_shaped(F.col("text")).alias("key_shaped"), di.question_allowed(F.col("text")).alias("allowed"), di.failure_message(status, reason).alias("message"))
+
+
+@query(
+    """SELECT conv_id, turn, reason FROM (SELECT conv_id, turn, ['ok', 'abstain', 'schema_error', 'no_hits'][(conv_id + turn) % 4 + 1] AS reason FROM conversations)
+WHERE reason <> 'schema_error' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8"""
+)
+def remembered_turns(spark, sf):
+    reason = F.get(F.array(*map(F.lit, ("ok", "abstain", "schema_error", "no_hits"))), ((F.col("conv_id") + F.col("turn")) % 4).cast("int"))
+    return di.remembered(table(spark, sf, "conversations").select("conv_id", "turn", reason.alias("reason")))
 
 
 @query(
-    r"""WITH n AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS b FROM conversations),
-x AS (SELECT *, list_transform(regexp_extract_all(text, '\d+(?:[.,]\d+)?'), lambda v: replace(v, ',', '.')) AS c,
-  list_transform(regexp_extract_all(coalesce(b, ''), '\d+(?:[.,]\d+)?'), lambda v: replace(v, ',', '.')) AS p FROM n)
-SELECT conv_id, turn, len(list_filter(p, lambda v: NOT list_contains(c, v))) = 0 AND len(list_filter(c, lambda v: NOT list_contains(p, v) AND NOT list_contains(c, v))) = 0 AS kept FROM x"""
+    r"""WITH n AS (SELECT conv_id, turn, text || ' ' || turn || ',5' AS text, coalesce(lag(text || ' ' || turn || ',5') OVER (PARTITION BY conv_id ORDER BY turn, text), '') AS b FROM conversations),
+m AS (SELECT conv_id, turn, text AS current, CASE WHEN turn % 2 = 0 THEN text || ' ' || b ELSE b END AS produced, CASE WHEN conv_id % 2 = 0 THEN b || ' ' || text ELSE text END AS allowed FROM n),
+x AS (SELECT conv_id, turn, list_transform(regexp_extract_all(current, '\d+(?:[.,]\d+)?'), lambda v: replace(v, ',', '.')) AS c,
+  list_transform(regexp_extract_all(produced, '\d+(?:[.,]\d+)?'), lambda v: replace(v, ',', '.')) AS p,
+  list_transform(regexp_extract_all(allowed, '\d+(?:[.,]\d+)?'), lambda v: replace(v, ',', '.')) AS a FROM m)
+SELECT conv_id, turn, len(list_filter(c, lambda v: NOT list_contains(p, v))) = 0 AND len(list_filter(p, lambda v: NOT list_contains(a, v))) = 0 AS kept FROM x"""
 )
 def numbers_preserved(spark, sf):
+    """A rewrite is the turn with the one before it, or only that; a conversation in two may use the turn's own numbers alone."""
     from pyspark.sql import Window as W
 
-    before = F.coalesce(F.lag("text").over(W.partitionBy("conv_id").orderBy("turn", "text")), F.lit(""))
-    rows = table(spark, sf, "conversations").withColumn("b", before)
-    return rows.select("conv_id", "turn", co.numbers_kept(F.col("b"), F.col("text"), F.concat_ws(" ", "b", "text")).alias("kept"))
+    rows = table(spark, sf, "conversations").withColumn("text", F.concat("text", F.lit(" "), F.col("turn").cast("string"), F.lit(",5")))
+    rows = rows.withColumn("b", F.coalesce(F.lag("text").over(W.partitionBy("conv_id").orderBy("turn", "text")), F.lit("")))
+    produced = F.when(F.col("turn") % 2 == 0, F.concat_ws(" ", "text", "b")).otherwise(F.col("b"))
+    allowed = F.when(F.col("conv_id") % 2 == 0, F.concat_ws(" ", "b", "text")).otherwise(F.col("text"))
+    return rows.select("conv_id", "turn", co.numbers_kept(F.col("text"), produced, allowed).alias("kept"))
+
+
+def _answers(spark, sf):
+    """(answers, sources): payloads made from documents, one kind of failure for each remainder of the id by 10."""
+    k = F.col("doc_id") % 10
+    start = F.substring("text", 1, 60)
+    quote = (
+        F.when(k == 6, F.substring(start, 1, 10)).when(k == 5, "a quote that is in no text at all").when(k == 4, "short").when(k == 7, F.upper(start))
+        .when(k == 8, F.concat(F.substring(start, 1, 5), F.lit(" " * 30))).otherwise(start)
+    )
+    own = F.col("doc_id").cast("string")
+    proof = F.struct(F.when(k == 4, F.lit("none")).otherwise(own).alias("id"), quote.alias("quote"))
+    claim = F.struct(F.when(k == 2, F.lit("see http://x.org")).otherwise(F.lit(" a claim")).alias("text"), F.when(k == 3, F.array()).otherwise(F.array(proof, proof)).alias("evidence"))
+    abstain = F.when(k == 9, F.lit(None)).otherwise(k == 0)
+    claims = F.when(k == 1, F.array()).when(F.col("doc_id") % 20 < 10, F.array(claim, claim)).otherwise(F.array(claim))
+    docs = table(spark, sf, "documents")
+    sources = docs.select(own.alias("id"), "text", F.col("source").alias("title"), (F.col("doc_id") % 50 + 1).alias("page"), F.concat(F.lit("https://x/"), own, F.lit("#old")).alias("url"))
+    return docs.select(F.col("doc_id").alias("answer_id"), F.to_json(F.struct(abstain.alias("abstain"), claims.alias("claims"))).alias("payload")), sources
+
+
+A = r"""WITH p AS (SELECT doc_id, text, source, substring(text, 1, 60) AS q, (doc_id % 10)::INT AS k FROM documents),
+w AS (SELECT *, trim(regexp_replace(q, '\s+', ' ', 'g')) AS nq, trim(regexp_replace(text, '\s+', ' ', 'g')) AS nt, trim(regexp_replace(upper(q), '\s+', ' ', 'g')) AS uq FROM p),
+r AS (SELECT *, CASE
+  WHEN k = 0 THEN 'abstain' WHEN k IN (1, 2, 3, 6, 9) THEN 'schema_error' WHEN k = 4 THEN 'unknown_citation' WHEN k IN (5, 8) THEN 'quote_mismatch'
+  WHEN length(q) NOT BETWEEN 20 AND 400 THEN 'schema_error'
+  WHEN k = 7 AND (length(uq) < 20 OR NOT contains(nt, uq)) THEN 'quote_mismatch' WHEN k <> 7 AND length(nq) < 20 THEN 'quote_mismatch' ELSE 'ok' END AS reason FROM w)"""
 
 
-A = """WITH p AS (SELECT doc_id, text, substring(text, 1, 60) AS q, (doc_id % 7)::INT AS k FROM documents)"""
+@query(A + " SELECT doc_id AS answer_id, reason FROM r")
+def answer_reasons(spark, sf):
+    return co.checked_answers(*_answers(spark, sf))
 
 
 @query(
     A
-    + r""", c AS (SELECT *, CASE k WHEN 6 THEN substring(q, 1, 10) WHEN 5 THEN 'a quote that is in no text at all' ELSE q END AS quote FROM p)
-SELECT doc_id AS answer_id, CASE
-  WHEN k = 0 THEN 'abstained' WHEN k = 1 THEN 'claims' WHEN k = 2 THEN 'claim_text' WHEN k = 3 THEN 'evidence'
-  WHEN length(quote) NOT BETWEEN 20 AND 400 THEN 'quote_length' WHEN k = 4 THEN 'unknown_source' WHEN k = 5 THEN 'quote_absent' END AS failure
-FROM c"""
+    + """ SELECT doc_id AS answer_id, 'Краткий вывод' || chr(10) || 'a claim [1]' ||
+  CASE WHEN doc_id % 20 < 10 THEN chr(10) || chr(10) || 'Подробности' || chr(10) || 'a claim [1]' ELSE '' END || chr(10) || chr(10) || 'Источники' || chr(10) ||
+  '[1] ' || source || ', PDF стр. ' || (doc_id % 50 + 1) || chr(10) || 'https://x/' || doc_id || '#page=' || (doc_id % 50 + 1) AS text, [doc_id::VARCHAR] AS cited FROM r WHERE reason = 'ok' AND source IS NOT NULL"""
 )
-def answer_failures(spark, sf):
-    """Payloads are made from documents: one kind of failure for each remainder of the id by 7."""
-    k = F.col("doc_id") % 7
-    start = F.substring("text", 1, 60)
-    quote = F.when(k == 6, F.substring(start, 1, 10)).when(k == 5, "a quote that is in no text at all").otherwise(start)
-    proof = F.struct(F.when(k == 4, F.lit("none")).otherwise(F.col("doc_id").cast("string")).alias("id"), quote.alias("quote"))
-    claim = F.struct(
-        F.when(k == 2, F.lit("see http://x.org")).otherwise(F.lit("a claim")).alias("text"), F.when(k == 3, F.array()).otherwise(F.array(proof)).alias("evidence")
-    )
-    payload = F.to_json(F.struct((k == 0).alias("abstain"), F.when(k == 1, F.array()).otherwise(F.array(claim)).alias("claims")))
-    docs = table(spark, sf, "documents")
-    sources = docs.select(F.col("doc_id").cast("string").alias("id"), "text")
-    return co.checked_answers(docs.select(F.col("doc_id").alias("answer_id"), payload.alias("payload")), sources)
+def answer_texts(spark, sf):
+    return co.rendered_answers(*_answers(spark, sf)).filter("text IS NOT NULL")
 
 
 @query(
@@ -150,23 +232,37 @@ def first_occurrences(spark, sf):
 
 
 @query(
-    """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT c_custkey AS k FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey > 0))
+    """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT user_id AS k FROM events)
 SELECT 'union' AS op, count(*) AS n FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL SELECT 'intersect', count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)
-UNION ALL SELECT 'except', count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'union_all', (SELECT count(*) FROM a) + (SELECT count(*) FROM b)"""
+UNION ALL SELECT 'except', count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'union_all', (SELECT count(*) FROM a) + (SELECT count(*) FROM b)
+UNION ALL SELECT 'disjoint', (SELECT count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)) = 0"""
 )
 def set_operations(spark, sf):
     a = table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).distinct()
-    b = table(spark, sf, "customer").join(table(spark, sf, "nation").filter("n_regionkey > 0"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
-    b = b.select(F.col("c_custkey").alias("k"))
+    b = table(spark, sf, "events").select(F.col("user_id").alias("k")).distinct()
     made = {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.exceptAll(b), "union_all": a.union(b)}
     parts = [d.agg(F.lit(n).alias("op"), F.count("*").alias("n")) for n, d in made.items()]
+    parts.append(made["intersect"].agg(F.lit("disjoint").alias("op"), (F.count("*") == 0).cast("long").alias("n")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, coalesce(text, '') AS rest FROM documents),
+m AS (
+  SELECT doc_id, r, 0 AS step, NULL::VARCHAR AS head, rest, false AS done FROM d
+  UNION ALL
+  SELECT doc_id, r, step + 1,
+    CASE WHEN length(rest) <= 1800 THEN rest ELSE regexp_replace(substring(rest, 1, cut), '\s+$', '') END,
+    CASE WHEN length(rest) <= 1800 THEN '' ELSE ltrim(substring(rest, cut + 1), chr(10) || ' ') END,
+    length(rest) <= 1800
+  FROM (SELECT *, CASE WHEN nl >= 900 THEN nl WHEN sp > 0 THEN sp ELSE 1800 END AS cut FROM (
+    SELECT *, CASE WHEN contains(f, chr(10)) THEN length(f) - strpos(reverse(f), chr(10)) ELSE -1 END AS nl, CASE WHEN contains(f, ' ') THEN length(f) - strpos(reverse(f), ' ') ELSE -1 END AS sp
+    FROM (SELECT *, substring(rest, 1, 1801) AS f FROM m WHERE NOT done))))
+SELECT doc_id, (row_number() OVER (PARTITION BY r ORDER BY step) - 1)::INT AS part, head AS text FROM m WHERE step > 0 AND (head <> '' OR (done AND step = 1))"""
+)
 def message_parts(spark, sf):
     return co.split_messages(table(spark, sf, "documents"), "doc_id", "text")
 
