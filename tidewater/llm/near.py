@@ -25,8 +25,6 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 MARGIN = 0.2
 #: Members of one center, and of one block of a bucket, that a task compares at a time: by sketches and by texts.
 MEMBERS, SKETCHES, TEXTS = 128, 4096, 512
-#: Pairs of a member and a block that are verified before any texts are compared block by block.
-FIRST = 2
 
 FACTORS = T.stream(REGISTERS, 11) | np.uint64(1)
 
@@ -157,10 +155,11 @@ def _verified(threshold: int) -> Callable:
 def _across(least: float, threshold: int, tell: str) -> Callable:
     """Blocks of a bucket, rows sorted by block: likely pairs of an outsider and a member of another component.
 
-    A pair is compared in its first common band alone. tell: "first", the FIRST likeliest pairs of each outsider; "some", an
-    outsider and a member for every one that has a likely pair; "links", pairs whose full sets meet the threshold,
-    without those that join nothing new within the block, so that a block tells fewer links than it has rows.
+    A pair is compared in its first common band alone. tell: "keys", every row of such a pair, once for each task; "links", pairs
+    whose full sets meet the threshold, without those that join nothing new within the block, so that a block tells fewer
+    links than it has rows.
     """
+    told: set[bytes] = set()
 
     def compare(band: int, rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
         key = [r[0] for r in rows]
@@ -170,7 +169,6 @@ def _across(least: float, threshold: int, tell: str) -> Callable:
         bands = regs.view(np.uint64)
         sets = list(shingle_sets(pa.array([r[5] for r in rows], pa.string()))) if tell == "links" else None
         parent: dict[int, int] = {}
-        told: set[int] = set()
 
         def find(c: int) -> int:
             while c in parent:
@@ -190,12 +188,10 @@ def _across(least: float, threshold: int, tell: str) -> Callable:
                 np.full(len(other), float(n[x])), n[other].astype(float), (regs[x] > regs[other]).sum(1), (regs[x] < regs[other]).sum(1)
             )
             likely = other[np.argsort(-j, kind="stable")][: int((j >= least).sum())].tolist()
-            if tell == "first":
-                yield from ((key[x], key[y]) for y in likely[:FIRST])
-            elif tell == "some":
-                new = [y for y in likely if y not in told]
+            if tell == "keys":
+                new = {key[i] for i in (x, *likely)} - told if likely else set()
                 told.update(new)
-                yield from ((key[x], key[y]) for y in new or likely[:1])
+                yield from ((k, k) for k in new)
             else:
                 for y in likely:
                     a, b = find(comp[x]), find(comp[y])
@@ -260,9 +256,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Equal sets are one class, with 128 bits of the set as its key, compared once. Bands of SetSketch registers put classes into
     buckets; every class is compared with its bucket's smallest key (linear in the bucket), which unites groups of copies.
-    Buckets that then hold several components are compared member by member, in blocks: first by sketches alone, and
-    each outsider's likeliest pairs are verified; then, if sketches still find likely pairs between components, the texts of
-    the documents in such pairs. A pair goes to the exact test of full sets only if the joint likelihood of both
+    Buckets that then hold several components are compared member by member, in blocks: first by sketches alone, which find the
+    documents in likely pairs between components; then the texts of these, again in blocks. A pair goes to the exact test of full sets only if the joint likelihood of both
     sketches allows the threshold.
 
     Null or empty texts have an empty set, are linked with nothing and are kept. Rows that repeat an id are
@@ -299,16 +294,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     apart = written(_open_buckets(members, found, total, "near-first"), "near-apart")
     if not apart.isEmpty():
-        first = _blocks(apart, sketches, SKETCHES).mapInArrow(_across(least, threshold, "first"), "u binary, v binary").distinct()
-        more = _exact(written(first, "near-first"), reps, text, threshold)
-        links = links.unionByName(more)
-        found = found if more.isEmpty() else written(components(links), "near-components")
-        apart = written(_open_buckets(members, found, total, "near-second"), "near-apart")
-        some = _blocks(apart, sketches, SKETCHES).mapInArrow(_across(least, threshold, "some"), "u binary, v binary")
-        some = written(some.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "near-some")
+        some = _blocks(apart, sketches, SKETCHES).mapInArrow(_across(least, threshold, "keys"), "u binary, v binary")
+        some = written(some.select(F.col("u").alias("key")).distinct(), "near-some")
         if not some.isEmpty():
             few = _some_texts(some, reps, text).join(sketches, "key")
-            apart = _sized(written(apart.drop("all", "outs").join(some, "key", "left_semi"), "near-third"), total, "near-third")
+            apart = _sized(written(apart.drop("all", "outs").join(some, "key", "left_semi"), "near-second"), total, "near-second")
             more = _blocks(apart, few, TEXTS).mapInArrow(_across(least, threshold, "links"), "u binary, v binary")
             more = written(more.distinct(), "near-more")
             found = found if more.isEmpty() else written(components(links.unionByName(more)), "near-components")
