@@ -273,6 +273,36 @@ def test_nearest_recall(spark):
     assert hit >= 0.9 * 150 * 20
 
 
+@pytest.mark.parametrize("kind", ["isotropic", "clustered", "spread"])
+def test_recall_of_a_whole_shard(kind):
+    """One graph of the production size against brute force, with queries that are not in it."""
+    r = np.random.default_rng(11)
+    n, d = ann.SHARD_ROWS, 64
+    x = r.normal(size=(n + 200, d))
+    if kind == "clustered":
+        x = 0.3 * x + r.normal(size=(40, d))[r.integers(0, 40, n + 200)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "spread":
+        x *= r.uniform(0.5, 1, (n + 200, 1))
+    x, q = x[:n], x[n:]
+    points = ann.lifted(x)
+    graph, start = ann.build(points)
+    beam = ann.needed_beam(points, graph, start)
+    nodes = ann.beam_search(points, graph, start, q, beam)[0][:, :20]
+    exact = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    hit = sum(len(set(a) & set(b)) for a, b in zip(nodes.tolist(), exact.tolist(), strict=True))
+    print(kind, beam, hit / 4000)
+    assert hit >= 0.9 * 4000
+
+
+def test_nearest_of_repeated_ids(spark):
+    """Rows of one id with other vectors are candidates each; columns may have the operator's own names."""
+    rows = [(1, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (None, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(0) for c in ("v", "dim", "shard", "cid", "block", "ids")})
+    got = [(r["query_id"], r["vec_id"], round(r["score"], 6)) for r in ann.nearest(df, df.filter("vec_id = 3")).orderBy("rank").collect()]
+    assert got == [(3, 1, 0.1), (3, 1, 0.0), (3, 2, 0.0)]
+
+
 @pytest.mark.parametrize("few", [24, 120])
 def test_nearest_recall_beside_long_vectors(spark, few):
     r = np.random.default_rng(17)

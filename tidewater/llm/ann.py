@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import attach, written
 
 DEGREE, BEAM, ALPHA = 32, 96, 1.2
-#: Vectors of a shard, about, and shards at least; a graph and its vectors are held by one task.
-SHARD_ROWS, LEAST_SHARDS = 50_000, 12
+#: Vectors of a shard, about; a graph and its vectors are held by one task.
+SHARD_ROWS = 4096
+#: Each graph's beam is doubled until its search finds this share of the exact nearest of so many of its own rows.
+LEAST_RECALL, PROBES, PROBED = 0.97, 64, 20
 #: Queries that one task searches a shard for.
 QUERY_ROWS = 20_000
 #: Nodes of the beam that are expanded at a time.
@@ -207,33 +209,53 @@ def bands(x: np.ndarray) -> np.ndarray:
     return band
 
 
+def needed_beam(points: Points, graph: np.ndarray, start: int, beam: int = BEAM, seed: int = 5) -> int:
+    """The beam at which searches of this graph find LEAST_RECALL of the exact nearest of a sample of its rows; all rows, where no
+    smaller one does: then searches are exact."""
+    n = len(points.x)
+    probes = np.random.default_rng(seed).permutation(n)[:PROBES]
+    product = points.x[probes] @ points.x.T
+    top = min(PROBED, n)
+    least = -np.partition(-product, top - 1, axis=1)[:, top - 1]
+    while beam < n:
+        nodes, value, _ = beam_search(points, graph, start, points.x[probes], beam)
+        # Ties with the last of the nearest are as near.
+        if ((value[:, :top] >= least[:, None] - 1e-12).sum() >= LEAST_RECALL * top * len(probes)):
+            return beam
+        beam *= 2
+    return n
+
+
 def _graph(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf["band"] = bands(_stacked(pdf["v"]))
-    pdf = pdf.sort_values(["band", "cid"], ignore_index=True)
-    starts, edges = [], []
+    pdf = pdf.sort_values(["band", "cid", "twin"], ignore_index=True)
+    starts, beams, edges = [], [], []
     for _, part in pdf.groupby("band"):
-        graph, start = build(lifted(_stacked(part["v"])))
+        points = lifted(_stacked(part["v"]))
+        graph, start = build(points)
         starts.append(np.arange(len(part)) == start)
+        beams.append(np.full(len(part), needed_beam(points, graph, start)))
         edges += [list(r[r >= 0]) for r in graph]
-    return pdf.assign(start=np.concatenate(starts), near=edges)
+    return pdf.assign(start=np.concatenate(starts), beam=np.concatenate(beams), near=edges)
 
 
-def _search(top: int, beam: int) -> Callable:
+def _search(top: int, least_beam: int) -> Callable:
     def step(queries: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "cid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "cid": pd.Series(dtype="int64"), "twin": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         if not len(queries) or not len(nodes):
             return empty
         wanted, ids = _stacked(queries["v"]), queries["query_id"].to_numpy()
         unit = wanted / np.abs(wanted).max(1, keepdims=True)
-        first = lambda rows: rows.sort_values(["query_id", "score", "cid"], ascending=[True, False, True]).groupby("query_id").head(top)
+        first = lambda rows: rows.sort_values(["query_id", "score", "cid", "twin"], ascending=[True, False, True, True]).groupby("query_id").head(top)
         parts = []
-        for _, part in nodes.sort_values(["band", "cid"], ignore_index=True).groupby("band"):
-            exact, cids = _stacked(part["v"]), part["cid"].to_numpy()
+        for _, part in nodes.sort_values(["band", "cid", "twin"], ignore_index=True).groupby("band"):
+            exact, cids, twins = _stacked(part["v"]), part["cid"].to_numpy(), part["twin"].to_numpy()
             points, start = lifted(exact), int(part["start"].to_numpy().argmax())
+            beam = max(least_beam, int(part["beam"].iloc[0]))
             graph = np.full((len(part), DEGREE), -1, np.int64)
             for i, near in enumerate(part["near"]):
                 graph[i, : len(near)] = near
-            block = max(1, min(512, (1 << 25) // len(part)))
+            block = max(1, min(512, (1 << 24) // max(len(part), 4 * beam)))
             for i in range(0, len(ids), block):
                 q = wanted[i : i + block]
                 if len(part) <= beam:
@@ -243,7 +265,7 @@ def _search(top: int, beam: int) -> Callable:
                     found, value, _ = beam_search(points, graph, start, unit[i : i + block], beam)
                     r, c = np.nonzero((value > -np.inf)[:, : 2 * top])
                 score = (exact[found[r, c]] * q[r]).sum(1)
-                parts.append(first(pd.DataFrame({"query_id": ids[i + r], "cid": cids[found[r, c]], "score": score})))
+                parts.append(first(pd.DataFrame({"query_id": ids[i + r], "cid": cids[found[r, c]], "twin": twins[found[r, c]], "score": score})))
         return first(pd.concat(parts))
 
     return step
@@ -259,23 +281,31 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
 def index(vectors: DataFrame, top: int) -> tuple[DataFrame, DataFrame, int]:
     """(classes, nodes, shards): equal vectors as a class with its smallest ids, top + 1 at most (more can't be
     among the top of any query); and the shards' graphs over all classes, rows with their neighbours, which are
-    places in the order of cid within shard and band."""
+    places in the order of cid and twin within shard and band. A class is named by its smallest id and a hash of its vector, as an id
+    may be repeated with other vectors."""
     w = W.partitionBy("v").orderBy("vec_id")
     few = vectors.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top + 1)
     classes = few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("dim").alias("dim"))
-    classes = written(classes.withColumn("cid", F.element_at("ids", 1)), "ann-classes")
-    shards = max(LEAST_SHARDS, -(-classes.count() // SHARD_ROWS))
-    rows = classes.select("dim", F.pmod(F.xxhash64("cid"), F.lit(shards)).cast("int").alias("shard"), "cid", "v")
-    schema = "dim int, shard int, cid long, v array<double>, band int, start boolean, near array<int>"
+    classes = written(classes.withColumns({"cid": F.element_at("ids", 1), "twin": F.xxhash64("v")}), "ann-classes")
+    shards = max(1, -(-classes.count() // SHARD_ROWS))
+    rows = classes.select("dim", F.pmod(F.xxhash64("cid"), F.lit(shards)).cast("int").alias("shard"), "cid", "twin", "v")
+    schema = "dim int, shard int, cid long, twin long, v array<double>, band int, start boolean, beam int, near array<int>"
+    rows = rows.repartition(_tasks(shards), "dim", "shard")
     return classes, written(rows.groupBy("dim", "shard").applyInPandas(_graph, schema), "ann-graphs"), shards
 
 
+def _tasks(groups: int) -> int:
+    """Partitions for groups that take a task each: few share one, and small ones are not put together."""
+    return min(8192, 2 * groups)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: of each row of queries the `top` rows of vectors with the largest inner
     product found, largest first, ties to the smaller id. The row with the query's own id is no candidate.
 
     Every vector is indexed: equal vectors as one class, classes hashed to shards, a graph for each band of norms of
-    a shard. Every query searches every graph with a beam; scores are exact, in doubles, on the original vectors.
+    a shard. Every query searches every graph with a beam that a sample of the graph's own rows has set (needed_beam); scores are
+    exact, in doubles, on the original vectors.
 
     Vectors (and queries) that are null, zero, or hold a null or non-finite component take no part, nor do
     rows with a null id; vectors meet only those of their own length. Rows that repeat an id with another
@@ -287,12 +317,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, id_col: str =
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.select("dim", every(shards).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "v")
     right = nodes.withColumn("block", every(blocks))
+    tasks = _tasks(shards * blocks)
+    left, right = (d.repartition(tasks, "dim", "shard", "block") for d in (left, right))
     found = left.groupBy("dim", "shard", "block").cogroup(right.groupBy("dim", "shard", "block"))
-    found = found.applyInPandas(_search(top + 1, beam), "query_id long, cid long, score double").dropDuplicates(["query_id", "cid", "score"])
-    by_score = W.partitionBy("query_id").orderBy(F.desc("score"), "cid")
+    found = found.applyInPandas(_search(top + 1, beam), "query_id long, cid long, twin long, score double").dropDuplicates(["query_id", "cid", "twin"])
+    by_score = W.partitionBy("query_id").orderBy(F.desc("score"), "cid", "twin")
     best = written(found.withColumn("r", F.row_number().over(by_score)).filter(F.col("r") <= top + 1).drop("r"), "ann-found")
-    asked_of = written(best.groupBy("cid").agg(F.count("*").alias("n")).join(classes.select("cid", "ids"), "cid"), "ann-members")
-    rows = attach(best, asked_of, "cid", "n", best.count()).select("query_id", F.explode("ids").alias("vec_id"), "score").distinct()
+    asked_of = written(best.groupBy("cid", "twin").agg(F.count("*").alias("n")).join(classes.select("cid", "twin", "ids"), ["cid", "twin"]), "ann-members")
+    rows = attach(best, asked_of, ["cid", "twin"], "n", best.count()).select("query_id", F.explode("ids").alias("vec_id"), "score").distinct()
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = rows.filter("vec_id != query_id").withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= top)
     return ranked.select("query_id", "rank", "vec_id", "score")
