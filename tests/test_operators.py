@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import scores as sc
+from tidewater.operators import arima
 from tidewater.operators import backtest as bt
 from tidewater.operators import conversations as co
 from tidewater.operators import dialogue as di
 from tidewater.operators import grid as gr
+from tidewater.operators import learners as le
 from tidewater.operators import models as mo
 from tidewater.operators import retrieval as re_
 from tidewater.operators import series as se
@@ -78,9 +80,12 @@ def test_isotonic():
     assert (np.diff(mo.isotonic(x)) >= -1e-12).all() and mo.isotonic(x).mean() == pytest.approx(x.mean())
 
 
-def test_bootstrap():
-    assert mo.block_bootstrap(np.full(60, -2.0), 12) == (-2.0, -2.0, -2.0)
-    assert mo.block_bootstrap(np.ones(30), 21) is None
+def test_bootstrap(spark):
+    rows = [("a", 12, i, -2.0) for i in range(60)] + [("b", 21, i, 1.0) for i in range(30)] + [("c", 1, i, float(i % 7)) for i in range(200)]
+    got = {r["series_id"]: r for r in mo.bootstrap_intervals(spark.createDataFrame(rows, "series_id string, horizon int, origin int, difference double")).collect()}
+    assert (got["a"]["mean"], got["a"]["low"], got["a"]["high"]) == (-2, -2, -2)
+    assert got["b"]["low"] is None and got["b"]["n"] == 30
+    assert got["c"]["low"] == pytest.approx(got["c"]["mean"] - 1.96 * 2 / 200**0.5, abs=0.06) and got["c"]["high"] > got["c"]["mean"]
 
 
 def test_ridge_shrinks():
@@ -240,3 +245,59 @@ def test_split_message():
     assert [len(p) for p in co.split_message("Hi\n" + "x" * 2500, 1800)] == [1800, 703]
     assert co.split_message("  a\n" + "b" * 99, 100)[0] == "a\n" + "b" * 98 and co.split_message(" a ", 100) == [" a "]
     assert co.split_message("a" * 60 + "\n" + "b " * 40, 100) == ["a" * 60, "b " * 39 + "b "]
+
+
+def test_arima_recovers_a_process():
+    e = np.random.default_rng(0).normal(size=800)
+    w = np.zeros(800)
+    for t in range(1, 800):
+        w[t] = 0.6 * w[t - 1] + e[t] + 0.4 * e[t - 1]
+    found = arima.fit(w + 5, (1, 0, 1))
+    assert found.ar[0] == pytest.approx(0.6, abs=0.08) and found.ma[0] == pytest.approx(0.4, abs=0.08) and found.mean == pytest.approx(5, abs=0.4)
+    assert found.stable and found.invertible and arima.diagnostics(found)["lb_p"] > 0.01
+    # Forecasts go to the mean by powers of the coefficient; those of a differenced series go on from its end.
+    ahead = found.forecast(40)
+    assert ahead[2] - found.mean == pytest.approx((ahead[1] - found.mean) * found.ar[0]) and ahead[-1] == pytest.approx(found.mean, abs=1e-3)
+    walk = np.cumsum(e) + 50
+    assert arima.fit(walk, (0, 1, 0)).forecast(3) == pytest.approx([walk[-1]] * 3)
+    assert arima.chosen(walk, arima.orders()).order[1] == 1 and arima.fit(walk[:4], (2, 1, 2)) is None
+    assert arima.selected_arma(walk[:60], 5).shape == arima.selected_arima(walk[:60], 5).shape == (5,)
+
+
+def test_unit_root_tests():
+    e = np.random.default_rng(1).normal(size=400)
+    assert arima.dickey_fuller(np.cumsum(e))[1] > 0.05 > arima.dickey_fuller(e)[1]
+    assert arima.kpss(np.cumsum(e))[1] == 0.01 and arima.kpss(e)[1] > 0.05
+    assert [arima.chi_square_tail(x, k) for x, k in ((21.026, 12), (3.841, 1), (11.07, 5))] == pytest.approx([0.05] * 3, abs=1e-4)
+    assert arima.arch_lm(e)[1] > 0.01 > arima.arch_lm(e * np.exp(np.sin(np.arange(400) / 20) * 2))[1]
+
+
+def test_expanding_models_do_not_look_ahead(spark):
+    make = lambda future: arima.expanding(walk(spark, 60, future=future), {"AR1": arima.classic_models()["AR1"]}, [1, 3], 40, 2).filter("origin < '2004-06-01'")
+    a, b = (sorted((r["origin"], r["horizon"], r["y_pred"]) for r in make(f).collect()) for f in (None, 54))
+    assert a == b and len(a) == 14
+
+
+def test_boosting():
+    r = np.random.default_rng(0)
+    x = r.uniform(-1, 1, (600, 3))
+    y = np.where(x[:, 0] > 0.2, 3.0, 0.0) + x[:, 1] + 0.1 * r.normal(size=600)
+    new = r.uniform(-0.9, 0.9, (200, 3))
+    made = le.boosted(x, y)(new)
+    assert np.abs(made - np.where(new[:, 0] > 0.2, 3.0, 0.0) - new[:, 1]).mean() < 0.15
+    noise = r.uniform(0, 1, 600)
+    low, high = (le.boosted(x, noise, tau, rounds=60)(new).mean() for tau in (0.1, 0.9))
+    assert low == pytest.approx(0.1, abs=0.07) and high == pytest.approx(0.9, abs=0.07)
+    assert (le.boosted(np.ones((20, 2)), np.arange(20.0))(np.ones((1, 2))) == 9.5).all()
+
+
+def test_networks():
+    r = np.random.default_rng(0)
+    x = r.normal(size=(400, 4))
+    y = np.stack([x[:, 0] + 0.5 * x[:, 1], np.tanh(x[:, 2])], axis=1)
+    made = le.network(x, y, rounds=800, patience=100)(x[:50])
+    assert np.abs(made - y[:50]).mean() < 0.2
+    levels = [0.1, 0.5, 0.9]
+    q = le.network(x, y + r.normal(size=y.shape), levels, rounds=400)(x)
+    assert q.shape == (400, 2, 3) and (np.diff(q, axis=2) >= 0).all()
+    assert (le.network(x, y, seed=4, rounds=5)(x) == le.network(x, y, seed=4, rounds=5)(x)).all()

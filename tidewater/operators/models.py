@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -97,18 +97,6 @@ def isotonic(values: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), v) for v, n in pools]) if pools else np.zeros(0)
 
 
-def block_bootstrap(differences: np.ndarray, block: int, samples: int = 2000, seed: int = 42) -> tuple[float, float, float] | None:
-    """Mean and 95 % interval of resampled means of circular blocks; None with fewer than four blocks of values."""
-    n = len(differences)
-    if n < 4 * block:
-        return None
-    starts = np.random.default_rng(seed).integers(0, n, size=(samples, int(np.ceil(n / block))))
-    at = ((starts[:, :, None] + np.arange(block)) % n).reshape(samples, -1)[:, :n]
-    means = differences[at].mean(1)
-    low, high = np.quantile(means, [0.025, 0.975])
-    return float(differences.mean()), float(low), float(high)
-
-
 def _series_forecasts(horizon: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("date")["y"].to_numpy()
@@ -143,13 +131,34 @@ def ridge_direct(records: DataFrame, columns: list[str], least_pairs: int = 24)
     return records.groupBy(SERIES, "horizon").applyInPandas(fit, f"{SERIES} string, horizon int, pairs long, forecast double")
 
 
-def bootstrap_intervals(differences: DataFrame, block_of_horizon: bool = True, samples: int = 2000) -> DataFrame:
-    """Per series and horizon, the mean difference with its block bootstrap interval (null if too short)."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("origin")
-        h = int(pdf["horizon"].iloc[0])
-        got = block_bootstrap(pdf["difference"].to_numpy(), h if block_of_horizon else 1, samples) or (None, None, None)
-        return pd.DataFrame([{SERIES: pdf[SERIES].iloc[0], "horizon": h, "n": len(pdf), "mean": got[0], "low": got[1], "high": got[2]}])
-
-    return differences.groupBy(SERIES, "horizon").applyInPandas(fit, f"{SERIES} string, horizon int, n long, mean double, low double, high double")
+#: Resamples' random starts: the first eight hexadecimal digits of MD5 of seed, resample and block, modulo the number of values.
+SEED = "blocks-1"
+
+
+def bootstrap_intervals(differences: DataFrame, block_of_horizon: bool = True, samples: int = 2000, seed: str = SEED) -> DataFrame:
+    """Per series and horizon: n, the mean difference, and the 2.5 and 97.5 % points of the means of resamples made of circular blocks (null with
+    fewer than four blocks of values). Blocks are as long as the horizon, or one value.
+
+    A block's sum is the difference of two prefix sums of the values in order of origin, written twice in a row; a resample is its
+    blocks' sums, the last block cut so that it has n values. DataFrame operations only; resamples are rows.
+    """
+    length = F.col("horizon") if block_of_horizon else F.lit(1)
+    line = F.transform(F.array_sort(F.collect_list(F.struct("origin", "difference"))), lambda x: x["difference"])
+    rows = differences.groupBy(SERIES, "horizon").agg(F.count("*").alias("n"), F.avg("difference").alias("mean"), line.alias("_d"))
+    twice = F.concat("_d", "_d")
+    sums = F.aggregate(twice, F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    rows = rows.withColumns({"_sums": sums, "_l": length, "_k": F.ceil(F.col("n") / length).cast("int")}).drop("_d")
+    whole = rows.filter(F.col("n") >= 4 * F.col("_l"))
+    drawn = whole.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+
+    def block(k: Column) -> Column:
+        digits = F.substring(F.md5(F.concat_ws(" ", F.lit(seed), F.col("_s").cast("string"), k.cast("string"))), 1, 8)
+        start = F.pmod(F.conv(digits, 16, 10).cast("long"), F.col("n")).cast("int")
+        size = F.least(F.col("_l"), F.col("n") - k * F.col("_l")).cast("int")
+        return F.element_at("_sums", start + size + 1) - F.element_at("_sums", start + 1)
+
+    total = F.aggregate(F.sequence(F.lit(0), F.col("_k") - 1), F.lit(0.0), lambda acc, k: acc + block(k))
+    ends = drawn.withColumn("_m", total / F.col("n")).groupBy(SERIES, "horizon").agg(F.percentile("_m", F.array(F.lit(0.025), F.lit(0.975))).alias("_ends"))
+    return rows.select(SERIES, "horizon", "n", "mean").join(ends, [SERIES, "horizon"], "left").select(
+        SERIES, "horizon", "n", "mean", F.get("_ends", 0).alias("low"), F.get("_ends", 1).alias("high")
+    )

@@ -601,7 +601,23 @@ def ridge_direct(spark, sf):
     return told(ridge_direct(se.direct_targets(s, se.internal_features(s), bt.HORIZONS), ["y", "y1", "y12", "ma3", "ma12", "vol12"]))
 
 
-@query()
+@query(
+    shown(
+        E
+        + """, d AS (SELECT a.series_id, a.horizon, a.origin, abs(a.y_true - a.y_pred) - abs(b.y_true - b.y_pred) AS difference
+  FROM e a JOIN e b USING (series_id, horizon, origin) WHERE a.model = 'mean_reversion' AND b.model = 'naive'),
+i AS (SELECT *, row_number() OVER (PARTITION BY series_id, horizon ORDER BY origin) - 1 AS at, count(*) OVER (PARTITION BY series_id, horizon) AS n FROM d),
+b AS (SELECT DISTINCT series_id, horizon, n, s, k, ('0x' || md5('blocks-1 ' || s || ' ' || k)[1:8])::BIGINT % n AS start, least(horizon, n - k * horizon) AS size
+  FROM i, (SELECT unnest(range(2000)) AS s), LATERAL (SELECT unnest(range(ceil(n / horizon)::BIGINT)) AS k) WHERE n >= 4 * horizon),
+p AS (SELECT series_id, horizon, n, s, (start + x) % n AS at FROM (SELECT *, unnest(range(size)) AS x FROM b)),
+mm AS (SELECT p.series_id, p.horizon, s, sum(difference) / first(p.n) AS m FROM p JOIN i ON i.series_id = p.series_id AND i.horizon = p.horizon AND i.at = p.at GROUP BY ALL),
+q AS (SELECT series_id, horizon, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM mm GROUP BY ALL),
+g AS (SELECT series_id, horizon, count(*) AS n, avg(difference) AS mean FROM d GROUP BY ALL)
+--
+SELECT g.series_id, g.horizon, n, mean, low, high FROM g LEFT JOIN q ON q.series_id = g.series_id AND q.horizon = g.horizon""",
+        "mean low high",
+    )
+)
 def bootstrap_intervals(spark, sf):
     from tidewater.operators.models import bootstrap_intervals
 
@@ -707,3 +723,59 @@ def pooled_models(spark, sf):
     s = series(spark, sf)
     records = se.direct_targets(s, se.lagged_features(s), [1, 6])
     return told(evaluate_track(records, ["y", "lag_1", "lag_12", "rolling_mean_3", "rolling_mean_12", "rolling_std_12", "momentum_6"]))
+
+
+@query()
+def stationarity(spark, sf):
+    from tidewater.operators.arima import stationarity
+
+    return told(stationarity(series(spark, sf)))
+
+
+@query()
+def arima_search(spark, sf):
+    from tidewater.operators.arima import search
+
+    return told(search(series(spark, sf)))
+
+
+@query()
+def arima_selected(spark, sf):
+    """The chosen ARMA of differences and ARIMA at every twelfth origin, in the form of the other errors."""
+    from tidewater.operators import arima
+
+    return told(arima.expanding(series(spark, sf), {"selected_arma": arima.selected_arma, "selected_arima": arima.selected_arima}, bt.HORIZONS, 36, 12))
+
+
+@query()
+def classic_backtest(spark, sf):
+    """AR, ARMA and ARIMA of fixed orders, scored like the closed forms, at every sixth origin."""
+    from tidewater.operators import arima
+
+    return told(bt.metrics(arima.expanding(series(spark, sf), arima.classic_models(), bt.HORIZONS, 36, 6)))
+
+
+@query()
+def boosted_direct(spark, sf):
+    from tidewater.operators.learners import boosted_direct
+
+    s = series(spark, sf)
+    return told(boosted_direct(se.direct_targets(s, se.internal_features(s), [1, 6]), ["y", "y1", "y12", "ma3", "ma12", "vol12"], least_pairs=24))
+
+
+@query()
+def boosted_quantiles(spark, sf):
+    from tidewater.operators.learners import LEVELS as levels
+    from tidewater.operators.learners import boosted_direct
+
+    s = series(spark, sf)
+    return told(boosted_direct(se.direct_targets(s, se.internal_features(s), [1, 6]), ["y", "y1", "y12", "ma3", "ma12", "vol12"], levels, least_pairs=24))
+
+
+@query()
+def network_forecasts(spark, sf):
+    from tidewater.operators.learners import network_forecasts
+
+    s = series(spark, sf)
+    w = se.windows(s, 12, 6).join(s.select("series_id", "pos", F.col("y").alias("last")), ["series_id", "pos"])
+    return told(network_forecasts(w, LEVELS))
