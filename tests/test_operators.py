@@ -139,9 +139,29 @@ def test_diversity_equals_a_greedy_walk(spark):
 
 
 def test_requested_sources_come_first(spark):
-    rows = [(1, i, "a", f"p{i}", 10.0 - i) for i in range(3)] + [(1, 9, "b", "p", 0.1)]
-    got = re_.diverse(spark.createDataFrame(rows, "query_id long, id long, source string, page string, score double"), first_sources=["b"])
-    assert got.filter("rank = 1").first()["id"] == 9
+    rows = [(1, i, "b", f"p{i}", 10.0 - i) for i in range(8)] + [(1, 9, "a", "p", 0.1), (1, 10, "c", "p", 99.0)]
+    df = spark.createDataFrame(rows, "query_id long, id long, source string, page string, score double")
+    order = lambda **k: [r["id"] for r in re_.diverse(df, **k).orderBy("rank").collect()]
+    assert order(scope=["b", "a"]) == [9, 0, 1, 2] and order(scope=["b"]) == [0, 1, 2, 3, 4, 5] and order() == [10, 0, 1, 2, 9]
+
+
+def test_query_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0])]
+    got = re_.valid_queries(spark.createDataFrame(rows, "query_id long, v array<double>"), 2).collect()
+    assert {r["query_id"]: r["fault"] for r in got} == {1: None, 2: "size", 3: "size", 4: "no_length", 5: "not_finite"}
+
+
+def test_alternate_questions(spark):
+    docs = spark.createDataFrame([(1, "power demand"), (2, "спрос"), (3, "other")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "спрос", "demand"), (8, "other", None)], "query_id long, text string, alternate string")
+    assert {(r["query_id"], r["id"]) for r in re_.bm25(docs, asked).collect()} == {(7, 1), (7, 2), (8, 3)}
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "id long, v array<double>")
+    q = spark.createDataFrame([(7, [1.0, 0.0]), (7, [0.0, 2.0])], "query_id long, v array<double>")
+    for rows in (re_.dense(v, q), re_.dense_ranked(v, q)):
+        assert {r["id"]: round(r["score"], 3) for r in rows.collect()} == {1: 1.0, 2: 1.0, 3: 0.707}
+    assert re_.dense_ranked(v, q.filter("query_id < 0")).count() == 0
+    with pytest.raises(ValueError):
+        re_.search(docs, asked, mode="semantic")
 
 
 def test_dense_blocks_equal_broadcast(spark):

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# The tokens, the constants of BM25 and of rank fusion, and how long each ranked list is.
 TOKEN = r"[\p{L}\p{N}_]+"
 K1, B = 1.5, 0.75
-RANK_BASE = 60
+RANK_BASE, LISTED = 60, 30
+MODES = ("bm25", "semantic", "hybrid")
 
 
 def tokens(text: Column) -> Column:
@@ -35,19 +41,27 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def corpus_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row: documents, mean length (1 at least), distinct terms."""
-    sizes = docs.select(F.size(F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>"))).alias("n"))
-    return sizes.agg(F.count("*").alias("documents"), F.greatest(F.avg("n"), F.lit(1.0)).alias("avg_length"))
+    rows = docs.select(F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("_t"))
+    sizes = rows.agg(F.count("*").alias("documents"), F.greatest(F.avg(F.size("_t")), F.lit(1.0)).alias("avg_length"))
+    return sizes.crossJoin(rows.select(F.explode("_t").alias("term")).distinct().agg(F.count("*").alias("terms")))
+
+
+def document_frequencies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """term, df: in how many documents each term occurs."""
+    return docs.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", scope: Column | None = None) -> DataFrame:
-    """query_id, id, score of every document that shares a term with a query (query_id, text).
+    """query_id, id, score of every document that shares a term with a query (query_id, text, and alternate, if there is such a
+    column: the same question in other words, whose terms count too).
 
     Postings are cut to query terms before they are counted; statistics are of all documents, also if a scope
     (a condition on docs) says which ones may be found.
     """
-    asked = queries.select(F.col(query_col).alias("query_id"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    stats = corpus_statistics(docs, id_col, text_col)
+    text = F.concat_ws(" ", "text", "alternate") if "alternate" in queries.columns else F.col("text")
+    asked = queries.select(F.col(query_col).alias("query_id"), F.explode(F.array_distinct(tokens(text))).alias("term"))
     rows = docs.select(F.col(id_col).alias("id"), (scope if scope is not None else F.lit(True)).alias("_in"), tokens(F.col(text_col)).alias("_t"))
+    stats = rows.agg(F.count("*").alias("documents"), F.greatest(F.avg(F.coalesce(F.when(F.col("_t").isNotNull(), F.size("_t")), F.lit(0))), F.lit(1.0)).alias("avg_length"))
     terms = rows.select("id", "_in", F.size("_t").alias("len"), F.explode("_t").alias("term"))
     terms = terms.join(asked.select("term").distinct(), "term", "left_semi")
     post = terms.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"), F.first("_in").alias("_in"))
@@ -58,21 +72,82 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     return hits.join(asked, "term").groupBy("query_id", "id").agg(F.sum("_w").alias("score"))
 
 
+def valid_queries(queries: DataFrame, dim: int) -> DataFrame:
+    """queries (query_id, v, ...) with fault: size, not_finite or no_length for vectors that cannot be asked, else null."""
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fault = F.when(F.coalesce(F.size("v") != dim, F.lit(True)), "size").when(~finite, "not_finite").when(length < 1e-12, "no_length")
+    return queries.withColumn("fault", fault)
+
+
 def dense(vectors: DataFrame, queries: DataFrame, most: int = 10_000, block_rows: int = 100_000) -> DataFrame:
-    """query_id, id, score: the dot product of unit vectors of every (id, v) with every query (query_id, v).
+    """query_id, id, score: the dot product of unit vectors of every (id, v) with every query (query_id, v); of a query with several
+    vectors (the question and its alternate) the largest.
 
     Up to `most` queries are broadcast; more are dealt to blocks of the vectors by an equi-join.
     """
     unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
-    left, right = vectors.select("id", unit(F.col("v")).alias("_v")), queries.select("query_id", unit(F.col("v")).alias("_q"))
+    left = vectors.select("id", unit(F.col("v")).alias("_v"))
+    right = queries.groupBy("query_id").agg(F.collect_list(unit(F.col("v"))).alias("_q"))
     if queries.limit(most + 1).count() <= most:
         both = left.crossJoin(F.broadcast(right))
     else:
         blocks = max(1, vectors.count() // block_rows)
         left = left.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
         both = left.join(right.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))), "_b")
-    dot = F.aggregate(F.zip_with("_v", "_q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return both.select("query_id", "id", dot.alias("score"))
+    dot = lambda q: F.aggregate(F.zip_with("_v", q, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return both.select("query_id", "id", F.array_max(F.transform("_q", dot)).alias("score"))
+
+
+def dense_ranked(vectors: DataFrame, queries: DataFrame, top: int = LISTED, digits: int = 6, most: int = 10_000) -> DataFrame:
+    """ranked(dense(...)) with scores rounded to some digits, for up to `most` query vectors: blocks of vectors meet all queries as one matrix product,
+    and a task keeps the `top` of each query, so that what is shuffled grows with tasks and queries and not with their product by vectors."""
+    asked = queries.select("query_id", F.col("v").cast("array<double>").alias("v")).orderBy("query_id").limit(most + 1).toPandas()
+    if len(asked) > most:
+        return ranked(dense(vectors, queries, most).withColumn("score", F.round("score", digits)), top)
+    if not len(asked):
+        return ranked(vectors.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0), top)
+    q = np.array(asked["v"].to_list(), float)
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    ids, first = np.unique(asked["query_id"].to_numpy(), return_index=True)
+    shared = vectors.sparkSession.sparkContext.broadcast((q, first, ids))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, starts, names = shared.value
+        value, known = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                x = np.array(part.column("v").to_pylist(), float)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                score = np.round(np.maximum.reduceat(unit @ x.T, starts, axis=0), digits)
+                value = np.concatenate([value, score], axis=1)
+                known = np.concatenate([known, np.broadcast_to(part.column("id").to_numpy(), score.shape)], axis=1)
+                keep = np.lexsort((known, -value), axis=1)[:, :top]
+                value, known = np.take_along_axis(value, keep, 1), np.take_along_axis(known, keep, 1)
+        n = value.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(known.ravel()), pa.array(value.ravel())], ["query_id", "id", "score"])
+
+    rows = vectors.select(F.col("id").cast("long"), F.col("v").cast("array<double>").alias("v"))
+    return ranked(rows.mapInArrow(step, "query_id long, id long, score double"), top)
+
+
+def search(docs: DataFrame, questions: DataFrame, vectors: DataFrame | None = None, asked: DataFrame | None = None, mode: str = "hybrid", lexical_weight: float = 1.0, scope: Column | None = None) -> DataFrame:
+    """query_id, id, score by rank fusion: of documents (doc_id, text) for questions (query_id, text) in mode bm25, of vectors (id, v) for their
+    vectors asked (query_id, v) in mode semantic, of both in mode hybrid. Lexical ranks need a score above 0 and weigh
+    lexical_weight beside vectors; semantic ranks have no least score."""
+    if mode not in MODES or not 0 <= lexical_weight <= 1:
+        raise ValueError(f"mode is one of {', '.join(MODES)}, and lexical_weight from 0 to 1")
+    if mode != "bm25" and (vectors is None or asked is None):
+        raise ValueError(f"mode {mode} needs vectors")
+    lists = []
+    if mode != "semantic":
+        found = bm25(docs, questions, scope=scope).withColumn("score", F.round("score", 6))
+        lists.append((ranked(found, LISTED, 0.0), lexical_weight if mode == "hybrid" else 1.0))
+    if mode != "bm25":
+        allowed = vectors if scope is None else vectors.join(docs.filter(scope).select(F.col("doc_id").alias("id")), "id", "left_semi")
+        lists.append((dense_ranked(allowed, asked), 1.0))
+    return fused(lists)
 
 
 def ranked(scores: DataFrame, top: int, least: float | None = None) -> DataFrame:
@@ -91,13 +166,21 @@ def fused(lists: list[tuple[DataFrame, float]]) -> DataFrame:
     return every.groupBy("query_id", "id").agg(F.sum("_s").alias("score"))
 
 
-def diverse(hits: DataFrame, top: int = 6, page_cap: int = 2, source_cap: int | None = None, first_sources: list[str] | None = None) -> DataFrame:
+def diverse(hits: DataFrame, top: int = 6, page_cap: int = 2, source_cap: int | None = None, scope: list[str] | None = None) -> DataFrame:
     """The first `top` hits (query_id, id, source, page, score) with caps for pages and sources: pages lie within
-    sources, so three ranks in a row give what a greedy walk gives. Each of first_sources has its best hit in front."""
-    source_cap = source_cap or max(2, (top + 1) // 2)
-    best = F.row_number().over(W.partitionBy("query_id", "source").orderBy(F.desc("score"), "id"))
-    wanted = F.col("source").isin(first_sources or []) & (best == 1)
-    rows = hits.withColumn("_late", (~wanted).cast("int"))
+    sources, so three ranks in a row give what a greedy walk gives.
+
+    With a scope only hits of its sources are taken. One source alone may fill all places; of several each has its best hit
+    in front, in order of the sources' names.
+    """
+    wanted = sorted(set(scope or []))
+    source_cap = source_cap or (top if len(wanted) == 1 else max(2, (top + 1) // 2))
+    rows = hits.filter(F.col("source").isin(wanted)) if wanted else hits
+    late = F.lit(len(wanted))
+    if len(wanted) > 1:
+        best = F.row_number().over(W.partitionBy("query_id", "source").orderBy(F.desc("score"), "id")) == 1
+        late = F.when(best, F.array_position(F.array(*map(F.lit, wanted)), F.col("source")) - 1).otherwise(len(wanted))
+    rows = rows.withColumn("_late", late)
     order = ["_late", F.desc("score"), "id"]
     rows = rows.withColumn("_p", F.row_number().over(W.partitionBy("query_id", "source", "page").orderBy(*order))).filter(F.col("_p") <= page_cap)
     rows = rows.withColumn("_s", F.row_number().over(W.partitionBy("query_id", "source").orderBy(*order))).filter(F.col("_s") <= source_cap)

@@ -20,7 +20,7 @@ def lexical(spark, sf):
 def semantic(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("id")).join(v, "id").select(F.col("id").alias("query_id"), "v")
-    return re_.ranked(re_.dense(v, q).withColumn("score", F.round("score", 6)), 30)
+    return re_.dense_ranked(v, q)
 
 
 def hybrid(spark, sf):
@@ -65,7 +65,7 @@ def word_chunks(spark, sf):
     return re_.chunks(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query(shown(L + "\n--\nSELECT n AS documents, al AS avg_length FROM st", "avg_length"))
+@query(shown(L + "\n--\nSELECT n AS documents, al AS avg_length, (SELECT count(DISTINCT term) FROM p) AS terms FROM st", "avg_length"))
 def corpus_statistics(spark, sf):
     return told(re_.corpus_statistics(table(spark, sf, "documents"), "doc_id", "text"))
 
@@ -155,3 +155,45 @@ SELECT p.page_id, length(p.text) < 80 AS is_weak, chunk, n_words, k.text FROM p
 )
 def page_parts(spark, sf):
     return re_.page_parts(table(spark, sf, "pages"), "page_id", F.regexp_replace("html", "<[^>]*>", " "), size=40, overlap=10)
+
+
+@query(L + " SELECT term, df FROM f")
+def document_frequencies(spark, sf):
+    return re_.document_frequencies(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@query(
+    D
+    + """, hs AS (SELECT * FROM h WHERE source IN ('src3', 'src11')),
+b0 AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) > 1 THEN 2 WHEN source = 'src11' THEN 0 ELSE 1 END AS late FROM hs),
+b1 AS (SELECT * FROM b0 QUALIFY row_number() OVER (PARTITION BY query_id, source, page ORDER BY late, score DESC, id) <= 2),
+b2 AS (SELECT * FROM b1 QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY late, score DESC, id) <= 3)
+SELECT query_id, id, source, page, score, row_number() OVER (PARTITION BY query_id ORDER BY late, score DESC, id)::INT AS rank FROM b2 QUALIFY rank <= 6"""
+)
+def scoped_hits(spark, sf):
+    """Hits of two sources that a question names: the best of each first."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", F.col("lang").alias("page"))
+    return re_.diverse(hybrid(spark, sf).join(d, "id"), scope=["src3", "src11"])
+
+
+@query(
+    D
+    + """, m AS (SELECT 'bm25' AS mode, query_id, id, round(1.0::DOUBLE / (60 + rank), 9) AS score FROM lx UNION ALL SELECT 'semantic', query_id, id, round(1.0::DOUBLE / (60 + rank), 9) FROM sm UNION ALL SELECT 'hybrid', query_id, id, score FROM hy),
+mr AS (SELECT *, row_number() OVER (PARTITION BY mode, query_id ORDER BY score DESC, id) AS r FROM m QUALIFY r <= 6),
+mg AS (SELECT mode, query_id, min(r) AS first FROM mr JOIN documents d ON d.doc_id = mr.id WHERE d.source = 'src' || (query_id % 20)::VARCHAR GROUP BY ALL)
+SELECT b.mode AS mode, count(*) AS questions, count(first) AS found, round(avg(coalesce(1 / first, 0)), 6) AS mrr
+FROM (SELECT mode, item_id FROM (SELECT unnest(['bm25', 'semantic', 'hybrid']) AS mode), benchmark) b LEFT JOIN mg ON mg.mode = b.mode AND mg.query_id = b.item_id GROUP BY 1"""
+)
+def retrieval_ablation(spark, sf):
+    """The same questions in every mode, scored by the source of the first hit."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("id")).join(v, "id").select(F.col("id").alias("query_id"), "v")
+    docs = table(spark, sf, "documents")
+    gold = questions(spark, sf).select("query_id", F.lit(0).alias("grp"), F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("source"), F.array(F.lit("any")).alias("pages"))
+    out = None
+    for mode in re_.MODES:
+        found = re_.search(docs, questions(spark, sf), v, asked, mode).withColumn("score", F.round("score", 9))
+        hits = re_.ranked(found, 6).join(docs.select(F.col("doc_id").alias("id"), "source"), "id").withColumn("page", F.lit("any"))
+        part = re_.evaluated(hits, gold).filter("grp IS NULL").select(F.lit(mode).alias("mode"), "questions", "found", F.round("mrr", 6).alias("mrr"))
+        out = part if out is None else out.unionByName(part)
+    return out
