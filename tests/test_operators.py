@@ -321,3 +321,53 @@ def test_networks():
     q = le.network(x, y + r.normal(size=y.shape), levels, rounds=400)(x)
     assert q.shape == (400, 2, 3) and (np.diff(q, axis=2) >= 0).all()
     assert (le.network(x, y, seed=4, rounds=5)(x) == le.network(x, y, seed=4, rounds=5)(x)).all()
+
+
+def test_source_grid(spark):
+    systems = spark.createDataFrame([(1, "a"), (2, "b")], "id long, system string")
+    stamp = "2026-09-01T00:00:00+03:00"
+    volumes = spark.createDataFrame([(1, stamp, 0, 10.0, 1.0), (1, stamp, 1, 10.0, 1.0), (2, stamp, 0, 5.0, None)], "id long, stamp string, hour int, generation double, consumption double")
+    prices = spark.createDataFrame([("2026-09-01", 1, 0, 7.0), ("2026-09-01", 2, 0, None), ("2026-09-01", 2, 5, 3.0)], "date string, id long, hour int, price double")
+    make = lambda v=volumes, p=prices: gr.source_grid(v, p, systems, "2026-09-01", "2026-09-30")
+    got = {(r["system"], r["hour"]): (r["price"], r["price_reason"]) for r in make().collect()}
+    assert got == {("a", 0): (7.0, None), ("a", 1): (None, "no price row"), ("b", 0): (None, "price is null")}
+    bad = [volumes.replace(stamp, "2026-09-01T00:00:00+00:00"), volumes.replace(stamp, "2026-10-01T00:00:00+03:00"), volumes.withColumn("hour", F.lit(24)), volumes.unionByName(volumes), volumes.withColumn("id", F.lit(9))]
+    for v in bad:
+        with pytest.raises(ValueError):
+            make(v)
+
+
+def test_complete_reports(spark):
+    grid = gr.expected("2026-09-01", "2026-09-01", spark.createDataFrame([("a",)], "system string"))
+    rows = grid.select("*", F.lit("actual").alias("status"), F.lit(1.0).alias("generation"), F.lit(1.0).alias("consumption"), F.lit(2.0).alias("price"))
+    assert gr.require_complete(gr.quality(rows, grid)).first()["complete"]
+    some = rows.filter("hour > 0").withColumn("price", F.when(F.col("hour") > 1, F.col("price")))
+    assert sorted(r["kind"] for r in gr.lacking_keys(some, grid).collect()) == ["missing", "null_price"]
+    with pytest.raises(ValueError, match="1 missing, 1 unpublished_prices"):
+        gr.require_complete(gr.quality(some, grid))
+    assert gr.require_complete(gr.quality(some, grid), allow_partial=True).first()["missing"] == 1
+    with pytest.raises(ValueError):
+        gr.expected("2026-09-02", "2026-09-01", spark.createDataFrame([("a",)], "system string"))
+
+
+def test_strict_mean_refuses_bad_numbers(spark):
+    for row in ((1.0, -1.0), (float("nan"), 1.0), (1.0, float("inf"))):
+        with pytest.raises(Exception, match="weight is below 0"):
+            spark.createDataFrame([row, (2.0, 3.0)], "p double, w double").agg(sc.strict_mean(F.col("p"), F.col("w"))).collect()
+
+
+def test_months(spark):
+    day = lambda t: F.lit(t).cast("date")
+    assert [str(x) for x in one(spark, se.previous_month(day("2026-01-15")))] == ["2025-12-01", "2025-12-31"]
+    assert str(one(spark, se.named_month(F.lit("2024-02")))["end"]) == "2024-02-29"
+    assert [one(spark, se.named_month(F.lit(t))) for t in ("2026-13", "2026-9", "2026-09-01")] == [None] * 3
+    assert one(spark, se.month_difference(day("2026-01-31"), day("2024-11-01"))) == 14 and one(spark, se.days_in_month(day("2023-02-10"))) == 28
+    got = [str(one(spark, se.parsed_date(F.lit(t)))) for t in ("03/04/2020", "13.01.2020", "01.2020", "2020.05", "2020-01-02 03:04:05", "12/31/2020", "x")]
+    assert got == ["2020-04-03", "2020-01-13", "2020-01-01", "2020-05-01", "2020-01-02", "2020-12-31", "None"]
+
+
+def test_extended_summary_needs_the_naive_model(spark):
+    rows = spark.createDataFrame([("s", "test", "m", 1, "2020-01-01", 1.0, 2.0)], "series_id string, period string, model string, horizon int, origin string, y_true double, y_pred double")
+    with pytest.raises(Exception, match="no naive model"):
+        bt.extended_summary(rows).collect()
+    assert [bt.level_name(t) for t in (0.05, 0.29, 0.95)] == ["q05", "q29", "q95"]

@@ -4,7 +4,8 @@ import urllib.error
 
 import pytest
 
-from tidewater.sources import files, sinks
+from tidewater.sources import evaluation as ev
+from tidewater.sources import files, macro, sinks
 from tidewater.sources.web import JsonSource
 
 
@@ -87,6 +88,109 @@ def test_markdown(spark):
     assert sinks.markdown(spark.createDataFrame([(1, 2.0, "a|b")], "n int, x double, t string")).splitlines()[2] == "| 1 | 2.000 | a\\|b |"
 
 
+def test_markdown_is_whole(spark):
+    with pytest.raises(ValueError):
+        sinks.markdown(spark.range(11), most=10)
+
+
+def test_index_is_checked(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string")
+    for v in ([("a", [3.0, 4.0]), ("b", [1.0])], [("a", [3.0, 4.0]), ("b", [0.0, 0.0])], [("a", [3.0, 4.0]), ("b", [float("nan"), 1.0])]):
+        with pytest.raises(ValueError):
+            sinks.save_index(chunks, spark.createDataFrame(v, "id string, v array<float>"), f"file:{tmp_path}/bad", "m")
+    good = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [0.0, 1.0])], "id string, v array<float>")
+    made = sinks.save_index(chunks, good, f"file:{tmp_path}", "m")
+    assert made["dim"] == 2 and sinks.load_index(spark, f"file:{tmp_path}").count() == 2
+    spark.createDataFrame([("a", "x", [0.6, 0.8]), ("c", "y", [0.0, 1.0])], "id string, text string, v array<float>").write.mode("overwrite").parquet(f"{tmp_path}/{made['generation']}")
+    with pytest.raises(ValueError, match="whole"):
+        sinks.load_index(spark, f"file:{tmp_path}")
+
+
+def test_macro_columns():
+    f = macro.Feature("rate", "x", "mean", ("curs", "rate"))
+    assert macro.date_column(["a", "Period", "date"], {"a"}) == "date" and macro.date_column(["n", "my_period", "x"], {"n"}) == "my_period"
+    assert macro.date_column(["n", "x"], {"n"}) == "x" and macro.date_column(["n"], {"n"}) == "n"
+    # A part of one letter is banned too, so that nearly every name loses; the order among them stays.
+    assert macro.value_column(["date", "nominal", "curs"], {"nominal", "curs"}, "date", f) == "curs"
+    assert macro.value_column(["date", "a", "b"], {"a", "b"}, "date", f) == "a" and macro.value_column(["date", "a"], set(), "date", f) is None
+
+
+def test_monthly_frame(spark, tmp_path):
+    (tmp_path / "fx.csv").write_text("Date,nominal,curs\n2020-01-01,1,10\n2020-01-15,1,20\n01.02.2020,1,40\nbad,1,3\n2020-02-03,1,\n")
+    (tmp_path / "cpi.csv").write_text("period,cpi\n01.2020,1.5\n2020-03,2.5\n")
+    features = [macro.Feature("fx", str(tmp_path / "fx.csv"), "mean", ("curs",)), macro.Feature("cpi", str(tmp_path / "cpi.csv")), macro.Feature("none", str(tmp_path / "none.csv"))]
+    got = {str(r["month"]): (r["fx"], r["cpi"]) for r in macro.monthly_frame(spark, features).collect()}
+    assert got == {"2020-01-01": (15.0, 1.5), "2020-02-01": (40.0, None), "2020-03-01": (None, 2.5)}
+    vol = macro.monthly_frame(spark, [macro.Feature("fx", str(tmp_path / "fx.csv"), "volatility", ("curs",))]).collect()
+    assert vol == []  # one return a month has no deviation
+    with pytest.raises(ValueError):
+        macro.monthly_frame(spark, features[2:])
+
+
+def test_macro_file(spark, tmp_path):
+    p = tmp_path / "m.csv"
+    p.write_text("date,y,z\n2020-02-01,2,\n2020-01-01,1,5\n")
+    assert [(r["y"], r["z"]) for r in macro.read_macro(spark, str(p), "y").collect()] == [(1.0, 5.0), (2.0, None)]
+    for text in ("date,z\n2020-01-01,1\n", "date,y\n2020-01-01,1\n2020-01-01,2\n", "date,y\nx,1\n", "date,y\n"):
+        p.write_text(text)
+        with pytest.raises(ValueError):
+            macro.read_macro(spark, str(p), "y")
+
+
+def test_questions(spark, tmp_path):
+    import hashlib
+
+    gold = [{"source_id": "a", "pages": [1, 2]}]
+    rows = [{"id": str(i), "question": "q", "split": s, "group_id": g, "status": st, "kind": k, "retrieval_gold": gold if i else []} for i, (s, g, st, k) in enumerate(
+        [("dev", "g", "gold_verified", "fact"), ("dev", "g", "gold_verified", "fact"), ("dev", "g", "draft", "fact"), ("dev", "g", "gold_verified", "injection"), ("test", "h", "gold_verified", "fact")])]
+    p, m = tmp_path / "q.json", tmp_path / "m.json"
+    p.write_text(json.dumps(rows))
+    m.write_text(json.dumps({"questions_sha256": hashlib.sha256(p.read_bytes()).hexdigest(), "groups": {"g": "dev", "h": "test"}}))
+    dev = ev.read_questions(spark, str(p), "dev", str(m))
+    assert [r["id"] for r in ev.eligible(dev).filter("may_score").collect()] == ["1"] and dev.count() == 4
+    assert [r["id"] for r in ev.picked(dev, ["2", "1", "3"], 2).collect()] == ["1", "2"]
+    with pytest.raises(ValueError):
+        ev.picked(dev, ["9"])
+    p.write_text(json.dumps(rows[:-1]))
+    with pytest.raises(ValueError, match="split"):
+        ev.read_questions(spark, str(p), "dev", str(m))
+
+
+def test_altered_contexts(spark):
+    hits = spark.createDataFrame([(1, "a", "s", "grew 5 percent"), (2, "b", "s", "fell")], "rank int, id string, source_id string, text string")
+    chunks = spark.createDataFrame([("x", "s", "y" * 200), ("z", "t", "y" * 101), ("w", "t", "short")], "id string, source_id string, text string")
+    text = lambda df: [r["text"] for r in df.orderBy("rank").collect()]
+    assert text(ev.altered(hits, "injection", instruction="obey X")) == ["obey X\ngrew 5 percent", "fell"]
+    assert text(ev.altered(hits, "counterfactual", old="5", new="7")) == ["grew 7 percent", "fell"]
+    assert [r["id"] for r in ev.altered(hits, "wrong_fragment", chunks, ["s"]).collect()] == ["z"]
+    for bad in (lambda: ev.altered(hits, "counterfactual", old="9", new="7"), lambda: ev.altered(hits, "wrong_fragment", chunks, ["s", "t"])):
+        with pytest.raises(ValueError):
+            bad()
+    assert len(ev.configurations(mode=["a", "b"], scope=[True, False], k=[1])) == 4
+    call = ev.CallBudget(lambda x: x, 1)
+    assert call(3) == 3
+    with pytest.raises(RuntimeError):
+        call(3)
+
+
+def test_ratings(spark, tmp_path):
+    p = tmp_path / "r.csv"
+    p.write_text("id,reviewed,answered,number_correct,facts_expected,facts_correct\n1,1,1,1,3,2\n2,1,0,,,\n3,0,x,x,1,9\n")
+    got = ev.strict_counts(ev.read_ratings(spark, str(p)), ["answered", "number_correct"], ("answered",), (("facts_expected", "facts_correct"),)).first()
+    assert tuple(got) == (2, 2, 1, 1, 1, 3, 2)
+    with pytest.raises(ValueError):
+        ev.strict_counts(ev.read_ratings(spark, str(p)), [], ("number_correct",))
+    p.write_text("reviewed,facts_expected,facts_correct\n1,1,2\n")
+    with pytest.raises(ValueError):
+        ev.strict_counts(ev.read_ratings(spark, str(p)), [], (), (("facts_expected", "facts_correct"),))
+    lines = tmp_path / "l.jsonl"
+    ev.write_lines([{"a": 1}], str(lines))
+    with pytest.raises(FileExistsError):
+        ev.write_lines([], str(lines))
+    lines.write_text('{"a": 1}\n\n{"a": 2}\n')
+    assert sorted(r["a"] for r in ev.read_lines(spark, str(lines), "a int").collect()) == [1, 2]
+
+
 class Opener:
     def __init__(self, answers):
         self.answers = list(answers)
@@ -110,3 +214,16 @@ def test_web(tmp_path):
         s.get("/x", {})
     with pytest.raises(urllib.error.HTTPError):
         JsonSource("https://host", {"/r"}, opener=Opener([urllib.error.HTTPError("u", 404, "", {}, None)])).get("/r", {})
+    with pytest.raises(FileExistsError):
+        s.cached(str(tmp_path), "n", "/r", {"a": "1"}, refresh=True)
+
+
+def test_web_month(tmp_path):
+    from datetime import date
+
+    s = JsonSource("https://host", {"/v", "/p"}, opener=Opener([b"[0]", b"[1]", b"[2]"]))
+    got = s.month(str(tmp_path), "/v", "/p", date(2026, 9, 1), date(2026, 9, 2), [1, 2])
+    assert got == {"volumes": b"[0]", "prices_2026-09-01": b"[1]", "prices_2026-09-02": b"[2]"}
+    assert s.month(str(tmp_path), "/v", "/p", date(2026, 9, 1), date(2026, 9, 2), [1, 2]) == got
+    with pytest.raises(ValueError):
+        s.month(str(tmp_path), "/v", "/p", date(2026, 9, 2), date(2026, 9, 1), [1])

@@ -14,9 +14,13 @@ def strict_sum(value: Column) -> Column:
 
 
 def strict_mean(value: Column, weight: Column) -> Column:
-    """Weighted mean that is null if any value or weight is null, or if the weights sum to 0."""
+    """Weighted mean that is null if any value or weight is null, or if the weights sum to 0. Otherwise a value or weight that is not
+    finite, or a weight below 0, is an error."""
     whole = F.count(F.when(value.isNotNull() & weight.isNotNull(), 1)) == F.count(F.lit(1))
-    return F.when(whole, F.try_divide(F.sum(value * weight), F.nullif(F.sum(weight), F.lit(0.0))))
+    odd = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
+    bad = F.count_if(odd(value) | odd(weight) | (weight < 0)) > 0
+    mean = F.try_divide(F.sum(value * weight), F.nullif(F.sum(weight), F.lit(0.0)))
+    return F.when(whole, F.when(bad, F.raise_error(F.lit("a weight is below 0, or a number is not finite")).cast("double")).otherwise(mean))
 
 
 def known_mean(value: Column, weight: Column) -> Column:

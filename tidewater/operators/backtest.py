@@ -244,3 +244,50 @@ def origin_evidence(sets: DataFrame) -> DataFrame:
     )
     own = sets.groupBy(SERIES, "horizon", "name").agg(F.countDistinct("origin").alias("origins"))
     return own.join(common, [SERIES, "horizon"])
+
+
+#: Levels of the fine grid of quantiles.
+LEVELS_19 = [round(0.05 * i, 2) for i in range(1, 20)]
+
+
+def level_name(level: float) -> str:
+    """The column name of a quantile, q05 for 0.05."""
+    return f"q{round(level * 100):02d}"
+
+
+def extended_summary(errors: DataFrame, by: tuple[str, ...] = ("period",)) -> DataFrame:
+    """By series, the columns of `by` (a period, a seed), model and horizon: n, MAE, RMSE, MASE by the mean step of the actual values in order of origin (1
+    with a single one), sMAPE on 0..200, and MAE over that of the naive model, which must be there for every group: an error
+    says where it is not."""
+    keys = [SERIES, *by, "model", "horizon"]
+    step = F.abs(F.col("y_true") - F.lag("y_true").over(W.partitionBy(*keys).orderBy("origin")))
+    e, size = F.col("y_pred") - F.col("y_true"), F.abs("y_true") + F.abs("y_pred") + 1e-12
+    mae = F.avg(F.abs(e))
+    scale = F.when(F.count("*") > 1, F.greatest(F.avg("_step"), F.lit(1e-12))).otherwise(1.0)
+    out = errors.withColumn("_step", step).groupBy(*keys).agg(
+        F.count("*").alias("n"), mae.alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (mae / scale).alias("mase"), F.avg(200 * F.abs(e) / size).alias("smape")
+    )
+    base = F.max(F.when(F.col("model") == "naive", F.col("mae"))).over(W.partitionBy(SERIES, *by, "horizon"))
+    strict = F.when(base.isNull(), F.raise_error(F.concat(F.lit("no naive model at horizon "), F.col("horizon").cast("string"))).cast("double"))
+    return out.withColumn("rel_mae", strict.otherwise(F.col("mae") / base))
+
+
+def quantile_grid_metrics(rows: DataFrame, by: list[str], levels: list[float] = LEVELS_19) -> DataFrame:
+    """Of rows (y_true, q array by level) by the given columns: mean pinball loss over the levels, twice its integral over them (an approximation of CRPS
+    that says nothing of the tails), and coverage, width and interval score between the first and the last level."""
+    tau = F.array(*map(F.lit, levels))
+    loss = F.zip_with("q", tau, lambda x, t: pinball(F.col("y_true"), x, t))
+    rows = rows.withColumn("_loss", loss)
+    n = len(levels)
+    steps = F.zip_with(F.slice("_loss", 1, n - 1), F.slice("_loss", 2, n - 1), lambda a, b: (a + b) / 2)
+    widths = F.array(*[F.lit(b - a) for a, b in zip(levels, levels[1:], strict=False)])
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    y, low, high = F.col("y_true"), F.element_at("q", 1), F.element_at("q", n)
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        F.avg(total("_loss") / n).alias("pinball"),
+        F.avg(2 * total(F.zip_with(steps, widths, lambda s, w: s * w))).alias("crps_central"),
+        F.avg(((y >= low) & (y <= high)).cast("double")).alias("coverage90"),
+        F.avg(high - low).alias("width90"),
+        F.avg(interval_score(y, low, high, 1 - (levels[-1] - levels[0]))).alias("interval_score90"),
+    )

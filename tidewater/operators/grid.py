@@ -11,7 +11,10 @@ KEYS = ["date", "hour", "system"]
 
 
 def expected(start, end, systems: DataFrame) -> DataFrame:
-    """Every day from start to end, every hour from 0 to 23, every system; days and systems are few."""
+    """Every day from start to end, every hour from 0 to 23, every system; days and systems are few. ValueError if the end is before the
+    start (ISO dates)."""
+    if str(end) < str(start):
+        raise ValueError("the period ends before it starts")
     days = systems.sparkSession.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("date"))
     hours = days.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
     return hours.crossJoin(F.broadcast(systems.select("system").distinct()))
@@ -89,3 +92,48 @@ def quality(rows: DataFrame, grid: DataFrame) -> DataFrame:
     )
     wanted = grid.agg(F.count("*").alias("expected"))
     return wanted.crossJoin(lacking).crossJoin(counts).withColumn("complete", F.col("missing") == 0)
+
+
+def require_complete(report: DataFrame, allow_partial: bool = False) -> DataFrame:
+    """The report of quality(), or ValueError if keys or values are lacking and a partial report is not allowed."""
+    seen = report.first()
+    lacking = {c: seen[c] for c in ("missing", "null_generation", "null_consumption", "unpublished_prices") if seen[c]}
+    if lacking and not allow_partial:
+        raise ValueError(", ".join(f"{n} {c}" for c, n in lacking.items()))
+    return report
+
+
+def lacking_keys(rows: DataFrame, grid: DataFrame) -> DataFrame:
+    """kind and key of what quality() counts: missing keys and rows without generation, consumption or a price."""
+    there = rows.filter("status != 'missing'")
+    parts = [grid.join(there.select(*KEYS), KEYS, "left_anti").withColumn("kind", F.lit("missing"))]
+    parts += [there.filter(F.col(c).isNull()).withColumn("kind", F.lit(f"null_{c}")) for c in ("generation", "consumption", "price")]
+    out = parts[0].select("kind", *KEYS)
+    for p in parts[1:]:
+        out = out.unionByName(p.select("kind", *KEYS))
+    return out
+
+
+def source_grid(volumes: DataFrame, prices: DataFrame, systems: DataFrame, start: str, end: str, offset: str = "+03:00") -> DataFrame:
+    """date, hour, system, generation, consumption, price, price_reason of decoded answers: volumes (id, stamp, hour, generation, consumption), prices (date, id, hour, price)
+    and systems (id, system).
+
+    ValueError for an unknown id, a stamp with another offset or beyond the period, an hour beyond 0 to 23, or a repeated key.
+    Prices without volumes are left out.
+    """
+    from tidewater.operators.series import stamped_day
+
+    def known(rows: DataFrame, what: str) -> DataFrame:
+        named = rows.join(F.broadcast(systems), "id", "left")
+        bad = named.agg(
+            F.count_if(F.col("system").isNull()).alias("ids"),
+            F.count_if(F.coalesce(~F.col("date").between(start, end), F.lit(True))).alias("dates"),
+            F.count_if(F.coalesce(~F.col("hour").between(0, 23), F.lit(True))).alias("hours"),
+        ).first()
+        repeated = named.groupBy(*KEYS).agg(F.count("*").alias("n")).filter("n > 1")
+        if any(bad) or not repeated.isEmpty():
+            raise ValueError(f"{what}: {bad['ids']} unknown ids, {bad['dates']} dates, {bad['hours']} hours, or repeated keys")
+        return named.drop("id")
+
+    v = known(volumes.withColumn("date", stamped_day(F.col("stamp"), offset)).drop("stamp"), "volumes")
+    return joined_prices(v, known(prices.withColumn("date", F.col("date").cast("date")), "prices"))

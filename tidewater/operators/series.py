@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -182,13 +182,55 @@ def autocorrelation(series: DataFrame, lags: int) -> DataFrame:
     return long.select(SERIES, F.substring("lag", 2, 9).cast("int").alias("lag"), (F.col("s") / F.col("_v")).alias("acf"))
 
 
-#: Formats of dates in the order in which they are tried; day before month.
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "yyyyMMdd", "MM.yyyy", "yyyy-MM"]
+# Formats of dates in the order in which they are tried; day before month.
+DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "dd.MM.yyyy", "MM.yyyy", "yyyy-MM", "yyyy.MM", "dd/MM/yyyy", "MM/dd/yyyy"]
 
 
 def parsed_date(text):
-    """The first format that reads a text gives its date; null if none does."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)).cast("date") for f in DATE_FORMATS])
+    """The first format that reads a text gives its date, else what Spark's own cast reads; null if nothing does."""
+    raw = F.trim(text)
+    return F.coalesce(*[F.try_to_timestamp(raw, F.lit(f)).cast("date") for f in DATE_FORMATS], F.to_date(raw.try_cast("timestamp")))
+
+
+def month_difference(later: Column, earlier: Column) -> Column:
+    """Calendar months from one date's month to another's."""
+    return (F.year(later) - F.year(earlier)) * 12 + F.month(later) - F.month(earlier)
+
+
+def previous_month(day: Column) -> Column:
+    """The first and the last day of the calendar month before a day's."""
+    first = F.add_months(F.trunc(day, "month"), -1)
+    return F.struct(first.alias("start"), F.last_day(first).alias("end"))
+
+
+def named_month(text: Column) -> Column:
+    """The first and the last day of a month written as YYYY-MM and nothing else; null for other texts."""
+    first = F.when(text.rlike(r"^\d{4}-(0[1-9]|1[0-2])$"), F.to_date(F.concat(text, F.lit("-01"))))
+    return F.when(first.isNotNull(), F.struct(first.alias("start"), F.last_day(first).alias("end")))
+
+
+def days_in_month(day: Column) -> Column:
+    return F.dayofmonth(F.last_day(day))
+
+
+def stamped_day(text: Column, offset: str = "+03:00") -> Column:
+    """The local date of an ISO timestamp with just this offset; null for other texts and offsets."""
+    pattern = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?" + offset.replace("+", r"\+") + "$"
+    return F.when(text.rlike(pattern) & text.try_cast("timestamp").isNotNull(), F.substring(text, 1, 10).try_cast("date"))
+
+
+def last_rows(series: DataFrame, least: int = 6, most: int = 24, share: int = 5) -> DataFrame:
+    """series with is_test: the last values of each, a fifth of them but 6 to 24."""
+    n = F.count("*").over(W.partitionBy(SERIES))
+    size = F.greatest(F.lit(least), F.least(F.lit(most), F.floor(n / share)))
+    back = F.row_number().over(W.partitionBy(SERIES).orderBy(F.desc("date")))
+    return series.withColumn("is_test", back <= size)
+
+
+def last_of_month(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Of rows with one key in a series the last by order; rows equal in both tie and any one stays."""
+    w = W.partitionBy(SERIES, key).orderBy(F.desc(order))
+    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
 def windows(series: DataFrame, lookback: int = 12, horizon: int = 21) -> DataFrame:

@@ -46,7 +46,7 @@ def evaluate_track(records: DataFrame, columns: list[str], models: dict[str, lis
     Missing features get the training median. Each model's settings are compared by validation MAE, and the
     best is fitted again on training and validation rows.
     """
-    parts = origin_parts(records.filter("y_true IS NOT NULL")).persist()
+    parts = origin_parts(records.filter("y_true IS NOT NULL"))
     filled = [f"_f_{c}" for c in columns]
     out = None
     for name, settings in (models or candidates()).items():

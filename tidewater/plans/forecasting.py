@@ -700,19 +700,20 @@ def return_tests(spark, sf):
 
 @query(
     shown(
-        """WITH t AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 2 THEN strftime(o_orderdate, '%m/%d/%Y')
+        """WITH t AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 5 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') WHEN 6 THEN strftime(o_orderdate, '%Y.%m') WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 2 THEN strftime(o_orderdate, '%m/%d/%Y')
   WHEN 3 THEN strftime(o_orderdate, '%m.%Y') ELSE 'n/a' END AS d FROM orders)
 --
-SELECT o_orderkey, coalesce(try_strptime(d, '%Y-%m-%d'), try_strptime(d, '%d/%m/%Y'), try_strptime(d, '%m/%d/%Y'), try_strptime(d, '%m.%Y'))::DATE AS date FROM t""",
+SELECT o_orderkey, coalesce(try_strptime(d, '%Y-%m-%d'), try_strptime(d, '%d/%m/%Y'), try_strptime(d, '%m/%d/%Y'), try_strptime(d, '%m.%Y'),
+  try_strptime(d, '%Y-%m-%d %H:%M:%S'), try_strptime(d, '%Y.%m'))::DATE AS date FROM t""",
         "",
         "date",
     )
 )
 def mixed_dates(spark, sf):
-    """Dates told in five ways; a month above 12 shows that a date has the month first."""
-    k, d = F.col("o_orderkey") % 5, F.col("o_orderdate")
+    """Dates told in seven ways; a month above 12 shows that a date has the month first."""
+    k, d = F.col("o_orderkey") % 7, F.col("o_orderdate")
     text = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "dd/MM/yyyy")).when(k == 2, F.date_format(d, "MM/dd/yyyy"))
-    text = text.when(k == 3, F.date_format(d, "MM.yyyy")).otherwise("n/a")
+    text = text.when(k == 3, F.date_format(d, "MM.yyyy")).when(k == 5, F.date_format(d, "yyyy-MM-dd HH:mm:ss")).when(k == 6, F.date_format(d, "yyyy.MM")).otherwise("n/a")
     return told(table(spark, sf, "orders").select("o_orderkey", se.parsed_date(text).alias("date")))
 
 
@@ -779,3 +780,72 @@ def network_forecasts(spark, sf):
     s = series(spark, sf)
     w = se.windows(s, 12, 6).join(s.select("series_id", "pos", F.col("y").alias("last")), ["series_id", "pos"])
     return told(network_forecasts(w, LEVELS))
+
+
+@query(
+    """SELECT o_orderkey, CAST((date_trunc('month', o_orderdate) - INTERVAL 1 MONTH)::DATE AS VARCHAR) AS start, CAST((date_trunc('month', o_orderdate) - INTERVAL 1 DAY)::DATE AS VARCHAR) AS "end",
+  date_diff('month', DATE '1992-03-15', o_orderdate::DATE)::INT AS months, extract(day FROM last_day(o_orderdate::DATE))::INT AS days,
+  CASE WHEN o_orderkey % 2 = 0 THEN CAST(last_day(o_orderdate::DATE) AS VARCHAR) END AS named, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderdate::DATE AS VARCHAR) END AS stamped FROM orders"""
+)
+def calendar_dates(spark, sf):
+    """The month before, months since a day, days of the month; months named as YYYY-MM or not, and stamps of two offsets."""
+    o, d, k = table(spark, sf, "orders"), F.col("o_orderdate").cast("date"), F.col("o_orderkey")
+    name = F.when(k % 2 == 0, F.date_format(d, "yyyy-MM")).otherwise(F.date_format(d, "yyyy-M-d"))
+    stamp = F.concat(F.date_format(d, "yyyy-MM-dd"), F.when(k % 3 > 0, "T01:00:00+03:00").otherwise("T01:00:00+00:00"))
+    before = se.previous_month(d)
+    return o.select(
+        "o_orderkey", before["start"].cast("string").alias("start"), before["end"].cast("string").alias("end"), se.month_difference(d, F.lit("1992-03-15").cast("date")).alias("months"),
+        se.days_in_month(d).alias("days"), se.named_month(name)["end"].cast("string").alias("named"), se.stamped_day(stamp).cast("string").alias("stamped"),
+    )
+
+
+@query(
+    shown(
+        E
+        + """, p AS (SELECT *, CASE WHEN extract(year FROM origin) < 1998 THEN 'validation' ELSE 'test' END AS period FROM e),
+d AS (SELECT *, abs(y_true - lag(y_true) OVER (PARTITION BY series_id, period, model, horizon ORDER BY origin)) AS step FROM p),
+x AS (SELECT series_id, period, model, horizon, count(*) AS n, avg(abs(y_pred - y_true)) AS mae, sqrt(avg((y_pred - y_true) ** 2)) AS rmse,
+  avg(abs(y_pred - y_true)) / CASE WHEN count(*) > 1 THEN greatest(avg(step), 1e-12) ELSE 1 END AS mase, avg(200 * abs(y_pred - y_true) / (abs(y_true) + abs(y_pred) + 1e-12)) AS smape FROM d GROUP BY ALL)
+--
+SELECT x.*, x.mae / b.mae AS rel_mae FROM x JOIN x b ON b.series_id = x.series_id AND b.period = x.period AND b.horizon = x.horizon AND b.model = 'naive'""",
+        "mae rmse mase smape rel_mae",
+    )
+)
+def extended_summary(spark, sf):
+    period = F.when(F.year("origin") < 1998, "validation").otherwise("test")
+    return told(bt.extended_summary(errors(spark, sf).withColumn("period", period)))
+
+
+@query(
+    shown(
+        E
+        + """, q AS (SELECT *, unnest(range(1, 20)) * 0.05::DOUBLE AS tau FROM e WHERE model = 'mean_reversion'),
+v AS (SELECT series_id, horizon, origin, y_true, round(tau, 2) AS tau, y_pred * (0.8 + 0.4 * round(tau, 2)) AS x FROM q),
+l AS (SELECT *, greatest((y_true - x) * tau, (y_true - x) * (tau - 1)) AS loss FROM v),
+t AS (SELECT *, (loss + lag(loss) OVER (PARTITION BY series_id, horizon, origin ORDER BY tau)) / 2 * 0.05 AS area FROM l),
+r AS (SELECT series_id, horizon, origin, first(y_true) AS y, avg(loss) AS loss, 2 * sum(area) AS crps, min(x) AS lo, max(x) AS hi FROM t GROUP BY ALL)
+--
+SELECT series_id, horizon, count(*) AS n, avg(loss) AS pinball, avg(crps) AS crps_central, avg((y >= lo AND y <= hi)::INT) AS coverage90, avg(hi - lo) AS width90,
+  avg(hi - lo + 20 * greatest(lo - y, 0) + 20 * greatest(y - hi, 0)) AS interval_score90 FROM r GROUP BY ALL""",
+        "pinball crps_central coverage90 width90 interval_score90",
+    )
+)
+def quantile_grid_scores(spark, sf):
+    """Nineteen levels, from 80 to 120 percent of a point forecast."""
+    levels = bt.LEVELS_19
+    rows = errors(spark, sf).filter("model = 'mean_reversion'").withColumn("q", F.array(*[F.col("y_pred") * (0.8 + 0.4 * t) for t in levels]))
+    return told(bt.quantile_grid_metrics(rows, ["series_id", "horizon"], levels))
+
+
+@query(
+    shown(
+        S
+        + """, n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS b, count(*) OVER (PARTITION BY series_id) AS n FROM s)
+--
+SELECT series_id, date, pos, y, b <= greatest(6, least(24, n // 5)) AS is_test FROM n""",
+        "y",
+        "date",
+    )
+)
+def tail_split(spark, sf):
+    return told(se.last_rows(series(spark, sf)))

@@ -17,9 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+MOST_HOURS = 366 * 24
+
+
 def markdown(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(most).collect()
+    """A small result as a Markdown table; ValueError if it has more than `most` rows."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows")
     cell = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("|", "\\|")
     lines = [df.columns, ["---"] * len(df.columns), *[[cell(v) for v in r] for r in rows]]
     return "\n".join("| " + " | ".join(x) + " |" for x in lines) + "\n"
@@ -112,12 +117,15 @@ def write_workbook(sheets: dict[str, list[list]], path: str) -> None:
 
 def export_grid(wide: dict[str, DataFrame], path: str) -> None:
     """A workbook with a sheet for each wide table (date, hour, systems..., total); totals are strict sums with
-    their formulas. The tables are a month of hours at most."""
+    their formulas. ValueError for a table of more than MOST_HOURS rows, a leap year of hours."""
     sheets = {}
     for name, df in wide.items():
         systems = [c for c in df.columns if c not in ("date", "hour", "total")]
         rows: list[list] = [["date", "hour", *systems, "total"]]
-        for r, row in enumerate(df.orderBy("date", "hour").collect(), 2):
+        found = df.orderBy("date", "hour").limit(MOST_HOURS + 1).collect()
+        if len(found) > MOST_HOURS:
+            raise ValueError(f"{name} has more than {MOST_HOURS} rows")
+        for r, row in enumerate(found, 2):
             cells = f"C{r}:{column_name(2 + len(systems))}{r}"
             rows.append([str(row["date"]), row["hour"], *[row[s] for s in systems], Formula(strict_sum_formula(cells, len(systems)), row["total"] if row["total"] is not None else "")])
         sheets[name] = rows
@@ -150,30 +158,55 @@ def publish(files: dict[str, bytes], folder: str, last: str, overwrite: bool = F
         shutil.rmtree(stage, ignore_errors=True)
 
 
+def _file(spark, path: str):
+    """(file system, path) of a file in any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _write(spark, path: str, text: str) -> None:
+    fs, at = _file(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _read(spark, path: str) -> str:
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"]).decode()
+
+
+def _digest(rows: DataFrame) -> str:
+    """A number of the rows that does not depend on their order."""
+    return str(rows.agg(F.sum(F.xxhash64(*sorted(rows.columns)).cast("decimal(38,0)"))).first()[0])
+
+
 def save_index(chunks: DataFrame, vectors: DataFrame, folder: str, model: str) -> dict:
-    """A generation of an index: chunks (id, ...) with unit vectors (id, v) as Parquet, named by a manifest that is
-    replaced at the end. ValueError for repeated ids, ids without a vector, or vectors of no length."""
-    norm = F.greatest(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), F.lit(1e-12))
+    """A generation of an index: chunks (id, ...) with unit vectors (id, v) as Parquet, named by a manifest that is written last. The folder may be in any
+    store. ValueError for repeated ids, ids without a vector, or vectors of no length, of other lengths or not finite."""
+    spark = chunks.sparkSession
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    norm = F.greatest(F.sqrt(square), F.lit(1e-12))
     rows = chunks.join(vectors.select("id", F.transform("v", lambda x: (x / norm).cast("float")).alias("v"), norm.alias("_n")), "id", "left")
-    seen = rows.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.count_if(F.col("v").isNull() | (F.col("_n") <= 1e-12)).alias("bad")).first()
-    if seen["n"] != seen["ids"] or seen["bad"]:
-        raise ValueError(f"{seen['n'] - seen['ids']} repeated ids, {seen['bad']} ids without a vector")
+    odd = F.col("v").isNull() | (F.col("_n") <= 1e-12) | F.isnan("_n") | (F.col("_n") == float("inf"))
+    seen = rows.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.count_if(odd).alias("bad"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
+    if not seen["n"] or seen["n"] != seen["ids"] or seen["bad"] or seen["least"] != seen["most"]:
+        raise ValueError(f"{seen['n'] - seen['ids']} repeated ids, {seen['bad']} ids without a vector, lengths {seen['least']} to {seen['most']}")
     generation = uuid.uuid4().hex
     rows.drop("_n").write.parquet(f"{folder}/{generation}")
-    manifest = {"version": 1, "generation": generation, "model": model, "count": seen["n"]}
-    staged = Path(folder, f".manifest-{generation}")
-    staged.write_text(json.dumps(manifest))
-    os.replace(staged, Path(folder, "manifest.json"))
+    stored = spark.read.parquet(f"{folder}/{generation}")
+    manifest = {"version": 1, "generation": generation, "model": model, "count": seen["n"], "dim": seen["most"], "digest": _digest(stored)}
+    _write(spark, f"{folder}/manifest.json", json.dumps(manifest))
     return manifest
 
 
 def load_index(spark, folder: str) -> DataFrame:
-    """The generation that the manifest names; ValueError if it is not as the manifest says."""
-    manifest = json.loads(Path(folder, "manifest.json").read_text())
-    name = manifest["generation"]
-    if manifest.get("version") != 1 or Path(name).name != name:
+    """The generation that the manifest names; ValueError if it is not as the manifest says: rows, hashes, lengths of vectors."""
+    manifest = json.loads(_read(spark, f"{folder}/manifest.json"))
+    name = manifest.get("generation", "")
+    if manifest.get("version") != 1 or not name.isalnum():
         raise ValueError("the manifest cannot be used")
     rows = spark.read.parquet(f"{folder}/{name}")
-    if rows.count() != manifest["count"]:
+    seen = rows.agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size("v") != manifest["dim"], F.lit(True))).alias("bad")).first()
+    if seen["n"] != manifest["count"] or seen["bad"] or _digest(rows) != manifest["digest"]:
         raise ValueError("the index is not whole")
     return rows

@@ -8,6 +8,7 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+from datetime import date, timedelta
 from pathlib import Path
 
 MOST_BYTES = 2_000_000
@@ -51,11 +52,14 @@ class JsonSource:
         raise AssertionError
 
     def cached(self, folder: str, name: str, path: str, params: dict[str, str], refresh: bool = False) -> bytes:
-        """The answer, kept as name.json with name.meta.json; a copy that does not match its hash or request is an error."""
+        """The answer, kept as name.json with name.meta.json; a copy that does not match its hash or request is an error, and so is
+        a refresh where a copy is kept: kept answers are never replaced."""
         raw, meta = Path(folder, f"{name}.json"), Path(folder, f"{name}.meta.json")
         if raw.exists() != meta.exists():
             raise ValueError(f"{name}: one of two files is missing")
-        if raw.exists() and not refresh:
+        if raw.exists() and refresh:
+            raise FileExistsError(f"{name} is kept; refresh into another folder")
+        if raw.exists():
             body, known = raw.read_bytes(), json.loads(meta.read_text())
             if known != {"sha256": hashlib.sha256(body).hexdigest(), "path": path, "params": params}:
                 raise ValueError(f"{name}: the copy does not match")
@@ -65,3 +69,14 @@ class JsonSource:
         raw.write_bytes(body)
         meta.write_text(json.dumps({"sha256": hashlib.sha256(body).hexdigest(), "path": path, "params": params}))
         return body
+
+    def month(self, folder: str, volumes: str, prices: str, start: date, end: date, ids: list[int], format: str = "%Y.%m.%d") -> dict[str, bytes]:
+        """The answers for a period, kept in a folder: one of volumes for all of it and one of prices for each day, by name."""
+        if end < start:
+            raise ValueError("the period ends before it starts")
+        base = {"territories": ",".join(map(str, ids))}
+        out = {"volumes": self.cached(folder, "volumes", volumes, base | {"startDate": start.strftime(format), "endDate": end.strftime(format)})}
+        for i in range((end - start).days + 1):
+            day = start + timedelta(days=i)
+            out[f"prices_{day}"] = self.cached(folder, f"prices_{day}", prices, base | {"startDate": day.strftime(format)})
+        return out
