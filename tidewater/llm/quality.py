@@ -23,6 +23,8 @@ LEAST_DOCS = 4
 #: Least P(highest grade) of a kept document. Fitting gives all grades one total weight, so that this is low on purpose.
 LEAST_TAIL = 0.25
 ROUNDS, RATE, SHRINK = 300, 0.3, 2e-4
+#: Fitted documents whose features are held as numbers at a time.
+PART = 1024
 
 LETTERS = T.FOLDED.copy()
 LETTERS[[i for i in range(128) if not chr(i).isalpha()]] = 0
@@ -114,29 +116,29 @@ def fit_arrays(ids: np.ndarray, rows: np.ndarray, grade: np.ndarray, grades: lis
     n, steps = len(grade), len(grades) - 1
     seen = np.bincount(ids, minlength=FEATURES)
     keep = (seen >= LEAST_DOCS)[ids]
-    ids, rows = ids[keep], rows[keep]
+    ids, rows = ids[keep].astype(np.int32), rows[keep].astype(np.int32)
     rank = np.searchsorted(grades, grade)
     balance = (n / (len(grades) * np.bincount(rank, minlength=len(grades))))[rank]
     cut = np.searchsorted(rows, np.arange(n + 1))
+    # A part of the rows at a time, so that the driver holds little beside the features.
+    parts = [slice(i, min(n, i + PART)) for i in range(0, n, PART)]
     w = np.zeros(FEATURES)
     low = np.linspace(-1, 1, steps) if steps > 1 else np.zeros(steps)
     m, v = np.zeros(FEATURES + steps), np.zeros(FEATURES + steps)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
     for t in range(1, ROUNDS + 1 if steps else 0):
-        total = np.concatenate([[0], np.cumsum(w[ids])])
-        score = total[cut[1:]] - total[cut[:-1]]
-        upper = np.where(rank < steps, sigmoid(low[np.minimum(rank, steps - 1)] - score), 1.0)
-        under = np.where(rank > 0, sigmoid(low[np.maximum(rank - 1, 0)] - score), 0.0)
-        p = np.maximum(upper - under, 1e-9)
-        a, b = upper * (1 - upper) / p * balance / n, under * (1 - under) / p * balance / n
-        pull = a - b  # of the negative log-likelihood by the score
-        g = np.concatenate(
-            [
-                np.bincount(ids, weights=pull[rows], minlength=FEATURES),
-                -np.bincount(np.minimum(rank, steps - 1), weights=np.where(rank < steps, a, 0), minlength=steps)
-                + np.bincount(np.maximum(rank - 1, 0), weights=np.where(rank > 0, b, 0), minlength=steps),
-            ]
-        )
+        g = np.zeros(FEATURES + steps)
+        for part in parts:
+            some, k = slice(cut[part.start], cut[part.stop]), rank[part]
+            score = np.bincount(rows[some] - part.start, weights=w[ids[some]], minlength=len(k))
+            upper = np.where(k < steps, sigmoid(low[np.minimum(k, steps - 1)] - score), 1.0)
+            under = np.where(k > 0, sigmoid(low[np.maximum(k - 1, 0)] - score), 0.0)
+            p = np.maximum(upper - under, 1e-9)
+            a, b = upper * (1 - upper) / p * balance[part] / n, under * (1 - under) / p * balance[part] / n
+            pull = a - b  # of the negative log-likelihood by the score
+            g[:FEATURES] += np.bincount(ids[some], weights=pull[rows[some] - part.start], minlength=FEATURES)
+            g[FEATURES:] -= np.bincount(np.minimum(k, steps - 1), weights=np.where(k < steps, a, 0), minlength=steps)
+            g[FEATURES:] += np.bincount(np.maximum(k - 1, 0), weights=np.where(k > 0, b, 0), minlength=steps)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         rate = RATE / np.sqrt(t)
         scale = rate / (np.sqrt(v / (1 - 0.999**t)) + 1e-4)
@@ -151,7 +153,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, data, offsets in T.chunks(batch.column("_text")):
             ids, rows = features(data, offsets)
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(last - first + 1)), pa.int32()), pa.array(ids, pa.int64()))
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(last - first + 1)), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("grade").slice(first, last - first), lists], ["grade", "ids"])
 
 
@@ -169,7 +171,7 @@ def fit(rated: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str
     text = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id")
     got = text.groupBy("_id", "grade").agg(F.min(F.struct(F.xxhash64("_text").alias("hash"), "_text")).alias("best"))
     got = got.orderBy("_id").select(F.col("best._text").alias("_text"), "grade")
-    got = got.mapInArrow(_featured, "grade int, ids array<long>").toArrow()
+    got = got.mapInArrow(_featured, "grade int, ids array<int>").toArrow()
     grade = got.column("grade").to_numpy()
     lists = got.column("ids").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
