@@ -45,6 +45,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(table: DataFrame) -> None:
+    """Removes a table made by written() that nothing will read any more."""
+    spark = table.sparkSession
+    for name in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Removes all tables of this application; results that read them must be stored before."""
     path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
