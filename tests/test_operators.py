@@ -371,3 +371,37 @@ def test_extended_summary_needs_the_naive_model(spark):
     with pytest.raises(Exception, match="no naive model"):
         bt.extended_summary(rows).collect()
     assert [bt.level_name(t) for t in (0.05, 0.29, 0.95)] == ["q05", "q29", "q95"]
+
+
+def test_models_as_functions(spark):
+    rows = spark.createDataFrame([(1, "ab"), (2, None), (3, "c")], "id long, text string")
+    got = {r["id"]: r["v"] for r in re_.embedded(rows, "id", "text", lambda texts: [[3.0, 4.0 if t == "passage: ab" else 0.0] for t in texts], batch=1).collect()}
+    assert got[1] == pytest.approx([0.6, 0.8]) and got[3] == [1.0, 0.0] and 2 not in got
+    hits = spark.createDataFrame([(1, 5, "aa", "x"), (1, 6, "b", "y")], "query_id long, id long, text string, source string")
+    asked = spark.createDataFrame([(1, "q", "alternative", ["y"])], "query_id long, text string, alternate string, sources array<string>")
+    score = lambda pairs: [float(len(a) * 10 + len(b)) for a, b in pairs]
+    assert {r["id"]: r["new_score"] for r in re_.scored_pairs(hits, asked, score).collect()} == {5: 12.0, 6: 111.0}
+    assert {r["new_score"] for r in re_.scored_pairs(hits, asked, lambda pairs: 1 / 0).collect()} == {None}
+
+
+def test_synthetic_grid(spark):
+    rows = gr.synthetic(spark, "2026-09-01", 30, list("abcdefg"))
+    total = gr.totals(rows).filter("level = 7").first()
+    assert (total["n"], total["generation"], total["consumption"], total["price"]) == (5040, 50400, 20160, 500)
+    shown = gr.displayed(rows.filter("hour = 0"), {"status": "Status"}, {"status": {"actual": "published"}}, 3)
+    assert shown.count() == 3 and shown.first()["Status"] == "published"
+
+
+def test_partial_autocorrelations():
+    e = np.random.default_rng(2).normal(size=3000)
+    w = np.zeros(3000)
+    for t in range(1, 3000):
+        w[t] = 0.7 * w[t - 1] + e[t]
+    acf, pacf = arima.autocorrelations(w, 5)
+    assert acf[:3] == pytest.approx([0.7, 0.49, 0.343], abs=0.06) and pacf[0] == acf[0] and np.abs(pacf[1:]).max() < 0.06
+
+
+def test_quantile_autoregression(spark):
+    got = mo.quantile_autoregression(walk(spark, 200), 1, [0.1, 0.5, 0.9]).orderBy("tau").collect()
+    last = walk(spark, 200).orderBy("pos").collect()[-1]["y"]
+    assert [r["tau"] for r in got] == [0.1, 0.5, 0.9] and got[0]["forecast"] < last * 1.02 and got[2]["forecast"] > last * 0.98

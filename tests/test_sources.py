@@ -20,6 +20,10 @@ def test_snapshot(spark, tmp_path):
     p.write_text(json.dumps(snapshot()))
     rows, _, sha = files.read_snapshot(spark, str(p))
     assert rows.first()["generation_mwh"] == 10.0 and len(sha) == 64
+    with pytest.raises(ValueError, match="metadata have"):
+        files.read_snapshot(spark, str(p), files.SNAPSHOT_SETTINGS)
+    p.write_text(json.dumps(snapshot(**files.SNAPSHOT_SETTINGS)))
+    assert files.read_snapshot(spark, str(p), files.SNAPSHOT_SETTINGS)[0].count() == 1
     for text in ('{"metadata": {}, "metadata": {}, "rows": []}', '{"metadata": NaN, "rows": []}', json.dumps(snapshot(timezone=" ")), json.dumps(snapshot(synthetic=1))):
         p.write_text(text)
         with pytest.raises(ValueError):
@@ -51,6 +55,20 @@ def test_inventory(spark):
     assert (got["repeated"], got["extra"], got["missing"]) == (1, 2, "2000-02;2000-03")
 
 
+def test_inventory_of_a_folder(spark, tmp_path):
+    sinks.write_workbook({"one": [["Date", "x"], ["2000-01-01", 1], ["2000-03-01", 2]]}, str(tmp_path / "a.xlsx"))
+    assert [(r["name"], r["missing"]) for r in files.inventory_of_folder(spark, str(tmp_path)).collect()] == [("a.xlsx", "2000-02")]
+    with pytest.raises(ValueError):
+        files.inventory_of_folder(spark, str(tmp_path), "*.csv")
+
+
+def test_required_fields(spark):
+    df = spark.createDataFrame([('{"a": null, "b": 1}',), ('{"a": 2}',)], "j string")
+    assert files.require_fields(df, "j", ["a"]).count() == 2
+    with pytest.raises(ValueError, match="1 objects"):
+        files.require_fields(df, "j", ["a", "b"])
+
+
 def test_wsdl(spark):
     ok = '<w:definitions xmlns:w="u"><w:portType><w:operation name="A"/><w:operation name="B"/></w:portType></w:definitions>'
     got = files.wsdl_operations(spark.createDataFrame([(ok,), ("<!DOCTYPE x>" + ok,)], "body string"), "body").collect()

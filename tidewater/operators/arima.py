@@ -329,3 +329,26 @@ def expanding(series: DataFrame, models: dict[str, Callable[[np.ndarray, int], n
         return pd.DataFrame(out, columns=[SERIES, "model", "horizon", "origin", "target", "y_true", "y_pred"])
 
     return rows.groupBy(SERIES, "_block").applyInPandas(one, f"{SERIES} string, model string, horizon int, origin date, target date, y_true double, y_pred double")
+
+
+def autocorrelations(values: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray]:
+    """Autocorrelations of lags 1 to `lags` with the whole mean and sum of squares, and partial ones by Durbin's recursion."""
+    d = values - values.mean()
+    r = np.array([d[k:] @ d[: len(d) - k] for k in range(lags + 1)]) / (d @ d)
+    partial, phi = [], np.zeros(0)
+    for k in range(1, lags + 1):
+        last = (r[k] - phi @ r[k - 1 : 0 : -1]) / (1 - phi @ r[1:k]) if k > 1 else r[1]
+        phi = np.append(phi - last * phi[::-1], last)
+        partial.append(last)
+    return r[1:], np.array(partial)
+
+
+def return_lags(series: DataFrame, lags: int = 24) -> DataFrame:
+    """series_id, lag, acf, pacf of the log returns."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        steps = np.diff(np.log(pdf.sort_values("date")["y"].to_numpy(float)))
+        acf, pacf = autocorrelations(steps, min(lags, len(steps) - 1))
+        return pd.DataFrame({SERIES: pdf[SERIES].iloc[0], "lag": np.arange(1, len(acf) + 1), "acf": acf, "pacf": pacf})
+
+    return series.groupBy(SERIES).applyInPandas(one, f"{SERIES} string, lag int, acf double, pacf double")

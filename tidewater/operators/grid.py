@@ -137,3 +137,24 @@ def source_grid(volumes: DataFrame, prices: DataFrame, systems: DataFrame, start
 
     v = known(volumes.withColumn("date", stamped_day(F.col("stamp"), offset)).drop("stamp"), "volumes")
     return joined_prices(v, known(prices.withColumn("date", F.col("date").cast("date")), "prices"))
+
+
+def synthetic(spark, start: str, days: int, systems: list[str]) -> DataFrame:
+    """A grid of plain numbers for demonstrations: generation 10, consumption the system's number, price a hundred times that."""
+    names = F.array(*map(F.lit, systems))
+    keys = spark.range(days * 24 * len(systems))
+    i, hour = (F.col("id") % len(systems)).cast("int"), (F.floor(F.col("id") / len(systems)) % 24).cast("int")
+    day = F.date_add(F.lit(start).cast("date"), F.floor(F.col("id") / (24 * len(systems))).cast("int"))
+    return keys.select(
+        day.alias("date"), hour.alias("hour"), F.get(names, i).alias("system"), F.lit("actual").alias("status"),
+        F.lit(10.0).alias("generation"), (i + 1).cast("double").alias("consumption"), ((i + 1) * 100).cast("double").alias("price"), F.lit(None).cast("string").alias("price_reason"),
+    )
+
+
+def displayed(rows: DataFrame, names: dict[str, str], values: dict[str, dict[str, str]] | None = None, most: int | None = None) -> DataFrame:
+    """rows under the names of a report, with the named values of columns replaced, flags as words, and the first `most` of them."""
+    out = rows
+    for column, words in (values or {}).items():
+        out = out.withColumn(column, F.coalesce(F.create_map(*[F.lit(x) for pair in words.items() for x in pair])[F.col(column).cast("string")], F.col(column).cast("string")))
+    out = out.select(*[F.col(c).alias(names.get(c, c)) for c in out.columns])
+    return out if most is None else out.limit(most)

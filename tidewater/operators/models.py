@@ -131,6 +131,26 @@ def ridge_direct(records: DataFrame, columns: list[str], least_pairs: int = 24)
     return records.groupBy(SERIES, "horizon").applyInPandas(fit, f"{SERIES} string, horizon int, pairs long, forecast double")
 
 
+def quantile_autoregression(series: DataFrame, horizon: int, levels: list[float], lags: tuple[int, ...] = (0, 1, 2, 11)) -> DataFrame:
+    """series_id, tau, forecast: quantiles of the value `horizon` months after the end of each series, by linear quantile regressions of the log change
+    on the log returns so many months back, rising by level. Series with fewer than 24 pairs have none."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = np.log(pdf.sort_values("date")["y"].to_numpy(float))
+        step = np.diff(y)
+        at = np.arange(max(lags), len(step))
+        x = np.column_stack([step[at - k] for k in lags])
+        known = at + 1 + horizon < len(y)
+        made = []
+        if known.sum() >= 24:
+            change = y[at[known] + 1 + horizon] - y[at[known] + 1]
+            beta = [quantile_regression(x[known], change, t) for t in levels]
+            made = isotonic(np.array([b[0] + x[-1] @ b[1:] for b in beta]))
+        return pd.DataFrame({SERIES: pdf[SERIES].iloc[0], "tau": levels[: len(made)], "forecast": np.exp(y[-1] + np.asarray(made, float))})
+
+    return series.groupBy(SERIES).applyInPandas(fit, f"{SERIES} string, tau double, forecast double")
+
+
 #: Resamples' random starts: the first eight hexadecimal digits of MD5 of seed, resample and block, modulo the number of values.
 SEED = "blocks-1"
 

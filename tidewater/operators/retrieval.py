@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -245,3 +245,47 @@ def require_strong(parts: DataFrame, most_weak: float = 0.35) -> DataFrame:
     if seen is not None and seen > most_weak:
         raise ValueError(f"{seen:.0%} of the pages are weak")
     return parts
+
+
+# What embedding models of passages and questions expect before a text.
+PASSAGE, QUESTION = "passage: ", "query: "
+
+
+def embedded(rows: DataFrame, key: str, text: str, embed: Callable[[list[str]], list[list[float]]], prefix: str = PASSAGE, batch: int = 256) -> DataFrame:
+    """key and v, unit vectors of the texts by a model's function, which gets so many prefixed texts at a time in the workers. ValueError for a vector
+    that is not finite or has no length; null texts are left out."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for at in range(0, part.num_rows, batch):
+                some = part.slice(at, batch)
+                x = np.asarray(embed([prefix + t for t in some.column("t").to_pylist()]), float)
+                length = np.linalg.norm(x, axis=1, keepdims=True)
+                if not np.isfinite(x).all() or (length < 1e-12).any():
+                    raise ValueError("a vector is not finite or has no length")
+                yield pa.RecordBatch.from_arrays([some.column("k"), pa.array((x / length).astype(np.float32).tolist(), pa.list_(pa.float32()))], ["k", "v"])
+
+    few = rows.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return few.mapInArrow(step, f"k {few.schema['k'].dataType.simpleString()}, v array<float>").withColumnRenamed("k", key)
+
+
+def scored_pairs(hits: DataFrame, questions: DataFrame, score: Callable[[list[tuple[str, str]]], list[float]], batch: int = 32) -> DataFrame:
+    """query_id, id, new_score of hits (query_id, id, text, source) by a cross-encoder's function of (question, text) pairs in the workers. questions has
+    (query_id, text) and may have alternate, which is asked of sources in its sources column; a function that fails gives null scores."""
+    asked = questions.withColumnRenamed("text", "_ask")
+    ask = F.col("_ask")
+    if {"alternate", "sources"} <= set(questions.columns):
+        ask = F.when(F.array_contains("sources", F.col("source")) & F.col("alternate").isNotNull(), F.col("alternate")).otherwise(ask)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            pairs, out = list(zip(part.column("ask").to_pylist(), part.column("text").to_pylist(), strict=True)), []
+            for at in range(0, len(pairs), batch):
+                try:
+                    out += [float(v) for v in score(pairs[at : at + batch])]
+                except Exception:  # a model may fail in any way; reranked() then keeps the order that hits had
+                    out += [None] * len(pairs[at : at + batch])
+            yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("id"), pa.array(out, pa.float64())], ["query_id", "id", "new_score"])
+
+    rows = hits.join(asked, "query_id").select("query_id", "id", ask.alias("ask"), "text")
+    return rows.mapInArrow(step, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("query_id", "id")) + ", new_score double")

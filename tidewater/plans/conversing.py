@@ -275,7 +275,12 @@ def _stream(spark, sf):
 
 
 def _folder(spark) -> str:
+    """A new folder of the shared ones; of this machine only where driver and executors are one process."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not shared and spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{shared or tempfile.mkdtemp(prefix='tidewater-')}/streams/{uuid.uuid4().hex}"
 
 
@@ -285,11 +290,23 @@ def stream_rate_limited(spark, sf):
     return state.collected(state.rate_limited(_stream(spark, sf), 21600), "rate", _folder(spark))
 
 
-@query()
+@query(
+    """WITH e AS (SELECT user_id, epoch_ms(ts) AS t FROM events), m AS (SELECT max(t) - 600000 AS seen FROM e),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 1800000 THEN 0 ELSE 1 END AS new FROM e),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM g),
+a AS (SELECT user_id, s, min(t) AS start_ms, max(t) AS end_ms, count(*) AS events FROM s GROUP BY ALL)
+SELECT user_id, start_ms, end_ms, events FROM a, m WHERE s < (SELECT max(s) FROM a b WHERE b.user_id = a.user_id) OR end_ms + 1800000 < seen"""
+)
 def stream_sessions(spark, sf):
+    """Sessions that a later event of the user, or the watermark, has ended."""
     return state.collected(state.sessions(_stream(spark, sf)), "sessions", _folder(spark))
 
 
-@query()
+@query(
+    """WITH w AS (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS requests, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL)
+SELECT CAST(start::DATE AS VARCHAR) AS start, event_type, requests, mean_value FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+)
 def stream_request_metrics(spark, sf):
-    return state.collected(state.request_metrics(_stream(spark, sf)), "metrics", _folder(spark))
+    """Days that the watermark has passed."""
+    out = state.collected(state.request_metrics(_stream(spark, sf)), "metrics", _folder(spark))
+    return out.withColumns({"start": F.col("start").cast("date").cast("string"), "mean_value": F.round("mean_value", 6)})

@@ -849,3 +849,29 @@ SELECT series_id, date, pos, y, b <= greatest(6, least(24, n // 5)) AS is_test F
 )
 def tail_split(spark, sf):
     return told(se.last_rows(series(spark, sf)))
+
+
+@query(
+    shown(
+        R
+        + """, q AS (SELECT series_id, r, r - avg(r) OVER (PARTITION BY series_id) AS d, row_number() OVER (PARTITION BY series_id ORDER BY date) AS i FROM r WHERE r IS NOT NULL),
+v AS (SELECT series_id, sum(d * d) AS s2 FROM q GROUP BY 1),
+c AS (SELECT a.series_id, k, sum(a.d * b.d) / first(s2) AS r FROM q a JOIN v ON v.series_id = a.series_id, (SELECT unnest([1, 2]) AS k) JOIN q b ON b.series_id = a.series_id AND b.i = a.i - k GROUP BY ALL),
+w AS (SELECT series_id, max(r) FILTER (k = 1) AS r1, max(r) FILTER (k = 2) AS r2 FROM c GROUP BY 1)
+--
+SELECT series_id, 1::INT AS lag, r1 AS acf, r1 AS pacf FROM w UNION ALL SELECT series_id, 2, r2, (r2 - r1 * r1) / (1 - r1 * r1) FROM w""",
+        "acf pacf",
+    )
+)
+def partial_autocorrelation(spark, sf):
+    """The first two lags, which have closed forms."""
+    from tidewater.operators.arima import return_lags
+
+    return told(return_lags(series(spark, sf)).filter("lag <= 2"))
+
+
+@query()
+def quantile_autoregressions(spark, sf):
+    from tidewater.operators.models import quantile_autoregression
+
+    return told(quantile_autoregression(series(spark, sf), 3, LEVELS))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.frames import SERIES
 from tidewater.operators.series import numbered, require_valid
 
+# The fields of a snapshot's metadata and rows, and the units and clock that it must have.
 SNAPSHOT_FIELDS = ["source_url", "downloaded_at", "timezone", "hour_convention", "energy_unit", "price_unit", "weight_basis", "weight_explanation"]
 GRID_ROW = (
     "date string, hour int, system string, status string, generation_mwh double, consumption_mwh double, ibr_rub_mwh double, "
@@ -21,6 +22,9 @@ GRID_ROW = (
 )
 
 
+SNAPSHOT_SETTINGS = {"timezone": "Europe/Moscow", "hour_convention": "interval_start_0_23", "energy_unit": "MWh", "price_unit": "RUB/MWh"}
+
+
 def read_series(spark: SparkSession, path: str, columns: tuple[str, str], name: str = "series") -> DataFrame:
     """A CSV file with exactly the two columns as a valid monthly series; ValueError says what is wrong."""
     head = spark.read.option("header", "true").csv(path)
@@ -81,8 +85,9 @@ def strict_json(text: str):
     return json.loads(text, object_pairs_hook=pairs, parse_constant=constant)
 
 
-def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, dict, str]:
-    """(rows, metadata, SHA-256) of a snapshot file; required metadata are texts that are not blank."""
+def read_snapshot(spark: SparkSession, path: str, settings: dict[str, str] | None = None) -> tuple[DataFrame, dict, str]:
+    """(rows, metadata, SHA-256) of a snapshot file; required metadata are texts that are not blank, and those of settings
+    (SNAPSHOT_SETTINGS, for one) have just these values."""
     raw = spark.read.format("binaryFile").load(path).select("content").first()["content"]
     data = strict_json(bytes(raw).decode("utf-8"))
     if not isinstance(data, dict) or not isinstance(data.get("metadata"), dict) or not isinstance(data.get("rows"), list):
@@ -91,6 +96,9 @@ def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, dict, str]
     lacking = [k for k in SNAPSHOT_FIELDS if not isinstance(meta.get(k), str) or not meta[k].strip()]
     if lacking:
         raise ValueError(f"metadata lack {lacking}")
+    other = {k: meta[k] for k, v in (settings or {}).items() if meta[k] != v}
+    if other:
+        raise ValueError(f"metadata have {other}")
     if "synthetic" in meta and type(meta["synthetic"]) is not bool:
         raise ValueError("synthetic is true or false")
     names = [f.strip().split(" ")[0] for f in GRID_ROW.split(",")]
@@ -116,6 +124,32 @@ def decoded_groups(payloads: DataFrame, column: str, item: str) -> DataFrame:
     return groups.select("id", F.inline("_i"))
 
 
+def require_fields(payloads: DataFrame, column: str, fields: list[str]) -> DataFrame:
+    """payloads, whose column is a JSON object, or ValueError if one lacks a field; a field that is null is there."""
+    keys = F.json_object_keys(column)
+    lacking = payloads.filter(F.coalesce(F.size(F.array_except(F.array(*map(F.lit, fields)), keys)) > 0, F.lit(True)))
+    if not lacking.isEmpty():
+        raise ValueError(f"{lacking.count()} objects lack one of {', '.join(fields)}")
+    return payloads
+
+
+def inventory_of_folder(spark: SparkSession, folder: str, pattern: str = "*.xlsx") -> DataFrame:
+    """inventory() of a folder's tables on the driver: their dates by the usual names, and whatever numbers they have."""
+    from pathlib import Path
+
+    from tidewater.operators.series import parsed_date
+    from tidewater.sources.macro import date_column, numeric_columns
+
+    tables = {}
+    for path in sorted(Path(folder).glob(pattern)):
+        rows = read_table(spark, str(path))
+        dates = date_column(rows.columns, numeric_columns(rows))
+        tables[path.name] = rows.select(parsed_date(F.col(f"`{dates}`")).alias("date")).filter("date IS NOT NULL")
+    if not tables:
+        raise ValueError("the folder has no such tables")
+    return inventory(tables)
+
+
 def inventory(tables: dict[str, DataFrame]) -> DataFrame:
     """Of each (date, value) table: first and last date, repeated dates, rows beyond one a month, missing months."""
     out = None

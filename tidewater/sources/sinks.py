@@ -66,6 +66,7 @@ class Formula:
         self.text, self.value = text, value
 
 
+# The texts of formulas and, in write_workbook, the names and namespaces of a workbook's parts.
 def strict_sum_formula(cells: str, size: int) -> str:
     """The sum of cells, or an empty text unless all are numbers."""
     return f'IF(COUNT({cells})={size},SUM({cells}),"")'
