@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,11 +22,17 @@ UNKNOWN = "und"
 POINT, KEPT = 21, 1 << 18
 
 
-@functools.cache
-def folded_letters() -> np.ndarray:
-    """Of every code point its lower-case letter, or 0 for those that are none."""
-    points = range(0x110000)
-    return np.fromiter((ord(chr(i).lower()[0]) if chr(i).isalpha() else 0 for i in points), np.int32, 0x110000)
+_LETTERS = np.full(0x110000, -1, np.int32)
+
+
+def folded_letters(points: np.ndarray) -> np.ndarray:
+    """Of every code point its lower-case letter, or 0 for those that are none; each is looked up once in a process."""
+    found = _LETTERS[points]
+    if len(found) and found.min() < 0:
+        for i in np.unique(points[found < 0]).tolist():
+            _LETTERS[i] = ord(chr(i).lower()[0]) if chr(i).isalpha() else 0
+        found = _LETTERS[points]
+    return found
 
 
 def letter_vectors(points: np.ndarray) -> np.ndarray:
@@ -57,7 +62,7 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     row = np.repeat(np.arange(n), np.diff(starts))
     code = np.zeros(len(points) + n + 1, np.int64)
     place = np.arange(len(points)) + row + 1
-    code[place] = folded_letters()[points]
+    code[place] = folded_letters(points)
     owner = np.zeros(len(code), np.int64)
     owner[place] = row
     keep = (code != 0) | (np.concatenate([[1], code[:-1]]) != 0)
