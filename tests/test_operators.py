@@ -151,6 +151,18 @@ def test_query_vectors(spark):
     assert {r["query_id"]: r["fault"] for r in got} == {1: None, 2: "size", 3: "size", 4: "no_length", 5: "not_finite"}
 
 
+def test_ranks_of_blocks_equal_those_of_rows(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: " ".join(f"w{int(v)}" for v in rng.zipf(1.5, n) % 50)
+    docs = spark.createDataFrame([(i, word(30)) for i in range(300)] + [(300, None), (301, "")], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(q, word(4)) for q in range(20)] + [(99, "nothing")], "query_id long, text string")
+    told = lambda df: sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 6)) for r in df.collect())
+    rows = told(re_.ranked(re_.bm25(docs, asked).withColumn("score", F.round("score", 6)), 7, 0.0))
+    assert told(re_.bm25_ranked(docs, asked, 7)) == rows and told(re_.bm25_ranked(docs, asked, 7, most=3)) == rows
+    assert re_.bm25_ranked(docs, asked.filter("query_id < 0")).count() == 0
+    assert told(re_.bm25_ranked(docs, asked, 7, scope=F.col("doc_id") < 50)) == told(re_.ranked(re_.bm25(docs, asked, scope=F.col("doc_id") < 50).withColumn("score", F.round("score", 6)), 7, 0.0))
+
+
 def test_alternate_questions(spark):
     docs = spark.createDataFrame([(1, "power demand"), (2, "спрос"), (3, "other")], "doc_id long, text string")
     asked = spark.createDataFrame([(7, "спрос", "demand"), (8, "other", None)], "query_id long, text string, alternate string")

@@ -58,6 +58,12 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     Postings are cut to query terms before they are counted; statistics are of all documents, also if a scope
     (a condition on docs) says which ones may be found.
     """
+    hits, asked = _postings(docs, queries, id_col, text_col, query_col, scope)
+    return hits.join(asked, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
+
+
+def _postings(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_col: str, scope: Column | None) -> tuple[DataFrame, DataFrame]:
+    """(id, term, w: the term's part of the score) of documents that may be found, and (query_id, term)."""
     text = F.concat_ws(" ", "text", "alternate") if "alternate" in queries.columns else F.col("text")
     asked = queries.select(F.col(query_col).alias("query_id"), F.explode(F.array_distinct(tokens(text))).alias("term"))
     rows = docs.select(F.col(id_col).alias("id"), (scope if scope is not None else F.lit(True)).alias("_in"), tokens(F.col(text_col)).alias("_t"))
@@ -68,8 +74,69 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("documents") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_length")))
-    hits = post.filter("_in").join(df, "term").crossJoin(F.broadcast(stats)).withColumn("_w", idf * weight)
-    return hits.join(asked, "term").groupBy("query_id", "id").agg(F.sum("_w").alias("score"))
+    hits = post.filter("_in").join(df, "term").crossJoin(F.broadcast(stats))
+    return hits.select("id", "term", (idf * weight).alias("w")), asked
+
+
+def bm25_ranked(
+    docs: DataFrame, queries: DataFrame, top: int = LISTED, digits: int = 6, most: int = 10_000, id_col: str = "doc_id", text_col: str = "text",
+    query_col: str = "query_id", scope: Column | None = None,
+) -> DataFrame:
+    """ranked(bm25(...)) above 0 with scores rounded to some digits, for up to `most` queries with whole numbers as ids: the postings of a document meet, and are
+    scored for all queries in blocks of documents, and a task keeps the `top` of each query. So a common word costs its postings and no row for each pair of
+    query and document."""
+    hits, asked = _postings(docs, queries, id_col, text_col, query_col, scope)
+    if queries.limit(most + 1).count() > most:
+        return ranked(bm25(docs, queries, id_col, text_col, query_col, scope).withColumn("score", F.round("score", digits)), top, 0.0)
+    table = asked.distinct().toPandas()
+    names = np.unique(table["query_id"].to_numpy()) if len(table) else np.zeros(0, np.int64)
+    terms = {t: i for i, t in enumerate(sorted(set(table["term"])))}
+    line = np.array([terms[t] for t in table["term"]], np.int64)
+    order = np.argsort(line, kind="stable")
+    whose = np.searchsorted(names, table["query_id"].to_numpy())[order] if len(table) else line
+    edge = np.searchsorted(line[order], np.arange(len(terms) + 1))
+    shared = docs.sparkSession.sparkContext.broadcast((names, terms, whose, edge))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, terms, whose, edge = shared.value
+        value, known = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)
+        block = max(1, (1 << 22) // max(1, len(names)))
+        rest: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def scored(last: bool) -> None:
+            nonlocal value, known, rest
+            if not rest:
+                return
+            ids, term, w = (np.concatenate(c) for c in zip(*rest, strict=True))
+            starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            # A document may go on in the next batch.
+            whole = len(starts) if last else len(starts) - 1
+            for at in range(0, whole, block):
+                to = min(whole, at + block)
+                part = slice(starts[at], starts[to] if to < len(starts) else len(ids))
+                t, doc = term[part], np.searchsorted(starts[at:to], np.arange(part.start, part.stop), "right") - 1
+                count = edge[t + 1] - edge[t]
+                inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                cell = whose[np.repeat(edge[t], count) + inside] * (to - at) + np.repeat(doc, count)
+                score = np.bincount(cell, weights=np.repeat(w[part], count), minlength=len(names) * (to - at)).reshape(len(names), to - at)
+                value = np.concatenate([value, np.round(score, digits)], axis=1)
+                known = np.concatenate([known, np.broadcast_to(ids[starts[at:to]], score.shape)], axis=1)
+                keep = np.lexsort((known, -value), axis=1)[:, :top]
+                value, known = np.take_along_axis(value, keep, 1), np.take_along_axis(known, keep, 1)
+            left = slice(starts[whole] if whole < len(starts) else len(ids), None)
+            rest = [(ids[left], term[left], w[left])]
+
+        for batch in batches:
+            if batch.num_rows:
+                term = np.array([terms[t] for t in batch.column("term").to_pylist()], np.int64)
+                rest.append((batch.column("id").to_numpy(), term, batch.column("w").to_numpy()))
+                scored(False)
+        scored(True)
+        row, column = np.nonzero(value > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(names[row], pa.int64()), pa.array(known[row, column], pa.int64()), pa.array(value[row, column], pa.float64())], ["query_id", "id", "score"])
+
+    rows = hits.select(F.col("id").cast("long").alias("id"), "term", "w").repartition("id").sortWithinPartitions("id")
+    return ranked(rows.mapInArrow(step, "query_id long, id long, score double"), top, 0.0)
 
 
 def valid_queries(queries: DataFrame, dim: int) -> DataFrame:
@@ -142,8 +209,7 @@ def search(docs: DataFrame, questions: DataFrame, vectors: DataFrame | None = No
         raise ValueError(f"mode {mode} needs vectors")
     lists = []
     if mode != "semantic":
-        found = bm25(docs, questions, scope=scope).withColumn("score", F.round("score", 6))
-        lists.append((ranked(found, LISTED, 0.0), lexical_weight if mode == "hybrid" else 1.0))
+        lists.append((bm25_ranked(docs, questions, scope=scope), lexical_weight if mode == "hybrid" else 1.0))
     if mode != "bm25":
         allowed = vectors if scope is None else vectors.join(docs.filter(scope).select(F.col("doc_id").alias("id")), "id", "left_semi")
         lists.append((dense_ranked(allowed, asked), 1.0))
@@ -214,14 +280,14 @@ def single_link(pages: DataFrame, pattern: str = r'href="([^"#]+)"') -> DataFram
     return rows.select("page_id", F.size("_l").alias("links"), F.when(F.size("_l") == 1, F.element_at("_l", 1)).alias("link"))
 
 
-def reranked(hits: DataFrame, scores: DataFrame, top: int = 6, pool: int = 24, **caps) -> DataFrame:
-    """The best `pool` hits of each query in the order of new scores (query_id, id, new_score), capped like diverse().
+def reranked(hits: DataFrame, scores: DataFrame | None = None, top: int = 6, pool: int = 24, **caps) -> DataFrame:
+    """The best `pool` hits of each query in the order of new scores (query_id, id, new_score; or a column of the hits), capped like diverse().
 
     A query with a score that is missing, NaN or infinite for any hit of its pool keeps its own order.
     """
     w = W.partitionBy("query_id")
     rows = hits.withColumn("_r", F.row_number().over(w.orderBy(F.desc("score"), "id"))).filter(F.col("_r") <= max(pool, top)).drop("_r")
-    rows = rows.join(scores, ["query_id", "id"], "left")
+    rows = rows if scores is None else rows.join(scores, ["query_id", "id"], "left")
     new = F.col("new_score")
     bad = new.isNull() | F.isnan(new) | (F.abs(new) == float("inf"))
     rows = rows.withColumn("fell_back", F.max(bad.cast("int")).over(w) == 1)

@@ -14,7 +14,7 @@ def questions(spark, sf):
 
 
 def lexical(spark, sf):
-    return re_.ranked(re_.bm25(table(spark, sf, "documents"), questions(spark, sf)).withColumn("score", F.round("score", 6)), 30, 0.0)
+    return re_.bm25_ranked(table(spark, sf, "documents"), questions(spark, sf))
 
 
 def semantic(spark, sf):
@@ -142,7 +142,7 @@ def reranked_hits(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", F.col("lang").alias("page"), "text")
     pool = hybrid(spark, sf).join(d, "id")
     new = F.when((F.col("query_id") % 4 == 0) & (F.col("id") % 10 == 0), F.lit(None)).otherwise(F.char_length("text").cast("double"))
-    out = re_.reranked(pool.drop("text"), pool.select("query_id", "id", new.alias("new_score")))
+    out = re_.reranked(pool.withColumn("new_score", new).drop("text"))
     return out.select("query_id", "id", "source", "page", "score", "fell_back", "rank")
 
 
