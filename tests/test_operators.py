@@ -417,3 +417,18 @@ def test_quantile_autoregression(spark):
     got = mo.quantile_autoregression(walk(spark, 200), 1, [0.1, 0.5, 0.9]).orderBy("tau").collect()
     last = walk(spark, 200).orderBy("pos").collect()[-1]["y"]
     assert [r["tau"] for r in got] == [0.1, 0.5, 0.9] and got[0]["forecast"] < last * 1.02 and got[2]["forecast"] > last * 0.98
+
+
+def test_links_of_pages(spark):
+    html = '<a href="/x.PDF?v=1">Full</a> <a class="b" href="/y.pdf"><b>Download PDF</b></a> <a href="/z.html">z</a>'
+    pages = spark.createDataFrame([(1, html), (2, '<a href="/q.pdf">q</a><a href="/q.pdf">again</a>'), (3, "none")], "page_id long, html string")
+    told = lambda **k: {r["page_id"]: (r["links"], r["link"]) for r in re_.single_link(pages, **k).collect()}
+    assert told(suffix=".pdf") == {1: (2, None), 2: (1, "/q.pdf"), 3: (0, None)}
+    assert told(suffix=".pdf", preferred="download pdf") == {1: (1, "/y.pdf"), 2: (1, "/q.pdf"), 3: (0, None)}
+
+
+def test_evaluation_of_all_evidence(spark):
+    gold = spark.createDataFrame([(1, "g", "a", [1]), (1, "g", "b", [2]), (2, "g", "a", [9])], "query_id long, grp string, source string, pages array<int>")
+    hits = spark.createDataFrame([(1, 1, "b", 5), (1, 2, "a", 1), (2, 1, "a", 1)], "query_id long, rank int, source string, page int")
+    got = re_.evaluated(hits, gold).filter("grp = 'g'").first()
+    assert (got["questions"], got["found"], got["all_sources"], got["all_pages"], got["mrr"]) == (2, 1, 2, 0, 0.25)

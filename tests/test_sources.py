@@ -89,8 +89,36 @@ def test_publish(tmp_path):
     with pytest.raises(TypeError):
         sinks.publish({"a": b"9", "c": None}, str(tmp_path), "c", overwrite=True)
     assert (tmp_path / "a").read_bytes() == b"1" and not list(tmp_path.glob(".stage*"))
-    sinks.publish({"a": b"3"}, str(tmp_path), "a", overwrite=True)
-    assert (tmp_path / "a").read_bytes() == b"3"
+    old = sinks.publish({"a": b"3"}, str(tmp_path), "a", overwrite=True)
+    assert (tmp_path / "a").read_bytes() == b"3" and (old / "a").read_bytes() == b"1" and sinks.publish({"z": b"1"}, str(tmp_path), "z") is None
+
+
+def test_documents(tmp_path):
+    import hashlib
+
+    from tidewater.sources import documents
+
+    pdf = b"%PDF-1.4 << /Type /Pages /Kids [] /Count 12 >> << /Type /Page >>"
+    assert documents.inspect_pdf(pdf) == 12 and documents.inspect_pdf(b"%PDF- /Type /Page /Type /Page") == 2
+    for bad in (b"PK", pdf + b" /Encrypt 5 0 R"):
+        with pytest.raises(ValueError):
+            documents.inspect_pdf(bad)
+    r = tmp_path / "r.json"
+    r.write_text(json.dumps([{"id": "a", "url": "https://h/a", "verified_sha256": hashlib.sha256(pdf).hexdigest(), "verified_pages": 12}, {"id": "b", "url": "http://h/b"}]))
+    lib = documents.Library(str(r), str(tmp_path / "files"), Opener([pdf]))
+    assert lib.fetch("a")["verified"] and lib.fetch("a")["pages"] == 12  # the second time nothing is fetched
+    with pytest.raises(ValueError, match="https"):
+        lib.fetch("b")
+    (tmp_path / "b.pdf").write_bytes(pdf + b"x")
+    assert not lib.register("b", str(tmp_path / "b.pdf"))["verified"]
+    with pytest.raises(ValueError, match="characters"):
+        lib.confirm("b", "short")
+    assert lib.confirm("b", "title, contents and sections")["verified"] and lib.metadata("b")["verified"]
+    (tmp_path / "files" / "b.pdf").write_bytes(pdf)
+    with pytest.raises(ValueError, match="changed"):
+        lib.confirm("b", "title, contents and sections")
+    with pytest.raises(ValueError, match="registry"):
+        lib.paths("c")
 
 
 def test_index(spark, tmp_path):

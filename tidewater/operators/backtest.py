@@ -159,6 +159,21 @@ def scaled_metrics(errors: DataFrame, scale: DataFrame) -> DataFrame:
     )
 
 
+def leaderboard(errors: DataFrame, scale: DataFrame, families: dict[str, str] | None = None, default: str = "classical") -> DataFrame:
+    """metrics() and scaled_metrics() of every model and horizon with the model's family and its place by MAE, RMSE and name."""
+    rows = metrics(errors).join(scaled_metrics(errors, scale), [SERIES, "model", "horizon"])
+    family = F.lit(default)
+    if families:
+        family = F.coalesce(F.create_map(*[F.lit(x) for pair in families.items() for x in pair])[F.col("model")], F.lit(default))
+    place = F.row_number().over(W.partitionBy(SERIES, "horizon").orderBy("mae", "rmse", "model"))
+    return rows.withColumns({"family": family, "place": place})
+
+
+def best_of(table: DataFrame, models: list[str]) -> DataFrame:
+    """The best of some models, the networks for one, at each horizon by MAE, RMSE and name."""
+    return selected(table.filter(F.col("model").isin(models)))
+
+
 def first_difference_scale(series: DataFrame, rows: int) -> DataFrame:
     """Mean absolute difference of the first values of each series."""
     d = F.abs(F.col("y") - F.lag("y").over(fr.ordered()))

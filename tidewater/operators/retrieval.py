@@ -263,20 +263,36 @@ def packed(hits: DataFrame, per_hit: int = 2300, total: int = 11000, least: int
 
 
 def evaluated(hits: DataFrame, gold: DataFrame) -> DataFrame:
-    """By group and over all: questions, hits, and the mean reciprocal rank of the first right hit. gold has
-    query_id, grp, source and pages; a hit (query_id, rank, source, page) is right on one of the pages."""
-    right = gold.join(hits, ["query_id", "source"]).filter(F.array_contains("pages", F.col("page")))
-    first = right.groupBy("query_id").agg(F.min("rank").alias("first"))
-    asked = gold.select("query_id", "grp").distinct().join(first, "query_id", "left")
+    """By group and over all: questions, those with a right hit, with hits of all sources and with right hits of all evidence, and the mean reciprocal rank
+    of the first right hit. gold has a row (query_id, grp, source, pages) for each piece of evidence; a hit (query_id, rank, source, page)
+    is right on one of the pages."""
+    proof = gold.select("query_id", "grp", "source", "pages", F.monotonically_increasing_id().alias("_g"))
+    met = proof.join(hits.select("query_id", "source", "rank", "page"), ["query_id", "source"], "left")
+    rank = F.when(F.array_contains("pages", F.col("page")), F.col("rank"))
+    one = met.groupBy("query_id", "grp", "_g").agg(F.min(rank).alias("_r"), (F.count("rank") > 0).alias("_s"))
+    asked = one.groupBy("query_id", "grp").agg(F.min("_r").alias("first"), F.bool_and("_s").alias("_s"), (F.count("_r") == F.count("*")).alias("_p"))
     return asked.rollup("grp").agg(
-        F.count("*").alias("questions"), F.count("first").alias("found"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr")
+        F.count("*").alias("questions"),
+        F.count("first").alias("found"),
+        F.count_if("_s").alias("all_sources"),
+        F.count_if("_p").alias("all_pages"),
+        F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"),
     )
 
 
-def single_link(pages: DataFrame, pattern: str = r'href="([^"#]+)"') -> DataFrame:
-    """page_id, links, link: the distinct targets of a page's anchors, and the one if it is unique."""
-    links = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))))
-    rows = pages.select("page_id", links.alias("_l"))
+def single_link(pages: DataFrame, suffix: str = "", preferred: str | None = None) -> DataFrame:
+    """page_id, links, link: the distinct targets of a page's anchors whose path ends with suffix, in any case, and the one if it is unique. If
+    anchors have the preferred words in their text, only theirs count."""
+    anchor = r'(?is)<a\b[^>]*?href="([^"#]+)"[^>]*>(.*?)</a>'
+    targets, texts = F.regexp_extract_all("html", F.lit(anchor), F.lit(1)), F.regexp_extract_all("html", F.lit(anchor), F.lit(2))
+    every = F.arrays_zip(targets.alias("url"), F.transform(texts, lambda t: F.lower(F.regexp_replace(t, "<[^>]*>", " "))).alias("label"))
+    rows = pages.select("page_id", every.alias("_a"))
+    fits = F.filter("_a", lambda a: F.endswith(F.lower(F.substring_index(a["url"], "?", 1)), F.lit(suffix.lower())))
+    rows = rows.withColumn("_a", fits)
+    if preferred:
+        best = F.filter("_a", lambda a: F.contains(a["label"], F.lit(preferred.lower())))
+        rows = rows.withColumn("_a", F.when(F.size(best) > 0, best).otherwise(F.col("_a")))
+    rows = rows.withColumn("_l", F.array_sort(F.array_distinct(F.transform("_a", lambda a: a["url"]))))
     return rows.select("page_id", F.size("_l").alias("links"), F.when(F.size("_l") == 1, F.element_at("_l", 1)).alias("link"))
 
 

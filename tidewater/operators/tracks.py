@@ -40,8 +40,8 @@ def candidates() -> dict[str, list]:
     }
 
 
-def evaluate_track(records: DataFrame, columns: list[str], models: dict[str, list] | None = None) -> DataFrame:
-    """model, horizon, n, mae, rmse, smape on the test part.
+def evaluate_track(records: DataFrame, columns: list[str], models: dict[str, list] | None = None, scale: DataFrame | None = None) -> DataFrame:
+    """model, horizon, n, mae, rmse, smape on the test part; and mase with a scale (series_id, scale) of each series.
 
     Missing features get the training median. Each model's settings are compared by validation MAE, and the
     best is fitted again on training and validation rows.
@@ -57,6 +57,8 @@ def evaluate_track(records: DataFrame, columns: list[str], models: dict[str, lis
         made = best.transform(parts.filter("part = 'test'")).select(SERIES, F.lit(name).alias("model"), "horizon", "y_true", "y_pred")
         out = made if out is None else out.unionByName(made)
     e = F.col("y_true") - F.col("y_pred")
+    more = [] if scale is None else [F.avg(F.abs(e) / F.col("scale")).alias("mase")]
+    out = out if scale is None else out.join(F.broadcast(scale), SERIES)
     return out.groupBy("model", "horizon").agg(
-        F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(smape(F.col("y_true"), F.col("y_pred"))).alias("smape")
+        F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(smape(F.col("y_true"), F.col("y_pred"))).alias("smape"), *more
     )

@@ -875,3 +875,21 @@ def quantile_autoregressions(spark, sf):
     from tidewater.operators.models import quantile_autoregression
 
     return told(quantile_autoregression(series(spark, sf), 3, LEVELS))
+
+
+@query(
+    shown(
+        E
+        + f""", b AS ({METRICS.format("e")}),
+sc AS (SELECT series_id, avg(d) AS scale FROM (SELECT series_id, pos, abs(y - lag(y) OVER (PARTITION BY series_id ORDER BY pos)) AS d FROM s) WHERE pos < 24 GROUP BY 1),
+x AS (SELECT e.series_id, model, horizon, avg(abs(y_true - y_pred)) / first(scale) AS mase, avg(abs(y_true - y_pred) * 200 / greatest(abs(y_true) + abs(y_pred), 1e-8)) AS smape,
+  avg(abs(y_true - y_pred) * 400 / greatest(abs(y_true) + abs(y_pred), 1e-8)) AS smape_doubled FROM e JOIN sc ON sc.series_id = e.series_id GROUP BY ALL)
+--
+SELECT b.*, mase, smape, smape_doubled, CASE WHEN b.model = 'naive' THEN 'baseline' ELSE 'classical' END AS family,
+  row_number() OVER (PARTITION BY b.series_id, b.horizon ORDER BY mae, rmse, b.model)::INT AS place FROM b JOIN x ON x.series_id = b.series_id AND x.model = b.model AND x.horizon = b.horizon""",
+        MF + " mase smape smape_doubled",
+    )
+)
+def final_leaderboard(spark, sf):
+    s = series(spark, sf)
+    return told(bt.leaderboard(errors(spark, sf), bt.first_difference_scale(s, 24), {"naive": "baseline"}))

@@ -103,9 +103,9 @@ def context_packed(spark, sf):
     shown(
         D
         + """, g AS (SELECT item_id AS query_id, item_id % 2 AS grp, 'src' || (item_id % 20)::VARCHAR AS source, ['en', 'de'] AS pages FROM benchmark),
-f1 AS (SELECT query_id, min(rank) AS first FROM g JOIN h3 USING (query_id, source) WHERE list_contains(pages, page) GROUP BY 1)
+f1 AS (SELECT query_id, min(rank) FILTER (list_contains(pages, page)) AS first, true AS seen FROM g JOIN h3 USING (query_id, source) GROUP BY 1)
 --
-SELECT grp, count(*) AS questions, count(first) AS found, avg(coalesce(1 / first, 0)) AS mrr FROM g LEFT JOIN f1 USING (query_id) GROUP BY ROLLUP (grp)""",
+SELECT grp, count(*) AS questions, count(first) AS found, count(seen) AS all_sources, count(first) AS all_pages, avg(coalesce(1 / first, 0)) AS mrr FROM g LEFT JOIN f1 USING (query_id) GROUP BY ROLLUP (grp)""",
         "mrr",
     )
 )
@@ -120,7 +120,7 @@ def retrieval_evaluation(spark, sf):
 
 
 @query(
-    """WITH l AS (SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, 'href="([^"#]+)"', 1))) AS l FROM pages)
+    """WITH l AS (SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, '(?is)<a\\b[^>]*?href="([^"#]+)"[^>]*>(.*?)</a>', 1))) AS l FROM pages)
 SELECT page_id, len(l)::INT AS links, CASE WHEN len(l) = 1 THEN l[1] END AS link FROM l"""
 )
 def single_page_link(spark, sf):

@@ -133,30 +133,37 @@ def export_grid(wide: dict[str, DataFrame], path: str) -> None:
     write_workbook(sheets, path)
 
 
-def publish(files: dict[str, bytes], folder: str, last: str, overwrite: bool = False) -> None:
-    """All files or none: staged, then moved, `last` at the end; on a failure what was there comes back."""
+def publish(files: dict[str, bytes], folder: str, last: str, overwrite: bool = False) -> Path | None:
+    """All files or none: staged, then moved, `last` at the end; on a failure what was there comes back. Without overwrite a file that is there, or that another
+    writer puts there meanwhile, is an error. What was overwritten stays in the folder that is returned."""
     target, stage = Path(folder), Path(folder, f".stage-{uuid.uuid4().hex}")
     there = [n for n in files if (target / n).exists()]
     if there and not overwrite:
         raise FileExistsError(", ".join(there))
-    (stage / "old").mkdir(parents=True)
+    old = target / f".backup-{datetime.now(UTC):%Y%m%dT%H%M%S%f}"
+    stage.mkdir(parents=True)
     moved: list[str] = []
     try:
         for n, data in files.items():
             (stage / n).write_bytes(data)
         for n in sorted(files, key=lambda n: n == last):
-            if (target / n).exists():
-                os.replace(target / n, stage / "old" / n)
+            if overwrite and (target / n).exists():
+                old.mkdir(exist_ok=True)
+                os.replace(target / n, old / n)
+            os.link(stage / n, target / n)  # fails if another writer was first
             moved.append(n)
-            os.replace(stage / n, target / n)
     except BaseException:
-        for n in moved:
-            (target / n).unlink(missing_ok=True)
-            if (stage / "old" / n).exists():
-                os.replace(stage / "old" / n, target / n)
+        for n in files:
+            if n in moved:
+                (target / n).unlink(missing_ok=True)
+            if (old / n).exists():
+                os.replace(old / n, target / n)
+        if old.exists():
+            old.rmdir()
         raise
     finally:
         shutil.rmtree(stage, ignore_errors=True)
+    return old if old.exists() else None
 
 
 def _file(spark, path: str):
