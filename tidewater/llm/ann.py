@@ -290,7 +290,8 @@ def index(vectors: DataFrame, top: int) -> tuple[DataFrame, DataFrame, int]:
     shards = max(1, -(-classes.count() // SHARD_ROWS))
     rows = classes.select("dim", F.pmod(F.xxhash64("cid"), F.lit(shards)).cast("int").alias("shard"), "cid", "twin", "v")
     schema = "dim int, shard int, cid long, twin long, v array<double>, band int, start boolean, beam int, near array<int>"
-    rows = rows.repartition(_tasks(shards), "dim", "shard")
+    # By range, so that shards are spread over tasks evenly.
+    rows = rows.repartitionByRange(_tasks(shards), "dim", "shard")
     return classes, written(rows.groupBy("dim", "shard").applyInPandas(_graph, schema), "ann-graphs"), shards
 
 
