@@ -29,7 +29,7 @@ PART = 1024
 LETTERS = T.FOLDED.copy()
 LETTERS[[i for i in range(128) if not chr(i).isalpha()]] = 0
 #: Shape classes of bytes: capital, other letter, digit, and every other sign for itself.
-SHAPES = np.arange(256, dtype=np.uint64) + 4
+SHAPES = np.arange(256, dtype=np.uint16) + 4
 SHAPES[65:91], SHAPES[97:123], SHAPES[128:], SHAPES[48:58] = 1, 2, 2, 3
 
 
@@ -37,11 +37,10 @@ def shapes(w: T.Words) -> np.ndarray:
     """A hash of each word's shape: the classes of its bytes, runs of one class as one."""
     if not len(w.starts):
         return np.zeros(0, np.uint64)
-    inside = T.EXACT[w.data] != 0
-    kind = SHAPES[w.data[inside]]
-    word = np.repeat(np.arange(len(w.starts)), w.ends - w.starts)
+    kind = SHAPES[w.data[(T.EXACT != 0)[w.data]]]
+    word = np.repeat(np.arange(len(w.starts), dtype=np.int32), w.ends - w.starts)
     new = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (word[1:] != word[:-1])]))
-    kind, word = kind[new], word[new]
+    kind, word = kind[new].astype(np.uint64), word[new]
     count = np.bincount(word, minlength=len(w.starts))
     begin = np.cumsum(count) - count
     place = np.arange(len(word)) - begin[word]
@@ -60,18 +59,22 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     # Distinct words of a row: sorted hashes with the row's number in the high bits.
     pair = np.sort(((w.row.astype(np.uint64) << np.uint64(40)) | (said >> np.uint64(24))).view(np.int64))
     pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])] >> 40 if len(said) else np.zeros(0, np.int64)
-    signs, capitals, letters = (np.concatenate([[0], np.cumsum(x)]) for x in (SHAPES[data] > 3, SHAPES[data] == 1, SHAPES[data] < 3))
-    spaces = np.concatenate([[0], np.cumsum(T.EXACT[data] == 0)])
-    span = lambda x: x[offsets[1:]] - x[offsets[:-1]]
-    solid = np.maximum(np.diff(offsets) - span(spaces), 1)
+
+    def told(classes: np.ndarray) -> np.ndarray:
+        """How many bytes of each row are in the classes."""
+        count = np.concatenate([[0], np.cumsum(classes[data], dtype=np.int32)])
+        return count[offsets[1:]] - count[offsets[:-1]]
+
+    signs, capitals, letters, spaces = told(SHAPES > 3), told(SHAPES == 1), told(SHAPES < 3), told(T.EXACT == 0)
+    solid = np.maximum(np.diff(offsets) - spaces, 1)
     odd = np.bincount(w.row, weights=USUAL[np.minimum(np.searchsorted(USUAL, shape), len(USUAL) - 1)] != shape, minlength=rows) if len(said) else np.zeros(rows)
     shares = np.stack(
         [
             np.bincount(w.row[twice], minlength=rows) / count,
             np.bincount(pair, minlength=rows) / count,
             odd / count,
-            span(capitals) / np.maximum(span(letters), 1),
-            (span(signs) - span(spaces)) / solid,
+            capitals / np.maximum(letters, 1),
+            (signs - spaces) / solid,
         ]
     )
     # Finer near 0, where most documents are.

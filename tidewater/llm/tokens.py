@@ -50,15 +50,22 @@ class Words:
 
     def hashes(self, values: np.ndarray = EXACT, lane: int = 0) -> np.ndarray:
         """A hash of each word: a sum of its bytes' values times a random factor for each place."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        value = values[self.data]
         length = self.ends - self.starts
-        factor = stream(int(length.max()), 1 + lane)
-        inside = value != 0
-        place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        begin = np.cumsum(length) - length
-        return mix(np.add.reduceat(value[inside] * factor[place], begin) + length.astype(np.uint64) * ODD)
+        factor = stream(int(length.max(initial=0)), 1 + lane)
+        out = np.empty(len(length), np.uint64)
+        # A part of the words at a time: the numbers of a byte are far larger than it.
+        size = np.cumsum(length)
+        at = 0
+        while at < len(length):
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right")))
+            part = self.data[self.starts[at] : self.ends[to - 1]]
+            value = values[part]
+            value = value[value != 0]
+            begin = size[at:to] - length[at:to] - (size[at - 1] if at else 0)
+            place = np.arange(len(value)) - np.repeat(begin, length[at:to])
+            out[at:to] = mix(np.add.reduceat(value * factor[place], begin) + length[at:to].astype(np.uint64) * ODD)
+            at = to
+        return out
 
     def shingles(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of n words and the row of each; a row of 1 to n - 1 words is one run as a whole."""
@@ -103,7 +110,7 @@ def chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.n
 
 def words(data: np.ndarray, offsets: np.ndarray, values: np.ndarray = EXACT) -> Words:
     """Words are runs of bytes that have a value."""
-    inside = values[data] != 0
+    inside = (values != 0)[data]
     before = np.empty(len(data), bool)
     after = np.empty(len(data), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
