@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import scores as sc
-from tidewater.operators import arima
+from tidewater.operators import answering, arima
 from tidewater.operators import backtest as bt
 from tidewater.operators import conversations as co
 from tidewater.operators import dialogue as di
@@ -432,3 +432,24 @@ def test_evaluation_of_all_evidence(spark):
     hits = spark.createDataFrame([(1, 1, "b", 5), (1, 2, "a", 1), (2, 1, "a", 1)], "query_id long, rank int, source string, page int")
     got = re_.evaluated(hits, gold).filter("grp = 'g'").first()
     assert (got["questions"], got["found"], got["all_sources"], got["all_pages"], got["mrr"]) == (2, 1, 2, 0, 0.25)
+
+
+def test_answers_of_a_model(spark, tmp_path):
+    quote = "the price rose in two of three years"
+    hits = spark.createDataFrame([(i, 1, f"s{i}", f"Indeed {quote}.", "T", 2, "https://x") for i in (1, 2, 3, 5)], "answer_id long, rank int, id string, text string, title string, page int, url string")
+    questions = spark.createDataFrame([(1, "good"), (2, "mended"), (3, "never"), (4, "no hits"), (5, "fails")], "answer_id long, question string")
+
+    def complete(question, evidence, reason):
+        if question == "fails":
+            raise OSError("a key that must not be told")
+        good = question == "good" or (question == "mended" and reason == "unknown_citation")
+        name = evidence[0][0] if good else "s1x"
+        return json.dumps({"abstain": False, "claims": [{"text": "It rose.", "evidence": [{"id": name, "quote": quote}]}]})
+
+    def store(df):
+        path = f"{tmp_path}/{len(list(tmp_path.iterdir()))}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    got = {r["answer_id"]: (r["reason"], r["calls"], r["text"] is not None) for r in answering.answered(questions, hits, complete, store).collect()}
+    assert got == {1: ("ok", 1, True), 2: ("ok", 2, True), 3: ("unknown_citation", 2, False), 4: ("no_hits", 0, False), 5: ("technical_failure", 1, False)}

@@ -61,7 +61,9 @@ def checked_answers(answers: DataFrame, sources: DataFrame) -> DataFrame:
     schema_error: no object, abstain neither true nor false, claims not 1 to 6, a claim's text not 1 to 1200 characters or with a
     link or [n], evidence not 1 to 4, a quote not 20 to 400 characters; abstain; unknown_citation: an id that is no
     source, which is looked at before the quote; quote_mismatch: after normalisation the quote is shorter than 20 or not in its source.
+    Sources (id, text) are those of all answers, or, with an answer_id, each answer's own.
     """
+    own = ["answer_id"] if "answer_id" in sources.columns else []
     parsed = answers.withColumn("_a", F.from_json("payload", ANSWER))
     whole = (
         F.when(F.col("_a.abstain"), "abstain")
@@ -76,8 +78,8 @@ def checked_answers(answers: DataFrame, sources: DataFrame) -> DataFrame:
     first = claims.filter("_bad").select("answer_id", "_c", F.lit(-1).alias("_e"), F.lit("schema_error").alias("reason"))
     proof = claims.filter("NOT _bad").select("answer_id", "_c", F.posexplode("_claim.evidence").alias("_e", "_x"))
     proof = proof.select("answer_id", "_c", "_e", F.col("_x.id").alias("id"), F.col("_x.quote").alias("quote"))
-    known = sources.select("id", normal(F.col("text")).alias("_text"), F.lit(True).alias("_known"))
-    proof = proof.join(known, "id", "left").withColumn("_quote", normal(F.col("quote")))
+    known = sources.select("id", *own, normal(F.col("text")).alias("_text"), F.lit(True).alias("_known"))
+    proof = proof.join(known, ["id", *own], "left").withColumn("_quote", normal(F.col("quote")))
     failed = (
         F.when(F.col("_known").isNull(), "unknown_citation")
         .when(F.coalesce(~F.char_length("quote").between(*QUOTE), F.lit(True)), "schema_error")
@@ -106,7 +108,8 @@ def rendered_answers(answers: DataFrame, sources: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("_told", told)
     line = F.concat(F.lit("["), (F.col("_n") + 1).cast("string"), F.lit("] "), "title", F.lit(f", {PAGE} "), F.col("page").cast("string"), F.lit("\n"), page_link(F.col("url"), F.col("page")))
-    lines = rows.select("answer_id", F.posexplode("cited").alias("_n", "id")).join(sources, "id").select("answer_id", "_n", line.alias("_line"))
+    keys = ["id", *(["answer_id"] if "answer_id" in sources.columns else [])]
+    lines = rows.select("answer_id", F.posexplode("cited").alias("_n", "id")).join(sources, keys).select("answer_id", "_n", line.alias("_line"))
     lines = lines.groupBy("answer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_line"))), lambda x: x["_line"]).alias("_lines"))
     first, more, below = HEADINGS
     rest = F.when(F.size("_told") > 1, F.concat(F.lit(f"\n\n{more}\n"), F.array_join(F.slice("_told", 2, MOST_CLAIMS), "\n\n"))).otherwise("")
