@@ -14,14 +14,16 @@ HORIZONS = [1, 3, 6, 12]
 ERROR = [SERIES, "model", "horizon", "origin", "target", "y_true", "y_pred"]
 
 
-def closed_forms(horizon: Column, reversions: dict[str, tuple[int, float]]) -> dict[str, Column]:
-    """Forecasts from columns of the origin: the last value, drift, the mean so far, reversion to log means."""
+def closed_forms(horizon: Column, reversions: dict[str, tuple[int, float]], whole: bool = False) -> dict[str, Column]:
+    """Forecasts from columns of the origin: the last value, drift, the mean so far, reversion to log means; with whole, reversion only
+    where its window is full."""
     out = {
         "naive": F.col("y"),
         "drift": F.col("y") + horizon * F.try_divide(F.col("y") - F.col("_first"), F.col("pos")),
         "historical_mean": F.col("_mean"),
     }
-    return out | {name: reversion(F.ln("y"), F.col(f"_log{w}"), horizon, h) for name, (w, h) in reversions.items()}
+    full = lambda w: F.col("pos") >= (w - 1 if whole else 0)
+    return out | {name: F.when(full(w), reversion(F.ln("y"), F.col(f"_log{w}"), horizon, h)) for name, (w, h) in reversions.items()}
 
 
 def origins(series: DataFrame, initial: int, windows: set[int]) -> DataFrame:
@@ -33,7 +35,7 @@ def origins(series: DataFrame, initial: int, windows: set[int]) -> DataFrame:
 
 
 def backtest(
-    series: DataFrame, horizons: list[int] = HORIZONS, initial: int = 24, reversions: dict[str, tuple[int, float]] | None = None
+    series: DataFrame, horizons: list[int] = HORIZONS, initial: int = 24, reversions: dict[str, tuple[int, float]] | None = None, whole: bool = False
 ) -> DataFrame:
     """The error table: model, horizon, origin, target, y_true, y_pred, for all origins whose target is known.
 
@@ -44,9 +46,17 @@ def backtest(
     rows = rows.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
     later = series.select(SERIES, F.col("pos").alias("_at"), F.col("date").alias("target"), F.col("y").alias("y_true"))
     rows = rows.withColumn("_at", F.col("pos") + F.col("horizon")).join(later, [SERIES, "_at"])
-    forecasts = closed_forms(F.col("horizon"), reversions)
+    forecasts = closed_forms(F.col("horizon"), reversions, whole)
     made = rows.select(SERIES, "horizon", F.col("date").alias("origin"), "target", "y_true", *[c.alias(n) for n, c in forecasts.items()])
-    return made.unpivot([SERIES, "horizon", "origin", "target", "y_true"], list(forecasts), "model", "y_pred").select(*ERROR)
+    out = made.unpivot([SERIES, "horizon", "origin", "target", "y_true"], list(forecasts), "model", "y_pred").select(*ERROR)
+    return out.filter("y_pred IS NOT NULL") if whole else out
+
+
+def in_cohorts(errors: DataFrame, cohorts: list[tuple[str, str, str, str]]) -> DataFrame:
+    """errors with the name of each cohort (name, axis, first, last) they are in: by their origin or by their target."""
+    rows = errors.sparkSession.createDataFrame(cohorts, "cohort string, _axis string, _a string, _b string")
+    at = F.when(F.col("_axis") == "origin", F.col("origin")).otherwise(F.col("target"))
+    return errors.join(F.broadcast(rows), at.between(F.col("_a").cast("date"), F.col("_b").cast("date"))).drop("_axis", "_a", "_b")
 
 
 def metrics(errors: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -124,6 +134,11 @@ def calibration_cutoff(errors: DataFrame, share: float = 0.7) -> DataFrame:
     return rows.filter(F.col("_i") == at).select(SERIES, F.col("origin").alias("boundary"))
 
 
+def calibrated(errors: DataFrame, level: float = 0.9, share: float = 0.7) -> DataFrame:
+    """Half-widths over the targets known at each series' calibration boundary, of one error or more."""
+    return interval_widths(errors.join(calibration_cutoff(errors, share), SERIES), F.col("boundary"), level, 1)
+
+
 def selected(table: DataFrame) -> DataFrame:
     """The model with the least MAE of each horizon, then RMSE, then name."""
     w = W.partitionBy(SERIES, "horizon").orderBy("mae", "rmse", "model")

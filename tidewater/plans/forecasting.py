@@ -270,26 +270,27 @@ def bt_ensemble(spark, sf):
     return told(bt.ensembles(_gapped(spark, sf), MEMBERS))
 
 
+COHORTS = [("early", "target", "1997-01-01", "1999-06-01"), ("late", "target", "1999-07-01", "2001-12-01"), ("all", "origin", "1995-01-01", "2001-12-01")]
+
+
 @query(
     shown(
         S
-        + f""", o AS (SELECT *, {', '.join(f"avg(ln(y)) OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS l{w}" for w in (12, 24, 36))} FROM s),
-j AS (SELECT o.series_id, horizon, o.date AS origin, t.y AS y_true, o.y AS naive, {', '.join(f'exp(l{w} + (ln(o.y) - l{w}) * exp(horizon * (-ln(2) / {h}))) AS {n}' for n, (w, h) in GRID.items())}
-  FROM o, (SELECT unnest([1, 6]) AS horizon) JOIN s t ON t.series_id = o.series_id AND t.pos = o.pos + horizon WHERE o.pos >= 35),
+        + f""", o AS (SELECT *, {', '.join(f"CASE WHEN pos >= {w - 1} THEN avg(ln(y)) OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) END AS l{w}" for w in (12, 24, 36))} FROM s),
+j AS (SELECT o.series_id, horizon, o.date AS origin, t.date AS target, t.y AS y_true, o.y AS naive, {', '.join(f'exp(l{w} + (ln(o.y) - l{w}) * exp(horizon * (-ln(2) / {h}))) AS {n}' for n, (w, h) in GRID.items())}
+  FROM o, (SELECT unnest([1, 6]) AS horizon) JOIN s t ON t.series_id = o.series_id AND t.pos = o.pos + horizon WHERE o.pos >= 11),
 u AS (SELECT * FROM (UNPIVOT j ON naive, {', '.join(GRID)} INTO NAME model VALUE y_pred))
 --
 SELECT c.cohort, series_id, model, horizon, count(*) AS n, avg(abs(y_true - y_pred)) AS mae
-FROM u JOIN (VALUES ('early', DATE '1997-01-01', DATE '1999-06-01'), ('late', DATE '1999-07-01', DATE '2001-12-01'), ('all', DATE '1995-01-01', DATE '2001-12-01')) c(cohort, a, b)
-  ON u.origin BETWEEN c.a AND c.b GROUP BY ALL""",
+FROM u JOIN (VALUES {', '.join(f"('{n}', '{x}', DATE '{a}', DATE '{b}')" for n, x, a, b in COHORTS)}) c(cohort, axis, a, b)
+  ON (CASE WHEN axis = 'origin' THEN u.origin ELSE u.target END) BETWEEN c.a AND c.b GROUP BY ALL""",
         "mae",
     )
 )
 def mr_sensitivity(spark, sf):
-    e = bt.backtest(series(spark, sf), [1, 6], 36, GRID).filter("model NOT IN ('drift', 'historical_mean')")
-    cohorts = spark.createDataFrame(
-        [("early", "1997-01-01", "1999-06-01"), ("late", "1999-07-01", "2001-12-01"), ("all", "1995-01-01", "2001-12-01")], "cohort string, a string, b string"
-    )
-    rows = e.join(F.broadcast(cohorts), F.col("origin").between(F.col("a").cast("date"), F.col("b").cast("date")))
+    """Reversion with every window and half-life where its window is full, in cohorts of targets and of origins."""
+    e = bt.backtest(series(spark, sf), [1, 6], 12, GRID, whole=True).filter("model NOT IN ('drift', 'historical_mean')")
+    rows = bt.in_cohorts(e, COHORTS)
     return told(rows.groupBy("cohort", "series_id", "model", "horizon").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae")))
 
 
@@ -893,3 +894,19 @@ SELECT b.*, mase, smape, smape_doubled, CASE WHEN b.model = 'naive' THEN 'baseli
 def final_leaderboard(spark, sf):
     s = series(spark, sf)
     return told(bt.leaderboard(errors(spark, sf), bt.first_difference_scale(s, 24), {"naive": "baseline"}))
+
+
+@query(
+    shown(
+        E
+        + """, d AS (SELECT DISTINCT series_id, origin FROM e),
+i AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY origin) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM d),
+b AS (SELECT series_id, origin AS boundary FROM i WHERE i = least(n - 1, greatest(1, floor(n * 0.7))))
+--
+SELECT e.series_id, model, horizon, count(*) AS calibration_n, list_sort(list(abs(ln(y_true / y_pred))))[(ceil((count(*) - 1) * 0.9) + 1)::INT] AS half_width
+FROM e JOIN b ON b.series_id = e.series_id WHERE target <= boundary GROUP BY e.series_id, model, horizon""",
+        "half_width",
+    )
+)
+def calibrated_widths(spark, sf):
+    return told(bt.calibrated(errors(spark, sf)))
