@@ -34,12 +34,24 @@ def own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tidewater-{spark.sparkContext.applicationId}"
 
 
+#: Rows of an Arrow batch between Spark and its Python workers, where the session has Spark's own 10,000: texts are long.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows, if they are as large as Spark makes them by itself."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors.
 
     Results are read lazily from these tables, so they stay until release() or the owner of the folder removes them.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{own_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

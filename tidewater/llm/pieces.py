@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import tokens as T
+from tidewater.llm.common import small_batches
 
 MARK = "▁"
 #: Bytes of text that are encoded together, and of words that share a lattice.
@@ -698,6 +699,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     No shuffle. A worker holds a part of CHUNK bytes of text with its lattice at a time, however long the
     text, and remembers words and pairs in arrays of fixed size.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, ids array<int>" + ", round_trip boolean" * check
     return rows.mapInArrow(_encoded(docs.sparkSession.sparkContext.broadcast(lattice_of(pieces)), check), schema)
