@@ -1,10 +1,12 @@
 import json
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidewater.functions import scores as sc
 from tidewater.operators import answering, arima
 from tidewater.operators import backtest as bt
@@ -264,6 +266,21 @@ def test_sessions_end_at_the_limit(spark):
     assert sorted(r["events"] for r in co.sessions(df, "user_id", "ts").collect()) == [1, 2]
 
 
+def test_stream_sessions_are_exact_to_the_millisecond(spark, tmp_path):
+    times = [
+        (1, "2024-01-01 00:00:00.123499"), (2, "2024-01-01 00:00:00.123500"), (3, "2024-01-01 00:00:00.999999"),
+        # Under 30 minutes apart, but 30 minutes to the nearest millisecond; and as near to the watermark, which is of 20:00:00.001.
+        (4, "2024-01-01 00:00:00.000400"), (4, "2024-01-01 00:29:59.999900"), (5, "2024-01-01 19:20:00"), (6, "2024-01-01 19:20:00.000500"), (7, "2024-01-01 20:00:00.000600"),
+    ]
+    path = str(tmp_path / "events.parquet")
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES {', '.join(f'({u}::BIGINT, TIMESTAMP {t!r})' for u, t in times)}) t(user_id, ts)) TO '{path}'")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    want = sorted(con.sql(entry.oracle_sql()["stream_sessions"]).fetchall())
+    got = sorted(tuple(r) for r in entry.queries()["stream_sessions"](spark, str(tmp_path)).collect())
+    assert got == want and [w[0] for w in want] == [1, 2, 3, 4, 4, 5] and (2, 1704067200124, 1704067200124, 1) in got
+
+
 def test_only_accepted_requests_move_the_clock(spark):
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate((0, 3, 6, 9, 11))], "user_id long, event_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
     got = {r["event_id"]: r["accepted"] for r in co.rate_limited(df, "user_id", "ts", "event_id", 5).collect()}

@@ -40,7 +40,8 @@ def rate_limited(events: DataFrame, gap_seconds: float) -> DataFrame:
 def sessions(events: DataFrame, ttl_seconds: int = 1800) -> DataFrame:
     """Of a stream (user_id, ts): user_id, start_ms, end_ms, events of each session whose ttl has passed by event time.
 
-    An event ttl_seconds or more after the last one starts a new session, as the timeout does.
+    An event ttl_seconds or more after the last one starts a new session, as the timeout does. Event times, and with them the
+    watermark, are taken to the nearest millisecond, halves up, before they are compared. A stream's watermark begins at 1970; what is earlier is late.
     """
     ttl = ttl_seconds * 1000
 
@@ -60,7 +61,8 @@ def sessions(events: DataFrame, ttl_seconds: int = 1800) -> DataFrame:
             state.setTimeoutTimestamp(max(open_[1] + ttl, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(done, columns=["user_id", "start_ms", "end_ms", "events"]).astype("int64")
 
-    rows = events.withWatermark("ts", "10 minutes").withColumn("t", F.unix_millis("ts"))
+    nearest = F.timestamp_micros(F.round(F.unix_micros("ts"), -3))
+    rows = events.withColumn("ts", nearest).withWatermark("ts", "10 minutes").withColumn("t", F.unix_millis("ts"))
     return rows.groupBy("user_id").applyInPandasWithState(
         fold, "user_id long, start_ms long, end_ms long, events long", "a long, b long, n long", "append", GroupStateTimeout.EventTimeTimeout
     )
