@@ -1,6 +1,7 @@
 """The operators against plain versions, on texts made for their edges."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -163,6 +164,14 @@ def test_mix(docs, rows, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
 
 
+def test_words_are_counted_without_lists(spark, docs):
+    texts = [None, "", " ", "\n\t \x0b\x0c\r", "a", " a", "a ", "a\r\n\tb", "a\u00a0b\u2003c\x1f\x85", "😀 😀x\ny", "$1 \\", " " * 99_999 + "x", ("ab " * 3 + "\n\t") * 999]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", mixing.words_in(F.col("t")).alias("n"))
+    assert [r["n"] for r in df.orderBy("i").collect()] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    # Only the document at a cut has its words listed.
+    assert mixing.mixed(docs)._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 1
+
+
 @pytest.mark.parametrize("sizes", [[10, 10, 10], [1, 1000, 0], [0, 0], [5, 1, 1, 900, 3, 2]])
 def test_targets(spark, sizes):
     weights, total = [i % 3 + 1 for i in range(len(sizes))], sum(sizes)

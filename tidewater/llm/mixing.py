@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import WORD, written
+from tidewater.llm.common import SPACES, WORD, written
 
 #: Rows of a key range, about; ranges of a source are 16 to the power of the digits of the key that name them.
 RANGE_ROWS = 50_000
@@ -15,7 +15,14 @@ MOST_EPOCHS = 3
 
 
 def words_in(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+    """Words of text, 0 of null: the runs of spaces in it, when it has one at both ends, less one. Runs are counted on bytes, as a
+    regexp holds a list of all words of a text. Every space becomes the pair of tab and newline, and the insides of runs go."""
+    text = F.concat(F.lit(" "), text, F.lit(" "))
+    for c in SPACES[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    runs = F.replace(F.replace(text, F.lit(" "), F.lit("\t\n")), F.lit("\n\t"), F.lit(""))
+    count = F.octet_length(runs) - F.octet_length(F.replace(runs, F.lit("\t"), F.lit(""))) - 1
+    return F.coalesce(count.cast("long"), F.lit(0).cast("long"))
 
 
 def running(rows: DataFrame, order: list[Column], sums: list[str], what: str) -> DataFrame:
@@ -137,7 +144,7 @@ def mixed(
     rows = docs.select(
         row.alias("row"), text.alias("words"), _key(F.col(f"`{source_col}`")).alias("key"),
         _order(F.col(f"`{id_col}`").cast("long"), text, words_in(text), seed).alias("order"),
-    ).filter("order.size > 0")
+    ).filter(F.col("words").rlike(WORD))
     rows = rows.join(F.broadcast(cuts) if cuts.count() <= 100_000 else cuts, "key")
     part = F.when(F.col("last").isNull() | (F.col("order") > F.col("last.order")), 0).when(F.col("order") < F.col("last.order"), F.col("order.size"))
     rows = rows.withColumn("part", part.otherwise(F.col("last.part")).cast("long"))
