@@ -220,6 +220,22 @@ def test_answer_checks(spark):
     assert told[0]["text"] == want
 
 
+def test_quotes_in_capitals_keep_their_length(spark, tmp_path):
+    # All of the kind quoted in capitals. 19 characters with ß would be 20 with SS; capitals with letters that have no single capital are quoted as they are.
+    texts = ["Einü ßbe der erä le.", "Einü ßbe der erä l.", "ßßßßßßßßßßßßßß", "ŉ ALL OF THIS IN CAPITALS", "ΑΛΛΑ ᾼ ΚΑΙ ΑΛΛΑ ΠΟΛΛΑ", "DIE STRAẞE NACH NEUSTADT", "DIE STRAßE NACH NEUSTADT", "DIE STRASSE NACH NEUSTADT", "😀 ALL OF THIS IN CAPITALS"]
+    path = str(tmp_path / "documents.parquet")
+    rows = spark.createDataFrame([(10 * i + 7, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    rows.toPandas().to_parquet(path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    for name in ("answer_reasons", "answer_texts"):
+        want = sorted(con.sql(entry.oracle_sql()[name]).fetchall())
+        assert sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()) == want, name
+    mismatch, schema = "quote_mismatch", "schema_error"
+    reasons = [r[1] for r in sorted(con.sql(entry.oracle_sql()["answer_reasons"]).fetchall())]
+    assert reasons == [mismatch, schema, schema, "ok", "ok", "ok", mismatch, "ok", "ok"]
+
+
 def test_normal_texts(spark):
     pairs = {"ﬁrst\u00a0 line": "first line", "electri-\n  city": "electricity", "1-\n2": "1- 2", "a \u2013 b \u2212 c": "a - b - c", "so\u00adft": "soft", "Case": "Case"}
     df = spark.createDataFrame([(k,) for k in pairs], "t string")

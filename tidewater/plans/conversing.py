@@ -114,12 +114,22 @@ def numbers_preserved(spark, sf):
     return rows.select("conv_id", "turn", co.numbers_kept(F.col("text"), produced, allowed).alias("kept"))
 
 
+#: Letters whose capital form has several characters (ß: SS), and the one character that stands for each in SQL.
+SEVERAL = "".join(c for c in map(chr, range(0x10000)) if len(c.upper()) > 1)
+ONE = "".join("ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in SEVERAL)
+
+
+def _capitals(text):
+    """Capitals with one character for each of the text's, as in SQL, so that a quote keeps its length."""
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(F.char_length(F.upper(c)) == 1, F.upper(c)).otherwise(F.translate(c, SEVERAL, ONE))), "")
+
+
 def _answers(spark, sf):
     """(answers, sources): payloads made from documents, one kind of failure for each remainder of the id by 10."""
     k = F.col("doc_id") % 10
     start = F.substring("text", 1, 60)
     quote = (
-        F.when(k == 6, F.substring(start, 1, 10)).when(k == 5, "a quote that is in no text at all").when(k == 4, "short").when(k == 7, F.upper(start))
+        F.when(k == 6, F.substring(start, 1, 10)).when(k == 5, "a quote that is in no text at all").when(k == 4, "short").when(k == 7, _capitals(start))
         .when(k == 8, F.concat(F.substring(start, 1, 5), F.lit(" " * 30))).otherwise(start)
     )
     own = F.col("doc_id").cast("string")
