@@ -312,6 +312,18 @@ def test_split_message():
     assert co.split_message("a" * 60 + "\n" + "b " * 40, 100) == ["a" * 60, "b " * 39 + "b "]
 
 
+@pytest.mark.parametrize("most", [1, 2, 7, 100])
+def test_split_messages_without_python_workers(spark, most):
+    r = np.random.default_rng(most)
+    signs = list("ab \n\r\t\u00a0\x1cé😀")
+    texts = [None, "", " ", " " * 250, "x" * 250, "\n" * most + "x", "x" * most + " \n", "a😀" * 120, "😀" * most, "x" * most + "\n \u00a0", "x" * (most + 1) + " \t "]
+    texts += ["".join(r.choice(signs, r.integers(0, 6 * most), p=q / q.sum())) for q in r.random((150, len(signs))) ** 3]
+    df = co.split_messages(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "k", "t", most)
+    assert "MapInPandas" not in df._jdf.queryExecution().toString() and dict(df.dtypes) == {"k": "bigint", "part": "int", "text": "string"}
+    want = [(k, i, p) for k, t in enumerate(texts) for i, p in enumerate(co.split_message(t or "", most))]
+    assert sorted(tuple(r) for r in df.collect()) == want
+
+
 def test_arima_recovers_a_process():
     e = np.random.default_rng(0).normal(size=800)
     w = np.zeros(800)

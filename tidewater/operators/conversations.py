@@ -18,6 +18,8 @@ MOST_CLAIMS, MOST_TEXT, MOST_EVIDENCE, QUOTE = 6, 1200, 4, (20, 400)
 LINK = r"https?://|\[\d+\]"
 HEADINGS = ("Краткий вывод", "Подробности", "Источники")
 PAGE = "PDF стр."
+#: What str.rstrip takes away.
+BLANKS = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
 
 
 def last_turns(turns: DataFrame, keep: int = 8) -> DataFrame:
@@ -195,12 +197,13 @@ def split_message(text: str, most: int = 1800) -> list[str]:
 
 
 def split_messages(rows: DataFrame, key: str, text: str, most: int = 1800) -> DataFrame:
-    """key, part (from 0), text."""
-
-    def step(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            cut = [(k, i, p) for k, t in zip(pdf["k"], pdf["t"], strict=True) for i, p in enumerate(split_message(t or "", most))]
-            yield pd.DataFrame(cut, columns=["k", "part", "text"])
-
-    got = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(step, "k long, part int, text string")
-    return got.withColumnRenamed("k", key)
+    """key, part (from 0), text: split_message as one pattern, whose matches are the parts with the newlines and spaces after them."""
+    if most < 1:
+        raise ValueError("a part has a character at least")
+    cut = rf"(?s).{{1,{most}}}+\z|(?:.{{{max(1, most // 2)},{most}}}(?=\n)|.{{1,{most}}}(?= )|.{{{most}}})[\n ]*+"
+    got = rows.select(F.col(key).alias("k"), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(cut), F.lit(0)).alias("m"))
+    # What is left at last, of at most so many characters with its blanks, stays as it is.
+    rest = lambda p, i: (i == F.size("m") - 1) & (F.char_length(p) <= most)
+    parts = F.filter(F.transform("m", lambda p, i: F.when(rest(p, i), p).otherwise(F.rtrim(p, F.lit(BLANKS)))), lambda p: p != "")
+    got = got.select("k", F.posexplode_outer(parts).alias("part", "text"))
+    return got.select(F.col("k").alias(key), F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
